@@ -1,9 +1,20 @@
-"""Queries over the given tables, by name, and their SQL."""
+"""All queries over the given tables, by name, and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from . import track_queries
+
+_ENTRIES = {**track_queries.ENTRIES}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: run for name, (run, _) in _ENTRIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    """Queries that SQL cannot express, such as clipped regions, have none and are held by tests."""
+    return {name: sql for name, (_, sql) in _ENTRIES.items() if sql}
