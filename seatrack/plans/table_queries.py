@@ -56,7 +56,7 @@ def burn(s, d):
 _W = lambda n: f"over (partition by tenant_id order by ts rows between {n - 1} preceding and current row)"
 _BURN = ", ".join(f"case when sum(total) {_W(n)} > 0 then sum(bad) {_W(n)} / sum(total) {_W(n)} else 0.0e0 end / (1 - target) as {name}" for name, n in (("fast_long", 60), ("fast_short", 5), ("slow_long", 360), ("slow_short", 30), ("warn_long", 1440), ("warn_short", 120)))
 BURN_SQL = "with " + ctes("buckets") + f""", t as (select *, case tenant_id when 'T0' then 0.999e0 when 'T1' then 0.995e0 else 0.99e0 end as target from buckets), r as (select tenant_id, ts, {_BURN} from t)
-select tenant_id, ts, round(fast_long, 5) as fast_long, round(fast_short, 5) as fast_short, round(slow_long, 5) as slow_long, round(warn_short, 5) as warn_short,
+select tenant_id, cast(ts as bigint) as ts, round(fast_long, 5) as fast_long, round(fast_short, 5) as fast_short, round(slow_long, 5) as slow_long, round(warn_short, 5) as warn_short,
  case when (fast_long > 14.4e0 and fast_short > 14.4e0) or (slow_long > 6 and slow_short > 6) then 'page' when warn_long > 3 and warn_short > 3 then 'warning' else 'ok' end as status from r"""
 
 
