@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatrack.functions.geo import CAPS_MPS, EARTH_RADIUS_M, haversine_m
+from seatrack.sources.tables import LAYOUT, upsert_table, with_layout
 
 from .graph import connected_components
+from .joins import asof_join
 
 RDP_M, MIN_CLUSTER = 200.0, 2
 REQUIRED = ("mmsi", "t", "lat", "lon", "sog", "cog")
@@ -142,6 +144,27 @@ def fingerprint(df: DataFrame, time: str | None = None) -> DataFrame:
     return df.withColumn("_d", digest).agg(F.count(F.lit(1)).alias("n"), *[word(i) for i in range(4)], *span)
 
 
+def export_training_set(requests: DataFrame, features: DataFrame, max_age_s: float | None = None, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(requests(mmsi, event_timestamp, ...) with the features known at their time as f_ columns, fingerprint of these rows)."""
+    rows = asof_join(requests, features, "mmsi", "event_timestamp", "t", max_age_s, order)
+    return rows, fingerprint(rows, "event_timestamp")
+
+
+def run_backfill(raw: DataFrame, path: str, min_rows: int = 1) -> DataFrame:
+    """Gate, canonical positions, lanes and edges as tables below path; (table, n) of what they hold.
+
+    Nothing is written if the gate fails. Lanes are built from the written
+    positions, and a rerun over the same extract leaves every count as it is.
+    """
+    spark = raw.sparkSession
+    upsert_table(with_layout(canonicalize(require_quality(raw, min_rows)), "positions"), f"{path}/positions", ["mmsi", "t"], LAYOUT["positions"])
+    nodes, edges = build_lanes(spark.read.parquet(f"{path}/positions").drop(*LAYOUT["positions"]))
+    upsert_table(nodes, f"{path}/graph_nodes", ["node_id"])
+    upsert_table(edges, f"{path}/graph_edges", ["from_node", "to_node"])
+    counts = [spark.read.parquet(f"{path}/{t}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table"), "n") for t in LAYOUT]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 def feasible_edges(lengths: DataFrame, dt_s: float, domain: str = "vessel", slack: float = 1.05) -> DataFrame:
     """G1: edges (with length_m) that can be sailed in dt_s."""
     return lengths.where((F.lit(dt_s) > 0) & (F.col("length_m") <= CAPS_MPS[domain] * dt_s * slack))

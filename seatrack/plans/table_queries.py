@@ -78,6 +78,12 @@ def l1(s, d):
     return rounded(lanes.canonicalize(p).select("mmsi", F.unix_seconds("t").alias("t_s"), "seq", "lat"))
 
 
+def training_set(s, d):
+    p = view(s, d, "positions")
+    asked = p.where("event_type = 'purchase'").select("mmsi", F.col("t").alias("event_timestamp"), "seq")
+    return lanes.export_training_set(asked, p.where("event_type = 'view'").select("mmsi", "t", F.round("lat", 6).alias("lat"), F.col("seq").alias("fseq")), 86_400, "fseq")[0].drop("event_timestamp", "f_t")
+
+
 def messages(s, d):
     e = s.read.parquet(f"{d}/events.parquet")
     return e.select("event_id", F.concat(F.lit('{"mmsi": '), F.when(F.col("event_id") % 7 == 0, F.lit("true")).when(F.col("event_id") % 7 == 1, F.concat(F.lit('"00'), F.col("user_id"), F.lit('"'))).when(F.col("event_id") % 7 == 2, F.lit("1.0")).otherwise(F.col("user_id").cast("string")),
@@ -170,6 +176,7 @@ ENTRIES = {
     "l3_simplified_tracks": (lambda s, d: rounded(lanes.simplify_tracks(view(s, d, "positions").select("mmsi", "seq", "t", "lat", "lon")).select("mmsi", "seq", "lat", "lon")), None),
     "l5_lane_edges": (lambda s, d: lanes.lane_edges(view(s, d, "positions").select("mmsi", "t", F.when(F.col("seq") % 5 != 0, F.concat(F.lit("c"), F.floor(F.col("lat") * 2))).alias("node_id")).dropDuplicates(["mmsi", "t"])), None),
     "l9_fingerprint": (lambda s, d: lanes.fingerprint(view(s, d, "positions").drop("idx"), "t").select("n", F.unix_seconds("first_t").alias("first_s"), F.unix_seconds("last_t").alias("last_s")), "with " + ctes("positions") + " select count(*) as n, min(t_s) as first_s, max(t_s) as last_s from positions"),
+    "l8_training_set": (training_set, "with " + ctes("positions") + ", a as (select mmsi, seq, t_s from positions where event_type = 'purchase'), b as (select mmsi, t_s, arg_max(lat, seq) as lat, max(seq) as fseq from positions where event_type = 'view' group by mmsi, t_s), j as (select a.mmsi, a.seq, b.fseq, b.lat, a.t_s - b.t_s as age from a asof left join b on a.mmsi = b.mmsi and a.t_s >= b.t_s) select mmsi, seq, case when age <= 86400 then fseq end as f_fseq, case when age <= 86400 then round(lat, 6) end as f_lat from j"),
     "s2_parse_reports": (lambda s, d: reports.parse_reports(messages(s, d)).select("event_id", "mmsi", "lat", "lon", "reject_reason"),
         "select event_id, case when event_id % 7 in (0, 2) then null else user_id end as mmsi, 1.5e0 as lat, case when event_id % 13 = 0 then null else 2.0e0 end as lon, case when event_id % 7 in (0, 2) then 'mmsi' when event_id % 11 = 0 then 't' when event_id % 13 = 0 then 'lon' end as reject_reason from events"),
     "s4_quarantine": (lambda s, d: reports.split_quarantine(reports.parse_reports(messages(s, d)))[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n")),

@@ -143,3 +143,14 @@ def test_short_history_scores_no_gap(spark):
     marks = spark.createDataFrame([], "lat double, lon double, lat0 double, lon0 double")
     got = detect.score_fleet(df, segments, marks).collect()
     assert [r.score for r in got] == [0.0, 0.0, 0.0] and all(math.isinf(r.waypoint_m) for r in got)
+
+
+def test_backfill_twice(spark, tmp_path):
+    rows = [(200000000 + v, f"2024-06-01T{i // 60:02}:{i % 60:02}:00Z", 40.0 + i * 0.005 * (i < 10) + 0.05 * (i >= 10), -74.0 + 0.005 * max(0, i - 10), 1.0, 2.0, v * 100 + i) for v in range(3) for i in range(20)]
+    raw = spark.createDataFrame(rows, "mmsi long, t string, lat double, lon double, sog double, cog double, seq long")
+    first = {r.table: r.n for r in lanes.run_backfill(raw, str(tmp_path / "lake")).collect()}
+    assert first["positions"] == 60 and first["graph_nodes"] >= 2 and first["graph_edges"] >= 1
+    assert {r.table: r.n for r in lanes.run_backfill(raw, str(tmp_path / "lake")).collect()} == first
+    with pytest.raises(ValueError, match="lat_range"):
+        lanes.run_backfill(raw.withColumn("lat", F.lit(95.0)), str(tmp_path / "other"))
+    assert not (tmp_path / "other").exists()
