@@ -261,6 +261,24 @@ def test_similar_documents(spark, docs, none):
     assert stay.columns == docs.columns and stay.where("doc_id between 30 and 49").count() == len({id(of[i]) for i in range(30, 50)})
 
 
+def test_classes_that_hang_on_one_text(spark, monkeypatch):
+    """Copies that are like their model but not like each other, next to texts that share a frame and are like nobody."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    model, data = prose(70, 300).split(" "), []
+    data.append((100, " ".join(model)))
+    for i in range(1, 120):
+        r, words = random.Random(i), list(model)
+        for at in r.sample(range(5, 295), 5 if i <= 60 else 22):
+            words[at] = f"w{i}x{at}"
+        data.append((100 + i, " ".join(words)))
+    got = {r.doc_id: r for r in jaccard_join.similar_documents(spark.createDataFrame(data, "doc_id long, text string").repartition(6)).collect()}
+    links, keys = brute_links(data)
+    near_model = [i for i in range(100, 161) if jaccard(shingles(word_hashes(data[0][1])), shingles(word_hashes(data[i - 100][1]))) >= 0.8]
+    assert len(near_model) > 55 and len(links) < 90
+    assert {got[i].class_id for i in near_model} == {100}
+    assert all(got[i].class_id == i for i in range(161, 220) if got[i].n_links == 0) and got[100].n_links >= len(near_model) - 1
+
+
 def test_forest_depth():
     k = jaccard_join.matched_depth()
     assert 1 - (1 - 0.8**k) ** jaccard_join.TREES >= jaccard_join.TARGET_RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard_join.TREES
