@@ -19,6 +19,13 @@ def _windows(words, size):
     )
 
 
+def _window_hashes(words, size):
+    """One 64-bit hash for each window, without building its string."""
+    return F.when(
+        F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))
+    )
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Distinct windows of the items: gram, n_words, items (ids as sorted strings).
 
@@ -40,40 +47,43 @@ def contamination(
     """Per row: `id_col`, n_words, n_hit, items (array), spans (array of start, length in words) and, with `carry`, the whole row as `carried`.
 
     Words are runs of other than ASCII non-alphanumerics, A-Z lower-cased. A
-    word inside any occurrence of a window is hit. Windows are compared as
-    whole strings, so no hash can be wrong.
+    word inside any occurrence of a window is hit. Windows meet by a hash and
+    are then compared as whole strings, so no hash can be wrong.
 
     Null and empty texts have no words. Rows that repeat id and text get equal
     rows each; rows with a null id are told apart by their texts. Extra columns
     are ignored unless carried. Empty tables give an empty result or no hits.
     """
-    grams = saved(benchmark_windows(benchmark, window, text_col="text"))
+    grams = benchmark_windows(benchmark, window, text_col="text").withColumn("gram_hash", F.xxhash64(F.split("gram", " ")))
+    grams = saved(grams)
     about = grams.agg(F.count(F.lit(1)), F.sum(F.octet_length("gram")), F.collect_set("n_words")).first()
     small = about[0] <= MAX_BROADCAST_WINDOWS and (about[1] or 0) <= MAX_BROADCAST_BYTES
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.struct(*([F.col("*")] if carry else [F.col(text_col)])).alias("carried"))
-    body = F.col("carried")[text_col]
+    words = words_az(F.col("carried")[text_col])
     whole = ["carried"] if carry else []
     hits = None
     for size in sorted(about[2] or []):  # at most `window` different sizes
-        own = grams.where(F.col("n_words") == size).select("gram", "items")
-        at = d.select("id", "text_hash", words_az(body).alias("words")).select(
-            "id", "text_hash", F.posexplode(_windows(F.col("words"), F.lit(size))).alias("start", "gram")
+        own = grams.where(F.col("n_words") == size).select("gram_hash", "gram", "items")
+        at = d.select("id", "text_hash", words.alias("words")).select(
+            "id", "text_hash", F.posexplode(_window_hashes(F.col("words"), F.lit(size))).alias("start", "gram_hash")
         )
-        found = at.join(F.broadcast(own) if small else own, "gram").select("id", "text_hash", "start", F.lit(size).alias("length"), "items")
+        found = at.join(F.broadcast(own) if small else own, "gram_hash").select("id", "text_hash", "start", F.lit(size).alias("length"), "gram", "items")
         hits = found if hits is None else hits.unionByName(found)
-    sized = d.select("id", "text_hash", F.coalesce(F.size(words_az(body)), F.lit(0)).cast("long").alias("n_words"), *whole)
-    sized = sized.withColumn("n_words", F.greatest(F.col("n_words"), F.lit(0).cast("long")))
-    none = F.array().cast("array<struct<start:int,length:int>>")
+    spot = "array<struct<start:int,length:int,gram:string,items:array<string>>>"
+    sized = d.select("id", "text_hash", F.coalesce(words, F.array().cast("array<string>")).alias("words"), *whole)
     if hits is None:
-        found = sized.withColumn("spans", none).withColumn("items", F.array().cast("array<string>"))
+        found = sized.withColumn("met", F.array().cast(spot))
     else:
         per_doc = hits.groupBy(F.col("id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).agg(
-            F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+            F.collect_set(F.struct("start", "length", "gram", "items")).alias("met")
         )
-        found = sized.join(per_doc, (F.col("text_hash") == F.col("hit_hash")) & F.col("id").eqNullSafe(F.col("hit_id")), "left").withColumn(
-            "spans", F.coalesce("spans", none)
-        ).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+        found = sized.join(per_doc, (F.col("text_hash") == F.col("hit_hash")) & F.col("id").eqNullSafe(F.col("hit_id")), "left")
+    same = F.filter("met", lambda s: F.array_join(F.slice("words", s["start"] + 1, s["length"]), " ") == s["gram"])
+    found = found.select("id", *whole, F.size("words").cast("long").alias("n_words"), F.coalesce(same, F.array().cast(spot)).alias("met")).select(
+        "id", *whole, "n_words",
+        F.array_sort(F.transform("met", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("met", lambda s: s["items"])))).alias("items"),
+    )
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
