@@ -60,7 +60,6 @@ def contamination(
     small = about[0] <= MAX_BROADCAST_WINDOWS and (about[1] or 0) <= MAX_BROADCAST_BYTES
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.struct(*([F.col("*")] if carry else [F.col(text_col)])).alias("carried"))
     words = words_az(F.col("carried")[text_col])
-    whole = ["carried"] if carry else []
     hits = None
     for size in sorted(about[2] or []):  # at most `window` different sizes
         own = grams.where(F.col("n_words") == size).select("gram_hash", "gram", "items")
@@ -70,7 +69,8 @@ def contamination(
         found = at.join(F.broadcast(own) if small else own, "gram_hash").select("id", "text_hash", "start", F.lit(size).alias("length"), "gram", "items")
         hits = found if hits is None else hits.unionByName(found)
     spot = "array<struct<start:int,length:int,gram:string,items:array<string>>>"
-    sized = d.select("id", "text_hash", F.coalesce(words, F.array().cast("array<string>")).alias("words"), *whole)
+    sized = d.select("id", "text_hash", F.coalesce(F.size(words), F.lit(0)).alias("n_words"), "carried")
+    sized = sized.withColumn("n_words", F.greatest(F.col("n_words"), F.lit(0)).cast("long"))
     if hits is None:
         found = sized.withColumn("met", F.array().cast(spot))
     else:
@@ -78,8 +78,10 @@ def contamination(
             F.collect_set(F.struct("start", "length", "gram", "items")).alias("met")
         )
         found = sized.join(per_doc, (F.col("text_hash") == F.col("hit_hash")) & F.col("id").eqNullSafe(F.col("hit_id")), "left")
-    same = F.filter("met", lambda s: F.array_join(F.slice("words", s["start"] + 1, s["length"]), " ") == s["gram"])
-    found = found.select("id", *whole, F.size("words").cast("long").alias("n_words"), F.coalesce(same, F.array().cast(spot)).alias("met")).select(
+    # a text without hits is not split again; the outer array binds the words of the others once
+    same = F.transform(F.array(words), lambda w: F.filter("met", lambda s: F.array_join(F.slice(w, s["start"] + 1, s["length"]), " ") == s["gram"]))[0]
+    whole = ["carried"] if carry else []
+    found = found.select("id", *whole, "n_words", F.coalesce(F.when(F.col("met").isNotNull(), same), F.array().cast(spot)).alias("met")).select(
         "id", *whole, "n_words",
         F.array_sort(F.transform("met", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("met", lambda s: s["items"])))).alias("items"),
