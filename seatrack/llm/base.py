@@ -77,16 +77,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """One hash for each run of `size` words, in order; there are at least `size` words."""
+    n = len(hashes) - size + 1
+    total = np.full(n, np.uint64(size), dtype=np.uint64)
+    for j in range(size):
+        total = mixed(total + hashes[j : j + n] * _MIX[j % 5])
+    return total
+
+
 def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of all runs of `size` words; a shorter text is one shingle, an empty one none."""
     if not len(hashes):
         return hashes
-    k = min(size, len(hashes))
-    n = len(hashes) - k + 1
-    total = np.full(n, np.uint64(k), dtype=np.uint64)
-    for j in range(k):
-        total = mixed(total + hashes[j : j + n] * _MIX[j % 5])
-    return np.unique(total)
+    return np.unique(grams(hashes, min(size, len(hashes))))
 
 
 def set_key(shingle_set: np.ndarray) -> str | None:

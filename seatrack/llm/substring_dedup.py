@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORD_BYTES, minhashes, saved, set_key, shingles
+from .base import WORD_BYTES, grams, minhashes, mixed, saved, set_key, shingles
 from .near import components, sorted_neighbours, verified
 
 THRESHOLD = 0.8
@@ -22,7 +22,11 @@ MIN_PARAGRAPH_WORDS = 20
 CUT, MIN_PIECE = 8, 6
 #: Repeated pieces at most MAX_GAP words apart are one passage; a passage goes if it has MIN_PASSAGE words.
 MAX_GAP, MIN_PASSAGE = 10, 20
+#: Anchors are hashes of ANCHOR words; each window of MIN_PASSAGE words has the least of its anchors, so equal windows have equal ones.
+ANCHOR = 8
 _REACH = 2
+#: Multipliers (odd, with their inverses modulo 2**64) of the two halves of a run's 128-bit hash.
+_BASES = [(np.uint64(r), np.uint64(pow(r, -1, 2**64)), np.uint64(seed)) for r, seed in ((0x9E3779B97F4A7C15, 1), (0xD6E8FEB86659FD93, 2))]
 
 
 def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -36,34 +40,71 @@ def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return hashes, starts, ends, np.searchsorted(breaks, starts)
 
 
-def units_of(raw: bytes) -> Iterator[tuple]:
-    """(kind, first word, word after the last, node, signature) of the paragraphs (p) and pieces (f) that are candidates."""
-    hashes, starts, _, paragraph = _words(raw)
+def run_hashes(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a hash of each run of words [first, stop)."""
+    out = []
+    for base, inverse, seed in _BASES:
+        up, down = (np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(len(hashes), x, dtype=np.uint64)))) for x in (base, inverse))
+        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mixed(hashes + seed) * up[:-1])))
+        out.append(mixed((total[stop] - total[first]) * down[first] + (stop - first).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
+def stretches(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first word, word after the last) of each run of windows of MIN_PASSAGE words with one anchor; line ends count for nothing."""
+    if len(hashes) < MIN_PASSAGE:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(grams(hashes, ANCHOR), MIN_PASSAGE - ANCHOR + 1).min(axis=1)
+    first = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
+    return least[first].view(np.int64), first, np.append(first[1:], len(least)) + MIN_PASSAGE - 1
+
+
+def units_of(hashes: np.ndarray, paragraph: np.ndarray) -> tuple[list[tuple], tuple[np.ndarray, ...]]:
+    """Paragraphs that are candidates: (first word, word after the last, node, signature); and runs: arrays (is a stretch, anchor, rest of the key, first, stop).
+
+    Runs are the pieces between content-defined cuts, and the stretches.
+    """
+    lines: list[tuple] = []
     if not len(hashes):
-        return
+        return lines, tuple(np.zeros(0, dtype=t) for t in (bool, np.int64, np.int64, np.int64, np.int64))
     firsts = np.flatnonzero(np.diff(paragraph, prepend=-1))
     lasts = np.append(firsts[1:], len(hashes))
     for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
         if b - a >= MIN_PARAGRAPH_WORDS:
-            grams = shingles(hashes[a:b])
-            yield "p", a, b, set_key(grams), minhashes(grams, BANDS * ROWS).tobytes()
+            held = shingles(hashes[a:b])
+            lines.append((a, b, set_key(held), minhashes(held, BANDS * ROWS).tobytes()))
     stop = np.union1d(np.flatnonzero(hashes % np.uint64(CUT) == 0) + 1, lasts)
     begin = np.concatenate(([0], stop[:-1]))
-    for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
-        if b - a >= MIN_PIECE:
-            yield "f", a, b, xxhash.xxh3_128_hexdigest(hashes[a:b].tobytes()), None
+    long = stop - begin >= MIN_PIECE
+    anchor, first, last = stretches(hashes)
+    first, last = np.concatenate((begin[long], first)), np.concatenate((stop[long], last))
+    one, two = run_hashes(hashes, first, last)
+    n = int(long.sum())
+    # a piece is named by its hash alone, a stretch by its anchor first
+    return lines, (np.arange(len(first)) >= n, np.concatenate((one[:n], anchor)), two, first, last)
 
 
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), 200):
-            out: list = []
-            for key, same, text in zip(batch.id[at : at + 200], batch.doc_key[at : at + 200], batch.text[at : at + 200], strict=True):
+            part = batch.iloc[at : at + 200]
+            out, runs = [], []
+            for key, same, text in zip(part.id, part.doc_key, part.text, strict=True):
                 raw = (text or "").encode()
+                hashes, _, _, paragraph = _words(raw)
                 # the document itself: its words and paragraphs
-                out.append((key, same, "d", len(raw.translate(WORD_BYTES).split()), raw.count(b"\n") + 1, None, None))
-                out += ((key, same, *unit) for unit in units_of(raw))
-            yield pd.DataFrame(out, columns=["id", "doc_key", "kind", "first", "stop", "node", "signature"]).astype({"id": object})
+                out.append((key, same, "d", len(hashes), raw.count(b"\n") + 1, None, None, None, None))
+                lines, found = units_of(hashes, paragraph)
+                out += ((key, same, "p", a, b, None, None, node, signature) for a, b, node, signature in lines)
+                runs.append(found)
+            columns = ["id", "doc_key", "kind", "first", "stop", "anchor", "rest", "node", "signature"]
+            yield pd.DataFrame(out, columns=columns).astype({"id": object, "anchor": "Int64", "rest": "Int64"})
+            sizes = [len(x[0]) for x in runs]
+            is_stretch, anchor, rest, first, stop = (np.concatenate(x) for x in zip(*runs, strict=True))
+            yield pd.DataFrame({
+                "id": np.repeat(part.id.to_numpy(dtype=object), sizes), "doc_key": np.repeat(part.doc_key.to_numpy(), sizes), "kind": np.where(is_stretch, "w", "f").astype(object),
+                "first": first, "stop": stop, "anchor": anchor, "rest": rest, "node": None, "signature": None,
+            }, columns=columns)
 
 
 def merged_spans(pieces: list[tuple[int, int]], paragraphs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -89,7 +130,7 @@ def _merge(found: pd.Series) -> pd.Series:
             return []
         split = {"p": [], "f": []}
         for u in units:
-            split[u["kind"]].append((u["first"], u["stop"]))
+            split["p" if u["kind"] == "p" else "f"].append((u["first"], u["stop"]))
         return [{"first": a, "stop": b} for a, b in merged_spans(split["f"], split["p"])]
 
     return found.map(one)
@@ -102,8 +143,10 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     more are banded by MinHash over five-word shingles; colliding ones are
     verified by exact Jaccard and clustered by components. A cluster found in
     two or more documents stays in the least of them, by id, and goes from the
-    others. A passage inside otherwise different paragraphs is found by pieces
-    that content-defined cuts make, compared exactly, under the same rule.
+    others. Every run of MIN_PASSAGE words that a document before it holds too
+    goes, wherever it begins or lines end: windows of that length meet by their
+    anchors, and those not settled by whole stretches are compared one by one.
+    Shorter repeated pieces, made by content-defined cuts, join runs near them.
 
     Null and empty texts have one paragraph without words, and nothing goes.
     Rows that repeat id and text are one document, with equal result rows.
@@ -112,8 +155,8 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     """
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("doc_key"), F.col(text_col).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
-    units = saved(d.mapInPandas(_units, f"id {kind}, doc_key long, kind string, first int, stop int, node string, signature binary"))
-    lines, pieces = units.where("kind = 'p'"), units.where("kind = 'f'")
+    units = saved(d.mapInPandas(_units, f"id {kind}, doc_key long, kind string, first int, stop int, anchor long, rest long, node string, signature binary"))
+    lines = units.where("kind = 'p'")
 
     nodes = lines.groupBy("node").agg(F.first("signature").alias("signature"))
     keys = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.concat(
@@ -137,12 +180,35 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     texts = d.join(asked, d.doc_key == asked.asked_key).dropDuplicates(["doc_key"]).select("text", "spans").mapInPandas(cut, "node string, text string")
     roots = components(verified(pairs, texts, threshold).select("a", "b"))
     lines = lines.join(roots, "node", "left").withColumn("cluster", F.coalesce("root", "node"))
-    held = lines.select("id", "doc_key", "kind", "first", "stop", "cluster").unionByName(
-        pieces.select("id", "doc_key", "kind", "first", "stop", F.concat(F.lit("f"), "node").alias("cluster"))
-    )
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "doc_key")
-    shared = held.groupBy("cluster").agg(F.min(place).alias("keep"), F.max(place).alias("other")).where("keep <> other").select("cluster", F.col("keep.doc_key").alias("keep_key"))
-    lost = held.join(shared, "cluster").where("doc_key <> keep_key").groupBy(F.col("doc_key").alias("lost_key")).agg(F.collect_set(F.struct("kind", "first", "stop")).alias("lost"))
+    bounds = F.min(place).alias("keep"), F.max(place).alias("other")
+
+    def lost_of(rows: DataFrame, *key: str) -> DataFrame:
+        shared = rows.groupBy(*key).agg(*bounds).where("keep <> other").select(*key, F.col("keep.doc_key").alias("keep_key"))
+        return rows.join(shared, [*key]).where("doc_key <> keep_key").select("doc_key", "kind", "first", "stop")
+
+    # runs whose anchor is in several documents; of the stretches of one anchor, each distinct one stays in its least document
+    runs = units.where("kind in ('f', 'w')").select("id", "doc_key", "kind", "first", "stop", "anchor", "rest")
+    shared = runs.groupBy("kind", "anchor").agg(*bounds, (F.min("rest") != F.max("rest")).alias("differ")).where("keep <> other").select("kind", "anchor", F.col("keep.doc_key").alias("least_key"), "differ")
+    met = saved(runs.join(shared, ["kind", "anchor"]))
+    heads = met.where("differ").groupBy("kind", "anchor", "rest").agg(F.min(place).alias("keep")).select("kind", "anchor", "rest", F.col("keep.doc_key").alias("head_key"))
+    told = met.join(heads, ["kind", "anchor", "rest"], "left").withColumn("keep_key", F.coalesce("head_key", "least_key"))
+    lost_runs = told.where("doc_key <> keep_key").select("doc_key", "kind", "first", "stop")
+    # what such a stretch shares with a different one of its anchor
+    left = told.where("kind = 'w' and differ and doc_key = keep_key").groupBy(F.col("doc_key").alias("asked_key")).agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, same, text, spans in zip(batch.id, batch.doc_key, batch.text, batch.spans, strict=True):
+                hashes = _words((text or "").encode())[0]
+                first = np.unique(np.concatenate([np.arange(s["first"], s["stop"] - MIN_PASSAGE + 1) for s in spans]))
+                one, two = run_hashes(hashes, first, first + MIN_PASSAGE)
+                yield pd.DataFrame({"id": pd.Series([key] * len(first), dtype=object), "doc_key": same, "kind": "w", "first": first, "stop": first + MIN_PASSAGE, "one": one, "two": two})
+
+    asked_texts = d.join(left, d.doc_key == left.asked_key).dropDuplicates(["doc_key"]).select("id", "doc_key", "text", "spans")
+    opened = saved(asked_texts.mapInPandas(windows, f"id {kind}, doc_key long, kind string, first int, stop int, one long, two long"))
+    lost = lost_of(lines.select("id", "doc_key", "kind", "first", "stop", "cluster"), "cluster").unionByName(lost_runs).unionByName(lost_of(opened, "one", "two"))
+    lost = lost.groupBy(F.col("doc_key").alias("lost_key")).agg(F.collect_set(F.struct("kind", "first", "stop")).alias("lost"))
     about = units.where("kind = 'd'").select("id", "doc_key", F.col("first").alias("n_words"), F.col("stop").alias("n_paragraphs"))
     out = about.join(lost, about.doc_key == lost.lost_key, "left").withColumn("spans", F.pandas_udf(_merge, "array<struct<first:int,stop:int>>")("lost"))
     removed = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["stop"] - s["first"])

@@ -338,6 +338,28 @@ def test_substring_dedup(spark, docs, none):
     assert cut[0] == data[0][1] and " ".join(near_copy) not in cut[201] and cut[300] is None
 
 
+def test_every_shared_passage_is_found(spark):
+    """Passages of 20, 21, 51 and 60 words at random places of differing texts, also in lines of one to five words; each shared word goes from the later document."""
+    r, data, want = random.Random(11), [], {}
+    for i in range(240):
+        words = prose(90_000 + i, r.choice([20, 21, 51, 60])).split(" ")
+        cut = r.randrange(1, 6) if i % 2 else 10**6
+        passage = "\n".join(" ".join(words[at : at + cut]) for at in range(0, len(words), cut))
+        for j in (0, 1):
+            before = prose(91_000 + 2 * i + j, r.randrange(30))
+            data.append((2 * i + j, f"{before} {passage} {prose(92_000 + 2 * i + j, r.randrange(30))}"))
+            want[2 * i + j] = (len(before.split()), len(before.split()) + len(words))
+    # two documents share more with each other than with the first one, by the same anchors
+    long = prose(95_000, 60).split(" ")
+    data += [(1000, f"{prose(1, 9)} {' '.join(long[15:45])} {prose(2, 9)}"), (1001, f"{prose(3, 9)} {' '.join(long)}"), (1002, f"{prose(4, 9)} {' '.join(long)}")]
+    want |= {1001: (24, 54), 1002: (9, 69)}
+    got = {x.doc_id: [tuple(s) for s in x.spans] for x in substring_dedup.repeated_passages(spark.createDataFrame(data, "doc_id long, text string").repartition(7)).collect()}
+    assert all(got[i] == [] for i in (*range(0, 480, 2), 1000))
+    for i in (*range(1, 480, 2), 1001, 1002):
+        a, b = want[i]
+        assert any(x <= a and b <= y and y - x <= b - a + 2 for x, y in got[i]), (i, got[i], want[i])
+
+
 def test_lm_score(spark, docs, none):
     good = {i: prose(i, 80) for i in range(40)}
     other = {100 + i: " ".join(f"zz{random.Random(i * 99 + k).randrange(40)}" for k in range(80)) for i in range(80)}
