@@ -279,6 +279,40 @@ def test_classes_that_hang_on_one_text(spark, monkeypatch):
     assert all(got[i].class_id == i for i in range(161, 220) if got[i].n_links == 0) and got[100].n_links >= len(near_model) - 1
 
 
+def framed_texts(n_model, n_frame, n_pairs, size=100):
+    """Copies of one model that are not like each other, texts that share a frame below the threshold, and pairs of 0.8 or more among these."""
+    model, data = prose(71, size).split(" "), []
+    for i in range(n_model + n_frame):
+        r, words = random.Random(500 + i), list(model if i < n_model else prose(72, size).split(" "))
+        for at in r.sample(range(2, size // 5), 2 if i < n_model else 3) if i else []:
+            words[at * 5] = f"w{i}x{at}"
+        data.append(words)
+    for i in range(n_model, n_model + n_pairs):
+        data.append([*data[i][:-1], f"end{i}"])
+    return [(i, " ".join(x)) for i, x in enumerate(data)]
+
+
+def brute_classes(data):
+    """Least id of each text's component under Jaccard of 0.8 or more."""
+    sets, least = {i: shingles(word_hashes(t)) for i, t in data}, {i: i for i, _ in data}
+    links = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+    for _ in data:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    return least, links
+
+
+def test_no_pair_of_a_large_run_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    data = framed_texts(60, 90, 30)
+    least, links = brute_classes(data)
+    assert len(links) >= 80 and len(set(least.values())) > 60
+    made = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    # prefixes of one hash in 40 trees: a pair at the threshold meets with probability 1 - 1e-28
+    got = {r.doc_id: r.class_id for r in jaccard_join.similar_documents(made, trees=40, depth=1).collect()}
+    assert got == least
+
+
 def test_forest_depth():
     k = jaccard_join.matched_depth()
     assert 1 - (1 - 0.8**k) ** jaccard_join.TREES >= jaccard_join.TARGET_RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard_join.TREES
