@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import WORD_BYTES, grams, minhashes, mixed, saved, set_key, shingles
-from .near import components, sorted_neighbours, verified
+from .jaccard_join import joined_classes
+from .near import sorted_neighbours, verified
 
 THRESHOLD = 0.8
 #: A pair at the threshold meets in some band with probability 1 - (1 - 0.8**2)**5 = 0.994.
@@ -141,7 +142,8 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
 
     Paragraphs are the lines of the text. Those of MIN_PARAGRAPH_WORDS words or
     more are banded by MinHash over five-word shingles; colliding ones are
-    verified by exact Jaccard and clustered by components. A cluster found in
+    verified by exact Jaccard and clustered by components; all of one bucket
+    whose clusters still differ meet, block by block. A cluster found in
     two or more documents stays in the least of them, by id, and goes from the
     others. Every run of MIN_PASSAGE words that a document before it holds too
     goes, wherever it begins or lines end: windows of that length meet by their
@@ -158,16 +160,12 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     units = saved(d.mapInPandas(_units, f"id {kind}, doc_key long, kind string, first int, stop int, anchor long, rest long, node string, signature binary"))
     lines = units.where("kind = 'p'")
 
-    nodes = lines.groupBy("node").agg(F.first("signature").alias("signature"))
+    nodes = saved(lines.groupBy("node").agg(F.first("signature").alias("signature")))
     keys = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.concat(
         F.unhex(F.lpad(F.hex(b.cast("long")), 2, "0")), F.substring(F.col("signature"), b * (ROWS * 4) + 1, F.lit(ROWS * 4))
     ))).alias("key"))
     width = 1 + ROWS * 4
     pairs = saved(sorted_neighbours(keys, width, width, _REACH))
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    where = lines.join(named, "node").groupBy("node").agg(F.min(F.struct("doc_key", "first", "stop")).alias("at"))
-    asked = where.groupBy(F.col("at.doc_key").alias("asked_key")).agg(F.collect_list(F.struct("node", "at.first", "at.stop")).alias("spans"))
-
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -177,9 +175,15 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
                 out += [(s["node"], raw[starts[s["first"]] : ends[s["stop"] - 1]].decode("utf-8", "replace")) for s in spans]
             yield pd.DataFrame(out, columns=["node", "text"])
 
-    texts = d.join(asked, d.doc_key == asked.asked_key).dropDuplicates(["doc_key"]).select("text", "spans").mapInPandas(cut, "node string, text string")
-    roots = components(verified(pairs, texts, threshold).select("a", "b"))
-    lines = lines.join(roots, "node", "left").withColumn("cluster", F.coalesce("root", "node"))
+    def texts_of(named: DataFrame) -> DataFrame:
+        where = lines.join(named, "node").groupBy("node").agg(F.min(F.struct("doc_key", "first", "stop")).alias("at"))
+        asked = where.groupBy(F.col("at.doc_key").alias("asked_key")).agg(F.collect_list(F.struct("node", "at.first", "at.stop")).alias("spans"))
+        return d.join(asked, d.doc_key == asked.asked_key).dropDuplicates(["doc_key"]).select("text", "spans").mapInPandas(cut, "node string, text string")
+
+    links = saved(verified(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), threshold))
+    # in a run of up to _REACH + 1 rows every pair has met already
+    roots, _ = joined_classes(nodes, links, texts_of, BANDS, ROWS, ROWS, threshold, _REACH + 2)
+    lines = lines.join(roots.withColumnRenamed("root", "cluster"), "node")
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "doc_key")
     bounds = F.min(place).alias("keep"), F.max(place).alias("other")
 

@@ -313,6 +313,14 @@ def test_no_pair_of_a_large_run_is_lost(spark, monkeypatch):
     assert got == least
 
 
+def test_no_paragraph_of_a_large_bucket_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    data = framed_texts(60, 90, 30)
+    got = {r.doc_id: r.n_removed_words for r in substring_dedup.repeated_passages(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()}
+    # the changed last word goes only with its paragraph
+    assert all(got[i] == 100 for i in range(150, 180))
+
+
 def test_forest_depth():
     k = jaccard_join.matched_depth()
     assert 1 - (1 - 0.8**k) ** jaccard_join.TREES >= jaccard_join.TARGET_RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard_join.TREES
