@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seatrack.operators import cdc, detect, features, graph, joins, lanes, prisms, stats
+from seatrack.plans import track_queries
 from seatrack.sources import reports, tables
 from seatrack.streaming import jobs
 
@@ -136,6 +137,14 @@ def test_prisms_and_meetings(spark):
     assert prisms.overlap_groups(np.array([179.0, -179.5, 0.0]), np.array([181.0, -178.5, 1.0]), np.zeros(3), np.ones(3)).tolist() == [0, 0, 2]
 
 
+def test_meetings_use_every_silence_over_600_s(spark):
+    d = "/root/testdata/sf0.001"
+    short = {r.prism_id for r in track_queries.gap_prisms(spark, d).where("duration_s <= 1500").select("prism_id").collect()}
+    for name in ("d13_rendezvous_tgard", "d14_prism_intersections"):
+        met = {(r.a, r.b) for r in track_queries.ENTRIES[name][0](spark, d).select("a", "b").collect()}
+        assert any(a in short or b in short for a, b in met), name
+
+
 def test_short_history_scores_no_gap(spark):
     rows = [(1, i, 1717200000 + i * 5000, 40.4, -74.1) for i in range(3)]
     df = spark.createDataFrame(rows, "mmsi long, seq long, s long, lat double, lon double").select("mmsi", "seq", F.timestamp_seconds("s").alias("t"), "lat", "lon")
