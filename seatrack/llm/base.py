@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import itertools
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -20,11 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors: spark.checkpoint.dir, or an own one where it is unset."""
+    """Folder shared by driver and executors: spark.checkpoint.dir, or a subfolder of the warehouse where it is unset."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-scratch-")
+        # executors share the warehouse too; a temporary folder of the driver's machine they may not see
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -93,21 +95,56 @@ def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return np.unique(grams(hashes, min(size, len(hashes))))
 
 
-def set_key(shingle_set: np.ndarray) -> str | None:
-    """Name of a shingle set: equal sets have equal names; none for the empty set."""
-    return xxhash.xxh3_128_hexdigest(shingle_set.tobytes()) if len(shingle_set) else None
-
-
-def minhashes(shingle_set: np.ndarray, count: int, seed: int = 7) -> np.ndarray:
-    """`count` 32-bit minimum hashes, big-endian so that their bytes sort as the numbers do."""
+def portions(sizes: list[int], limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges [first, stop) of items that have about `limit` bytes together, one item at least."""
+    first = held = 0
+    for i, size in enumerate(sizes):
+        if i > first and held + size > limit:
+            yield first, i
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def hashes_of(parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(one 64-bit hash for each word of all parts, words of each part)."""
+    counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    flat = itertools.chain.from_iterable(parts)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, flat), dtype=np.uint64, count=int(counts.sum())), counts
+
+
+def shingles_of(hashes: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of all texts in a row, repeats included; shingles of each text), as shingles() makes them for one text."""
+    found = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    first, at = np.cumsum(counts) - counts, np.cumsum(found) - found
+    values = np.zeros(int(found.sum()), dtype=np.uint64)
+    if len(hashes) >= size:
+        text = np.repeat(np.arange(len(counts)), counts)
+        values[np.repeat(counts >= size, found)] = grams(hashes, size)[text[: len(text) - size + 1] == text[size - 1 :]]
+    for n in range(1, size):
+        short = np.flatnonzero(counts == n)
+        if len(short):
+            words = hashes[first[short][:, None] + np.arange(n)]
+            total = np.full(len(short), np.uint64(n), dtype=np.uint64)
+            for j in range(n):
+                total = mixed(total + words[:, j] * _MIX[j % 5])
+            values[at[short]] = total
+    return values, found
+
+
+def minhashes_of(values: np.ndarray, found: np.ndarray, count: int, seed: int = 7) -> np.ndarray:
+    """`count` 32-bit minimum hashes of each text that has a shingle, big-endian; a row of zeros for one without."""
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 2**63, count, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 2**63, count, dtype=np.uint64)
-    low = np.full(count, 2**32 - 1, dtype=np.uint64)
-    for at in range(0, len(shingle_set), 2048):  # bounded memory for a text of any length
-        part = shingle_set[at : at + 2048]
-        low = np.minimum(low, ((part[:, None] * a + b) >> np.uint64(32)).min(axis=0))
-    return low.astype(">u4")
+    out = np.zeros((len(found), count), dtype=">u4")
+    some = found > 0
+    if len(values):
+        at = (np.cumsum(found) - found)[some]
+        for k in range(count):
+            out[some, k] = np.minimum.reduceat((values * a[k] + b[k]) >> np.uint64(32), at)
+    return out
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:

@@ -1,4 +1,4 @@
-"""Candidate pairs from sorted keys, exact verification and components, for the near-duplicate operators."""
+"""Classes of similar texts from MinHash signatures: candidates by shared prefixes, exact verification, components."""
 
 from __future__ import annotations
 
@@ -6,78 +6,70 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import jaccard, saved, shingles, word_hashes
+from .base import jaccard, mixed, saved, shingles, word_hashes
 
+#: Rows of a run that meet in one task, on either side.
+BLOCK = 512
+#: Runs of at most SMALL rows are not cut into blocks, and many of them share a task.
+SMALL = 16
+#: A pair at the threshold meets with at least this probability, however few such links the data show.
+LEAST_RECALL = 0.95
 
-def _neighbours(width: int, prefix: int, reach: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, nodes = np.zeros((0, width), dtype=np.uint8), np.zeros(0, dtype=object)
-        fresh, leader = 0, None  # rows already paired; key prefix and node that head the open run
-        first = True
-        tail = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            new = np.frombuffer(b"".join(map(bytes, batch.key)), dtype=np.uint8).reshape(len(batch), width)
-            k, n = np.concatenate((keys, new)), np.concatenate((nodes, batch.node.to_numpy(dtype=object)))
-            fresh = len(keys)
-            pairs = []
-            for d in range(1, min(reach, len(n) - 1) + 1):
-                at = np.arange(max(d, fresh), len(n))
-                at = at[(k[at, :prefix] == k[at - d, :prefix]).all(axis=1)]
-                pairs.append((n[at], n[at - d]))
-            # every row also meets the head of its run, so that a long run hangs together whatever its order
-            starts = np.ones(len(new), dtype=bool)
-            starts[1:] = (new[1:, :prefix] != new[:-1, :prefix]).any(axis=1)
-            heads = np.maximum.accumulate(np.where(starts, np.arange(len(new)), 0))
-            head_nodes = batch.node.to_numpy(dtype=object)[heads]
-            if leader is not None and bytes(new[0, :prefix]) == leader[0]:
-                head_nodes[heads == 0] = leader[1]
-            pairs.append((batch.node.to_numpy(dtype=object), head_nodes))
-            leader = (bytes(new[-1, :prefix]), head_nodes[-1])
-            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            differ = a != b
-            yield pd.DataFrame({"a": np.minimum(a[differ], b[differ]), "b": np.maximum(a[differ], b[differ]), "key": None})
-            if first:
-                yield pd.DataFrame({"a": batch.node[:reach], "b": None, "key": batch.key[:reach]})
-                first = False
-            keys, nodes = k[-reach:], n[-reach:]
-            tail = pd.DataFrame({"a": nodes, "b": None, "key": [bytes(x) for x in keys]})
-        if tail is not None:
-            yield tail
 
-    return run
+def meeting(similarity: float, trees: int, depth: int) -> float:
+    """Probability that a pair shares a prefix of `depth` values in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def matched_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
+    """The longest prefix, shortened from the full depth, at which a pair at the threshold meets with the recall."""
+    while depth > 1 and meeting(threshold, trees, depth) < recall:
+        depth -= 1
+    return depth
+
+
+def _run(trees: int, depth: int, at: int) -> Column:
+    """Exploded (tree, run): a hash of the first `at` of the `depth` values that the signature has for each tree."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.xxhash64(t, F.substring(F.col("signature"), t * (depth * 4) + 1, F.lit(at * 4))).alias("run")
+    )))
+
+
+def in_company(nodes: DataFrame, trees: int, depth: int, at: int) -> DataFrame:
+    """Nodes that share a prefix of `at` values with another one in some tree."""
+    legs = nodes.select("node", _run(trees, depth, at).alias("leg")).select("node", "leg.run")
+    several = legs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run")
+    return legs.join(several, "run").select("node").distinct()
 
 
-def sorted_neighbours(rows: DataFrame, width: int, prefix: int, reach: int) -> DataFrame:
-    """Distinct pairs a < b of nodes whose keys share their first `prefix` bytes and are neighbours in sorted order.
+def pivot_pairs(classes: DataFrame, trees: int, depth: int, at: int) -> DataFrame:
+    """Distinct pairs (a, b) of the rows of each run with the run's pivot, where their classes differ.
 
-    rows: (key binary of `width` bytes, node string). Each row meets the
-    `reach` rows before it and the head of its run, so pairs grow with rows.
-    Sampled splitters cut the sorted rows anywhere, also inside a long run; the
-    first and last `reach` rows of every partition are compared once more.
+    classes: (node, cls, signature). The pivot is the least node of the least
+    class, so that the runs of one group mostly agree on it and pairs grow with
+    the rows, not with their square.
     """
-    cut = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    found = saved(cut.select("key", "node").mapInPandas(_neighbours(width, prefix, reach), "a string, b string, key binary"))
-    edges = found.where("key is null").select("a", "b")
-    # a few rows for each partition
-    seams = found.where("key is not null").select("key", F.col("a").alias("node")).distinct().coalesce(1).sortWithinPartitions("key", "node")
-    more = seams.mapInPandas(_neighbours(width, prefix, reach), "a string, b string, key binary").where("key is null").select("a", "b")
-    return edges.unionByName(more).distinct()
+    legs = classes.select("node", "cls", _run(trees, depth, at).alias("leg")).select("node", "cls", "leg.run")
+    pivots = (
+        legs.groupBy("run").agg(F.min(F.struct("cls", "node")).alias("pivot"), F.max("cls").alias("last")).where("pivot.cls <> last")
+        .select("run", F.col("pivot.cls").alias("pivot_cls"), F.col("pivot.node").alias("pivot"))
+    )
+    met = legs.join(pivots, "run").where("cls <> pivot_cls")
+    return met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) with similarity: the exact Jaccard of the five-word shingle sets, `threshold` or more.
 
-    texts: (node string, text string), a row for each node that pairs name.
+    held: (node, text), a row for each node that pairs name.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets: dict = {}
         for batch in batches:
-            sets: dict[str, np.ndarray] = {}
             out = []
             for a, b, x, y in zip(batch.a, batch.b, batch.text_a, batch.text_b, strict=True):
                 if len(sets) >= 256:
@@ -89,15 +81,194 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     out.append((a, b, found))
             yield pd.DataFrame(out, columns=["a", "b", "similarity"])
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    kind = held.schema["node"].dataType.simpleString()
+    left = held.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a string, b string, similarity double")
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, f"a {kind}, b {kind}, similarity double")
+
+
+def estimated_recall(links: DataFrame, trees: int, depths: list[int], threshold: float) -> dict[int, float]:
+    """Share of the links that prefixes of each depth find, told from links(similarity, at) found at depth `at`.
+
+    Each found link stands for the inverse of its chance to be found. One link
+    at the threshold is added, so that few or no links claim nothing.
+    """
+    chance = lambda k: F.lit(1.0) - F.pow(F.lit(1.0) - F.pow(F.col("similarity"), k), F.lit(float(trees)))
+    found = links.agg(F.sum(1 / chance(F.col("at"))).alias("all"), *[F.sum(chance(F.lit(k)) / chance(F.col("at"))).alias(f"k{k}") for k in depths]).first()
+    return {k: ((found[f"k{k}"] or 0) + meeting(threshold, trees, k)) / ((found["all"] or 0) + 1) for k in depths}
+
+
+def _shared(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of shingles that each row of x shares with each row of y."""
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    order = np.argsort(values, kind="stable")
+    values, rows = values[order], rows[order]
+    fresh = np.concatenate(([True], values[1:] != values[:-1]))[: len(values)]
+    held = np.diff(np.append(np.flatnonzero(fresh), len(values)))
+    many = np.repeat(held > 1, held)
+    rows, column = rows[many], np.cumsum(fresh[many]) - 1
+    out = np.zeros((len(x), len(y)), dtype=np.float64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        low, high = np.searchsorted(column, (at, at + 2048))
+        part = np.zeros((len(sets), 2048), dtype=np.float32)
+        part[rows[low:high], column[low:high] - at] = 1
+        out += part[x] @ part[y].T
+    return out
+
+
+def _forest(linked: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of a symmetric matrix of links."""
+    unseen = linked.any(axis=1)
+    tops, ends = [], []
+    for seed in np.flatnonzero(unseen).tolist():
+        if not unseen[seed]:
+            continue
+        unseen[seed], queue = False, [seed]
+        while queue:
+            at = queue.pop()
+            found = np.flatnonzero(linked[at] & unseen)
+            unseen[found] = False
+            queue += found.tolist()
+            tops += [at] * len(found)
+            ends += found.tolist()
+    return tops, ends
+
+
+def _cell_links(trees: int, at: int, threshold: float, kind: str) -> Callable:
+    """Of the cells of a group: edges (a, b) that join the linked rows, and (a, n) the links of a row that no earlier tree shows.
+
+    Every pair of rows in different classes is compared, by its exact Jaccard.
+    """
+    dtype = "int64" if kind == "bigint" else object
+
+    def one(cell: pd.DataFrame) -> tuple[list, list, list, list]:
+        group, _ = pd.factorize(cell.cls)
+        nodes, side = cell.node.to_numpy(dtype=object), cell.side.to_numpy()
+        within = cell.kind.iloc[0] != "main" and cell.i.iloc[0] == cell.j.iloc[0]
+        x = np.arange(len(cell)) if within else np.flatnonzero(side == 0)
+        y = x if within else np.flatnonzero(side == 1)
+        if not len(x) or not len(y):
+            return [], [], [], []
+        sets = [shingles(word_hashes(t)) for t in cell.text]
+        size = np.array([len(s) for s in sets], dtype=np.float64)
+        both = _shared(sets, x, y)
+        asked = (both / (size[x][:, None] + size[y][None, :] - both) >= threshold) & (group[x][:, None] != group[y][None, :])
+        i, j = np.nonzero(np.triu(asked) if within else asked)
+        if not len(i):
+            return [], [], [], []
+        i, j = x[i], y[j]
+        linked = np.zeros((len(cell), len(cell)), dtype=bool)
+        linked[i, j] = linked[j, i] = True
+        tops, ends = _forest(linked)
+        signs = np.frombuffer(b"".join(map(bytes, cell.signature)), dtype=">u4").astype(np.uint64).reshape(len(cell), trees, -1)
+        keys = np.zeros((len(cell), trees), dtype=np.uint64)
+        for k in range(at):
+            keys = mixed(keys + signs[:, :, k] + np.uint64(1))
+        first = np.concatenate([(keys[i[p : p + 65536]] == keys[j[p : p + 65536]]).argmax(axis=1) for p in range(0, len(i), 65536)])
+        own = first == cell.tree.iloc[0]
+        count = np.bincount(np.concatenate((i[own], j[own])), minlength=len(cell))
+        some = np.flatnonzero(count)
+        return nodes[tops].tolist(), nodes[ends].tolist(), nodes[some].tolist(), count[some].tolist()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = [one(cell) for _, cell in group.groupby(["run", "kind", "i", "j"], sort=False)]
+        a, b, nodes, n = (sum((f[k] for f in found), []) for k in range(4))
+        edges = pd.DataFrame({"a": pd.Series(a, dtype=dtype), "b": pd.Series(b, dtype=object), "n": 0})
+        counts = pd.DataFrame({"a": pd.Series(nodes, dtype=dtype), "b": pd.Series([None] * len(nodes), dtype=object), "n": pd.Series(n, dtype="int64")})
+        return pd.concat((edges, counts))
+
+    return run
+
+
+def links_across_classes(classes: DataFrame, held: DataFrame, trees: int, depth: int, at: int, threshold: float) -> DataFrame:
+    """(a, b, n): edges a, b that join rows linked across classes, and for a row `a` without b, n of its links across classes.
+
+    classes: (node, cls, signature); held: (node, text). All pairs of a run of
+    three rows or more, in any tree, whose classes differ are compared, whatever
+    their number (in a run of two the pivot has met the other one). Runs of
+    several trees that hold the same rows are taken once. The rows of a run's
+    largest class never meet each other, so a dense run costs its strays times
+    its rows. Runs of more than SMALL rows meet in cells of two blocks, smaller
+    ones are packed; no task holds more than about two blocks, and no pair is
+    written that is not a link of a cell's spanning forest.
+    """
+    legs = classes.select("node", "cls", _run(trees, depth, at).alias("leg")).select("node", "cls", "leg.tree", "leg.run")
+    name = F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40)).cast("decimal(38,0)"))
+    runs = (
+        legs.groupBy("run", "tree", "cls").agg(F.count(F.lit(1)).alias("n"), name.alias("name")).groupBy("run", "tree")
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_classes"), F.max(F.struct("n", "cls")).alias("main"), F.sum("name").cast("string").alias("name"), F.sum(F.xxhash64("cls", "n", "name").cast("decimal(38,0)")).cast("string").alias("more"))
+        .where("n_classes > 1 and n > 2")
+    )
+    # equal rows have equal names; the first tree's run counts the links
+    runs = runs.groupBy("n", "name", "more").agg(F.min(F.struct("tree", "run", "main")).alias("r")).select("n", "r.*")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    dealt = saved(
+        legs.join(runs, ["run", "tree"])
+        .select("node", "cls", "run", "tree", "n", (F.col("cls") == F.col("main.cls")).alias("is_main"), blocks(F.col("main.n")).alias("mains"), blocks(F.col("n") - F.col("main.n")).alias("others"))
+        .withColumn("block", mine)
+    )
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    steps = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own, nil = F.col("block"), F.lit(0)
+    cells = F.when(F.col("n") <= SMALL, F.array(cell("all", nil, nil, nil))).when(F.col("is_main"), F.transform(steps("others"), lambda k: cell("main", k, own, F.lit(1)))).otherwise(F.concat(
+        F.transform(steps("others"), lambda k: cell("other", F.least(own, k), F.greatest(own, k), own > k)),
+        F.transform(steps("mains"), lambda k: cell("main", own, k, F.lit(0))),
+    ))
+    packs = dealt.where(F.col("n") <= SMALL).count() // 256 + 1
+    group = F.when(F.col("n") <= SMALL, F.concat(F.lit("s"), F.pmod(F.xxhash64("run"), F.lit(packs)))).otherwise(F.concat_ws(":", F.hex("run"), "c.kind", "c.i", "c.j"))
+    about = held.select("node", "signature", "text")
+    met = dealt.select("node", "cls", "run", "tree", "n", F.explode(cells).alias("c")).select("node", "cls", "run", "tree", group.alias("cell_group"), "c.*").join(about, "node")
+    node = held.schema["node"].dataType.simpleString()
+    return met.groupBy("cell_group").applyInPandas(_cell_links(trees, at, threshold, node), f"a {node}, b {node}, n long")
+
+
+def similar_classes(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], trees: int, depth: int, recall: float, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the nodes that have a link, and (node, n) the links found of each.
+
+    nodes: (node, signature) with `depth` values for each of `trees` trees;
+    texts_of(named) gives (node, text) of the nodes it names. In each tree rows
+    are first met by their full prefix. Each row meets its run's pivot; verified
+    links join classes, which later runs know. The prefix is then shortened to
+    the longest one whose recall, told from the links found so far, reaches the
+    target, until none is wanted that is shorter. At that depth all pairs of a
+    run whose classes still differ are compared, block by block. Links inside
+    one class are not all counted: a group of n copies costs about n pairs.
+    """
+    least, most = matched_depth(threshold, trees, depth, recall), matched_depth(threshold, trees, depth, LEAST_RECALL)
+    signed = nodes.select("node", "signature")
+    company = saved(in_company(signed, trees, depth, least))
+    held = saved(texts_of(company).join(signed, "node"))
+    labels = held.select("node", F.col("node").alias("cls"))
+    links = tried = None
+    at = depth
+    while True:
+        asked = pivot_pairs(held.select("node", "signature").join(labels, "node"), trees, depth, at)
+        asked = saved(asked if tried is None else asked.join(tried, ["a", "b"], "left_anti"))
+        found = saved(verified(asked, held, threshold).withColumn("at", F.lit(float(at))))
+        tried, links = (asked, found) if tried is None else (tried.unionByName(asked), links.unionByName(found))
+        roots = components(links.select("a", "b"))
+        labels = saved(held.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("cls")))
+        share = estimated_recall(links, trees, list(range(least, depth + 1)), threshold)
+        wanted = max([k for k in range(least, min(at, most) + 1) if share[k] >= recall], default=least)
+        if wanted >= at:
+            break
+        at = wanted
+    across = saved(links_across_classes(held.select("node", "signature").join(labels, "node"), held, trees, depth, at, threshold))
+    bridges = across.where("b is not null").select("a", "b").join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    merged = components(bridges).toDF("old", "new")
+    roots = labels.join(merged, F.col("cls") == F.col("old"), "left").select("node", F.coalesce("new", "cls").alias("root"))
+    ends = links.select(F.col("a").alias("node"), F.lit(1).cast("long").alias("n")).unionByName(links.select(F.col("b").alias("node"), F.lit(1).cast("long").alias("n")))
+    n_links = ends.unionByName(across.where("b is null").select(F.col("a").alias("node"), "n")).groupBy("node").agg(F.sum("n").alias("n"))
+    return roots, n_links
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(a, b); root is the least node of its component.
 
+    Edges from a node to itself are left out; an empty table gives none.
     Alternating large-star and small-star steps. Each step is a grouped
     minimum, combined before its shuffle, and a join; the driver sees two
     numbers a round.
@@ -105,10 +276,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     current = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
 
     def mark(df: DataFrame):
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     seen = mark(current)
     for _ in range(max_rounds):
+        if not seen[0]:
+            break
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -10,35 +10,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORD_BYTES, grams, minhashes, mixed, saved, set_key, shingles
-from .jaccard_join import joined_classes
-from .near import sorted_neighbours, verified
+from .base import WORD_BYTES, grams, hashes_of, minhashes_of, mixed, portions, saved, shingles_of
+from .near import meeting, similar_classes
 
 THRESHOLD = 0.8
-#: A pair at the threshold meets in some band with probability 1 - (1 - 0.8**2)**5 = 0.994.
-BANDS, ROWS = 5, 2
+#: A pair at the threshold shares a band with at least this probability.
+TARGET_RECALL = 0.995
+#: Minimum hashes of a paragraph that the bands may use together.
+MAX_HASHES = 24
 #: A shorter paragraph is never a candidate.
 MIN_PARAGRAPH_WORDS = 20
-#: Passages: paragraphs are cut after every word whose hash is 0 modulo CUT; pieces of MIN_PIECE words or more are compared.
-CUT, MIN_PIECE = 8, 6
-#: Repeated pieces at most MAX_GAP words apart are one passage; a passage goes if it has MIN_PASSAGE words.
-MAX_GAP, MIN_PASSAGE = 10, 20
+#: Runs of this many words that an earlier document holds too are cut.
+MIN_PASSAGE = 20
 #: Anchors are hashes of ANCHOR words; each window of MIN_PASSAGE words has the least of its anchors, so equal windows have equal ones.
 ANCHOR = 8
-_REACH = 2
 #: Multipliers (odd, with their inverses modulo 2**64) of the two halves of a run's 128-bit hash.
 _BASES = [(np.uint64(r), np.uint64(pow(r, -1, 2**64)), np.uint64(seed)) for r, seed in ((0x9E3779B97F4A7C15, 1), (0xD6E8FEB86659FD93, 2))]
 
 
-def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte, byte after the last, and paragraph of each word."""
+def tuned_bands(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
+    """(bands, rows): the most rows in a band, so the fewest chance meetings, whose bands reach the recall with `most` hashes or fewer; one row a band if none does."""
+    best = None
+    for rows in range(1, most + 1):
+        bands = next((b for b in range(1, most // rows + 1) if meeting(threshold, b, rows) >= recall), None)
+        best = (bands, rows) if bands else best
+    return best or (most, 1)
+
+
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and byte after the last of each word."""
     flat = raw.translate(WORD_BYTES)
     inside = np.frombuffer(flat, dtype=np.uint8) != 32
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, flat.split()), dtype=np.uint64, count=len(starts))
-    breaks = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
-    return hashes, starts, ends, np.searchsorted(breaks, starts)
+    return hashes_of([flat.split()])[0], np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
 def run_hashes(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,73 +55,70 @@ def run_hashes(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple
     return out[0], out[1]
 
 
-def stretches(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first word, word after the last) of each run of windows of MIN_PASSAGE words with one anchor; line ends count for nothing."""
-    if len(hashes) < MIN_PASSAGE:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(grams(hashes, ANCHOR), MIN_PASSAGE - ANCHOR + 1).min(axis=1)
-    first = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
-    return least[first].view(np.int64), first, np.append(first[1:], len(least)) + MIN_PASSAGE - 1
-
-
-def units_of(hashes: np.ndarray, paragraph: np.ndarray) -> tuple[list[tuple], tuple[np.ndarray, ...]]:
-    """Paragraphs that are candidates: (first word, word after the last, node, signature); and runs: arrays (is a stretch, anchor, rest of the key, first, stop).
+def stretches(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, anchor, first word, word after the last) of each run of windows of MIN_PASSAGE words with one anchor; line ends count for nothing.
 
-    Runs are the pieces between content-defined cuts, and the stretches.
+    hashes: the words of all texts in a row, `counts` of each; places count from the first word of all.
     """
-    lines: list[tuple] = []
-    if not len(hashes):
-        return lines, tuple(np.zeros(0, dtype=t) for t in (bool, np.int64, np.int64, np.int64, np.int64))
-    firsts = np.flatnonzero(np.diff(paragraph, prepend=-1))
-    lasts = np.append(firsts[1:], len(hashes))
-    for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
-        if b - a >= MIN_PARAGRAPH_WORDS:
-            held = shingles(hashes[a:b])
-            lines.append((a, b, set_key(held), minhashes(held, BANDS * ROWS).tobytes()))
-    stop = np.union1d(np.flatnonzero(hashes % np.uint64(CUT) == 0) + 1, lasts)
-    begin = np.concatenate(([0], stop[:-1]))
-    long = stop - begin >= MIN_PIECE
-    anchor, first, last = stretches(hashes)
-    first, last = np.concatenate((begin[long], first)), np.concatenate((stop[long], last))
-    one, two = run_hashes(hashes, first, last)
-    n = int(long.sum())
-    # a piece is named by its hash alone, a stretch by its anchor first
-    return lines, (np.arange(len(first)) >= n, np.concatenate((one[:n], anchor)), two, first, last)
-
-
-def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for at in range(0, len(batch), 200):
-            part = batch.iloc[at : at + 200]
-            out, runs = [], []
-            for key, same, text in zip(part.id, part.doc_key, part.text, strict=True):
-                raw = (text or "").encode()
-                hashes, _, _, paragraph = _words(raw)
-                # the document itself: its words and paragraphs
-                out.append((key, same, "d", len(hashes), raw.count(b"\n") + 1, None, None, None, None))
-                lines, found = units_of(hashes, paragraph)
-                out += ((key, same, "p", a, b, None, None, node, signature) for a, b, node, signature in lines)
-                runs.append(found)
-            columns = ["id", "doc_key", "kind", "first", "stop", "anchor", "rest", "node", "signature"]
-            yield pd.DataFrame(out, columns=columns).astype({"id": object, "anchor": "Int64", "rest": "Int64"})
-            sizes = [len(x[0]) for x in runs]
-            is_stretch, anchor, rest, first, stop = (np.concatenate(x) for x in zip(*runs, strict=True))
-            yield pd.DataFrame({
-                "id": np.repeat(part.id.to_numpy(dtype=object), sizes), "doc_key": np.repeat(part.doc_key.to_numpy(), sizes), "kind": np.where(is_stretch, "w", "f").astype(object),
-                "first": first, "stop": stop, "anchor": anchor, "rest": rest, "node": None, "signature": None,
-            }, columns=columns)
-
-
-def merged_spans(pieces: list[tuple[int, int]], paragraphs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Word spans to remove: whole paragraphs, and runs of repeated pieces that are long enough."""
-    runs: list[list[int]] = []
-    for a, b in sorted(pieces):
-        if runs and a - runs[-1][1] <= MAX_GAP:
-            runs[-1][1] = max(runs[-1][1], b)
-        else:
-            runs.append([a, b])
+    if len(hashes) < MIN_PASSAGE:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+    least, width = grams(hashes, ANCHOR), 1
+    wanted = MIN_PASSAGE - ANCHOR + 1
+    while width < wanted:  # minimum over `width` grams, doubled
+        step = min(width, wanted - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    text = np.repeat(np.arange(len(counts)), counts)
+    whole = np.flatnonzero(text[: len(least)] == text[MIN_PASSAGE - 1 :])
+    if not len(whole):
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+    least, at = least[whole], text[whole]
+    fresh = np.concatenate(([True], (least[1:] != least[:-1]) | (at[1:] != at[:-1])))
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(whole)) - 1
+    return at[first], least[first].view(np.int64), whole[first], whole[last] + MIN_PASSAGE
+
+
+def _units(bands: int, rows: int):
+    """For each document: itself ('d', words, paragraphs), its paragraphs that are candidates ('p', with node and signature) and its stretches ('w', with anchor and rest)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.text]
+            for a, b in portions([len(r) for r in raws]):
+                lines = [r.split(b"\n") for r in raws[a:b]]
+                n_lines = np.fromiter(map(len, lines), dtype=np.int64, count=b - a)
+                hashes, in_line = hashes_of([x.translate(WORD_BYTES).split() for ls in lines for x in ls])
+                doc_of_line = np.repeat(np.arange(b - a), n_lines)
+                n_words = np.bincount(doc_of_line, weights=in_line, minlength=b - a).astype(np.int64)
+                begin = np.cumsum(n_words) - n_words
+                ids, same = batch.id.to_numpy(dtype=object)[a:b], batch.doc_key.to_numpy()[a:b]
+
+                def told(doc, kind, first, stop, anchor=None, rest=None, node=None, signature=None):
+                    none = pd.Series([pd.NA] * len(doc), dtype="Int64")
+                    return pd.DataFrame({
+                        "id": ids[doc], "doc_key": same[doc], "kind": kind, "first": first, "stop": stop,  # noqa: B023
+                        "anchor": none if anchor is None else anchor, "rest": none if rest is None else rest, "node": node, "signature": signature,
+                    })
+
+                yield told(np.arange(b - a), "d", n_words, n_lines)
+                long = in_line >= MIN_PARAGRAPH_WORDS
+                starts = (np.cumsum(in_line) - in_line)[long]
+                signs = minhashes_of(*shingles_of(hashes[np.repeat(long, in_line)], in_line[long]), bands * rows)
+                nodes = [xxhash.xxh3_128_hexdigest(hashes[p : p + n].tobytes()) for p, n in zip(starts.tolist(), in_line[long].tolist(), strict=True)]
+                doc = doc_of_line[long]
+                first = starts - begin[doc]
+                yield told(doc, "p", first, first + in_line[long], node=nodes, signature=[s.tobytes() for s in signs])
+                doc, anchor, first, stop = stretches(hashes, n_words)
+                rest = run_hashes(hashes, first, stop)[1]
+                yield told(doc, "w", first - begin[doc], stop - begin[doc], anchor, rest)
+
+    return run
+
+
+def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans in order that cover the same words."""
     out: list[list[int]] = []
-    for a, b in sorted([(a, b) for a, b in runs if b - a >= MIN_PASSAGE] + list(paragraphs)):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -126,95 +127,86 @@ def merged_spans(pieces: list[tuple[int, int]], paragraphs: list[tuple[int, int]
 
 
 def _merge(found: pd.Series) -> pd.Series:
-    def one(units):
-        if units is None:
-            return []
-        split = {"p": [], "f": []}
-        for u in units:
-            split["p" if u["kind"] == "p" else "f"].append((u["first"], u["stop"]))
-        return [{"first": a, "stop": b} for a, b in merged_spans(split["f"], split["p"])]
-
-    return found.map(one)
+    return found.map(lambda spans: [{"first": a, "stop": b} for a, b in merged_spans([(s["first"], s["stop"]) for s in spans])])
 
 
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: `id_col`, n_words, n_paragraphs, n_removed_words, n_spans, spans (word positions first, stop).
 
     Paragraphs are the lines of the text. Those of MIN_PARAGRAPH_WORDS words or
-    more are banded by MinHash over five-word shingles; colliding ones are
-    verified by exact Jaccard and clustered by components; all of one bucket
-    whose clusters still differ meet, block by block. A cluster found in
-    two or more documents stays in the least of them, by id, and goes from the
-    others. Every run of MIN_PASSAGE words that a document before it holds too
-    goes, wherever it begins or lines end: windows of that length meet by their
-    anchors, and those not settled by whole stretches are compared one by one.
-    Shorter repeated pieces, made by content-defined cuts, join runs near them.
+    more are banded by MinHash over five-word shingles, with bands tuned for
+    the recall; colliding ones meet their bucket's pivot and then, block by
+    block, all whose clusters still differ; exact Jaccard verifies them and
+    components cluster them. A cluster found in two or more documents stays in
+    the least of them, by id, and goes from the others. Every run of
+    MIN_PASSAGE words that a document before it holds too goes, wherever it
+    begins or lines end: windows of that length meet by their anchors, and
+    those not settled by whole stretches are compared one by one.
 
     Null and empty texts have one paragraph without words, and nothing goes.
     Rows that repeat id and text are one document, with equal result rows.
     Null ids come first, told apart by their texts. Extra columns are ignored;
     an empty table gives none.
     """
+    bands, rows = tuned_bands(threshold)
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("doc_key"), F.col(text_col).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
-    units = saved(d.mapInPandas(_units, f"id {kind}, doc_key long, kind string, first int, stop int, anchor long, rest long, node string, signature binary"))
+    units = saved(d.mapInPandas(_units(bands, rows), f"id {kind}, doc_key long, kind string, first int, stop int, anchor long, rest long, node string, signature binary"))
     lines = units.where("kind = 'p'")
+    place = F.struct(F.col("id").isNotNull().alias("known"), "id", "doc_key")
+
+    def asked_texts(spans: DataFrame) -> DataFrame:
+        """(id, doc_key, text, spans) of the documents that spans(doc_key, span) name, each once."""
+        asked = spans.groupBy(F.col("doc_key").alias("asked_key")).agg(F.collect_set("span").alias("spans"))
+        # rows that repeat a document are equal, so any of them will do
+        return d.join(asked, d.doc_key == asked.asked_key).dropDuplicates(["doc_key"]).select("id", "doc_key", "text", "spans")
 
-    nodes = saved(lines.groupBy("node").agg(F.first("signature").alias("signature")))
-    keys = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.concat(
-        F.unhex(F.lpad(F.hex(b.cast("long")), 2, "0")), F.substring(F.col("signature"), b * (ROWS * 4) + 1, F.lit(ROWS * 4))
-    ))).alias("key"))
-    width = 1 + ROWS * 4
-    pairs = saved(sorted_neighbours(keys, width, width, _REACH))
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text, spans in zip(batch.text, batch.spans, strict=True):
-                raw = (text or "").encode()
-                _, starts, ends, _ = _words(raw)
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                _, starts, ends = _words(raw)
                 out += [(s["node"], raw[starts[s["first"]] : ends[s["stop"] - 1]].decode("utf-8", "replace")) for s in spans]
             yield pd.DataFrame(out, columns=["node", "text"])
 
     def texts_of(named: DataFrame) -> DataFrame:
         where = lines.join(named, "node").groupBy("node").agg(F.min(F.struct("doc_key", "first", "stop")).alias("at"))
-        asked = where.groupBy(F.col("at.doc_key").alias("asked_key")).agg(F.collect_list(F.struct("node", "at.first", "at.stop")).alias("spans"))
-        return d.join(asked, d.doc_key == asked.asked_key).dropDuplicates(["doc_key"]).select("text", "spans").mapInPandas(cut, "node string, text string")
+        spans = where.select("at.doc_key", F.struct("node", "at.first", "at.stop").alias("span"))
+        return asked_texts(spans).mapInPandas(cut, "node string, text string")
 
-    links = saved(verified(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), threshold))
-    # in a run of up to _REACH + 1 rows every pair has met already
-    roots, _ = joined_classes(nodes, links, texts_of, BANDS, ROWS, ROWS, threshold, _REACH + 2)
-    lines = lines.join(roots.withColumnRenamed("root", "cluster"), "node")
-    place = F.struct(F.col("id").isNotNull().alias("known"), "id", "doc_key")
-    bounds = F.min(place).alias("keep"), F.max(place).alias("other")
+    nodes = saved(lines.groupBy("node").agg(F.first("signature").alias("signature")))
+    roots, _ = similar_classes(nodes, texts_of, bands, rows, TARGET_RECALL, threshold)
+    clusters = lines.join(roots.withColumnRenamed("root", "cluster"), "node", "left").select("id", "doc_key", "first", "stop", F.coalesce("cluster", "node").alias("cluster"))
 
     def lost_of(rows: DataFrame, *key: str) -> DataFrame:
-        shared = rows.groupBy(*key).agg(*bounds).where("keep <> other").select(*key, F.col("keep.doc_key").alias("keep_key"))
-        return rows.join(shared, [*key]).where("doc_key <> keep_key").select("doc_key", "kind", "first", "stop")
+        shared = rows.groupBy(*key).agg(F.min(place).alias("keep"), F.max("doc_key").alias("high"), F.min("doc_key").alias("low")).where("low <> high").select(*key, F.col("keep.doc_key").alias("keep_key"))
+        return rows.join(shared, [*key]).where("doc_key <> keep_key").select("doc_key", "first", "stop")
 
     # runs whose anchor is in several documents; of the stretches of one anchor, each distinct one stays in its least document
-    runs = units.where("kind in ('f', 'w')").select("id", "doc_key", "kind", "first", "stop", "anchor", "rest")
-    shared = runs.groupBy("kind", "anchor").agg(*bounds, (F.min("rest") != F.max("rest")).alias("differ")).where("keep <> other").select("kind", "anchor", F.col("keep.doc_key").alias("least_key"), "differ")
-    met = saved(runs.join(shared, ["kind", "anchor"]))
-    heads = met.where("differ").groupBy("kind", "anchor", "rest").agg(F.min(place).alias("keep")).select("kind", "anchor", "rest", F.col("keep.doc_key").alias("head_key"))
-    told = met.join(heads, ["kind", "anchor", "rest"], "left").withColumn("keep_key", F.coalesce("head_key", "least_key"))
-    lost_runs = told.where("doc_key <> keep_key").select("doc_key", "kind", "first", "stop")
+    runs = units.where("kind = 'w'").select("id", "doc_key", "first", "stop", "anchor", "rest")
+    shared = runs.groupBy("anchor").agg(F.min("doc_key").alias("low"), F.max("doc_key").alias("high"), (F.min("rest") != F.max("rest")).alias("differ")).where("low <> high").select("anchor", "differ")
+    met = saved(runs.join(shared, "anchor"))
+    heads = met.groupBy("anchor", "rest").agg(F.min(place).alias("keep")).select("anchor", "rest", F.col("keep.doc_key").alias("keep_key"))
+    told = met.join(heads, ["anchor", "rest"])
+    lost_runs = told.where("doc_key <> keep_key").select("doc_key", "first", "stop")
     # what such a stretch shares with a different one of its anchor
-    left = told.where("kind = 'w' and differ and doc_key = keep_key").groupBy(F.col("doc_key").alias("asked_key")).agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
+    left = told.where("differ and doc_key = keep_key").select("doc_key", F.struct("first", "stop").alias("span"))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, same, text, spans in zip(batch.id, batch.doc_key, batch.text, batch.spans, strict=True):
-                hashes = _words((text or "").encode())[0]
+                hashes = _words((text or "").encode("utf-8", "surrogatepass"))[0]
                 first = np.unique(np.concatenate([np.arange(s["first"], s["stop"] - MIN_PASSAGE + 1) for s in spans]))
                 one, two = run_hashes(hashes, first, first + MIN_PASSAGE)
-                yield pd.DataFrame({"id": pd.Series([key] * len(first), dtype=object), "doc_key": same, "kind": "w", "first": first, "stop": first + MIN_PASSAGE, "one": one, "two": two})
+                yield pd.DataFrame({"id": pd.Series([key] * len(first), dtype=object), "doc_key": same, "first": first, "stop": first + MIN_PASSAGE, "one": one, "two": two})
 
-    asked_texts = d.join(left, d.doc_key == left.asked_key).dropDuplicates(["doc_key"]).select("id", "doc_key", "text", "spans")
-    opened = saved(asked_texts.mapInPandas(windows, f"id {kind}, doc_key long, kind string, first int, stop int, one long, two long"))
-    lost = lost_of(lines.select("id", "doc_key", "kind", "first", "stop", "cluster"), "cluster").unionByName(lost_runs).unionByName(lost_of(opened, "one", "two"))
-    lost = lost.groupBy(F.col("doc_key").alias("lost_key")).agg(F.collect_set(F.struct("kind", "first", "stop")).alias("lost"))
+    opened = saved(asked_texts(left).mapInPandas(windows, f"id {kind}, doc_key long, first int, stop int, one long, two long"))
+    lost = lost_of(clusters, "cluster").unionByName(lost_runs).unionByName(lost_of(opened, "one", "two"))
+    lost = lost.groupBy(F.col("doc_key").alias("lost_key")).agg(F.collect_set(F.struct("first", "stop")).alias("lost"))
+    lost = lost.select("lost_key", F.pandas_udf(_merge, "array<struct<first:int,stop:int>>")("lost").alias("spans"))
     about = units.where("kind = 'd'").select("id", "doc_key", F.col("first").alias("n_words"), F.col("stop").alias("n_paragraphs"))
-    out = about.join(lost, about.doc_key == lost.lost_key, "left").withColumn("spans", F.pandas_udf(_merge, "array<struct<first:int,stop:int>>")("lost"))
+    out = about.join(lost, about.doc_key == lost.lost_key, "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<first:int,stop:int>>")))
     removed = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["stop"] - s["first"])
     return out.select(F.col("id").alias(id_col), "n_words", "n_paragraphs", removed.alias("n_removed_words"), F.size("spans").alias("n_spans"), "spans")
 
@@ -223,8 +215,8 @@ def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
     def one(text, cut):
         if text is None or cut is None or not len(cut):
             return text
-        raw = text.encode()
-        _, starts, ends, _ = _words(raw)
+        raw = text.encode("utf-8", "surrogatepass")
+        _, starts, ends = _words(raw)
         kept, at = [], 0
         for s in cut:
             kept.append(raw[at : starts[s["first"]]])
@@ -235,8 +227,12 @@ def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated passages cut out of the text; ids must be unique. A text without any stays as it is."""
+    """docs, all columns whatever their names, with the repeated passages cut out of the text; ids must be unique.
+
+    A text without any stays as it is, null and empty ones too. An empty table gives none.
+    """
+    carried = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("carried"))
     spans = repeated_passages(docs, id_col=id_col, text_col=text_col).where("n_spans > 0").select(F.col(id_col).alias("cut_id"), "spans")
-    both = docs.join(spans, docs[id_col].eqNullSafe(spans.cut_id), "left")
+    both = carried.join(spans, carried.id.eqNullSafe(spans.cut_id), "left")
     without = F.pandas_udf(_without, "string")
-    return both.select(*[without(F.col(text_col), F.col("spans")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return both.select(*[without("text", "spans").alias(c) if c == text_col else F.col(f"carried.`{c}`") for c in docs.columns])

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seatrack.llm import decontaminate, exact_dedup, jaccard_join, language, line_dedup, lm_score, mixing, near, preferences, substring_dedup, token_counts
+from seatrack.llm import base, decontaminate, exact_dedup, jaccard_join, language, line_dedup, lm_score, mixing, near, preferences, substring_dedup, token_counts
 from seatrack.llm.base import jaccard, shingles, word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, items string, carried string, row string"
@@ -37,10 +37,10 @@ def rows():
     ]
     for i in range(10, 30):
         out.append((i, f"{prose(i, 30)}\n {LINE}\t\n{prose(i + 100, 20)}" + (f"\n{LINE.upper()}" if i % 3 == 0 else ""), "en", "abc"[i % 3]))
-    base = prose(1000, 200).split(" ")
+    model = prose(1000, 200).split(" ")
     for i in range(30, 50):
         r = random.Random(i)
-        words = list(base)
+        words = list(model)
         for _ in range(i % 10):
             words[r.randrange(len(words))] = prose(i * 7 + _, 1)
         out.append((i, " ".join(words), "de", "d"))
@@ -263,7 +263,7 @@ def test_similar_documents(spark, docs, none):
 
 def test_classes_that_hang_on_one_text(spark, monkeypatch):
     """Copies that are like their model but not like each other, next to texts that share a frame and are like nobody."""
-    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(near, "BLOCK", 8)
     model, data = prose(70, 300).split(" "), []
     data.append((100, " ".join(model)))
     for i in range(1, 120):
@@ -303,7 +303,7 @@ def brute_classes(data):
 
 
 def test_no_pair_of_a_large_run_is_lost(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(near, "BLOCK", 16)
     data = framed_texts(60, 90, 30)
     least, links = brute_classes(data)
     assert len(links) >= 80 and len(set(least.values())) > 60
@@ -314,7 +314,7 @@ def test_no_pair_of_a_large_run_is_lost(spark, monkeypatch):
 
 
 def test_no_paragraph_of_a_large_bucket_is_lost(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(near, "BLOCK", 16)
     data = framed_texts(60, 90, 30)
     got = {r.doc_id: r.n_removed_words for r in substring_dedup.repeated_passages(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()}
     # the changed last word goes only with its paragraph
@@ -322,23 +322,48 @@ def test_no_paragraph_of_a_large_bucket_is_lost(spark, monkeypatch):
 
 
 def test_forest_depth():
-    k = jaccard_join.matched_depth()
+    k = near.matched_depth(jaccard_join.THRESHOLD, jaccard_join.TREES, jaccard_join.DEPTH, jaccard_join.TARGET_RECALL)
     assert 1 - (1 - 0.8**k) ** jaccard_join.TREES >= jaccard_join.TARGET_RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard_join.TREES
-
-
-def test_neighbours_do_not_depend_on_partitions(spark):
-    r = random.Random(5)
-    data = [(bytes([r.randrange(3), r.randrange(2), r.randrange(256)]), f"n{i:03}") for i in range(300)]
-    df = spark.createDataFrame(data, "key binary, node string")
-
-    def clusters(parts):
-        spark.conf.set("spark.sql.shuffle.partitions", parts)
-        got = {tuple(x) for x in near.components(near.sorted_neighbours(df, 3, 2, 2)).collect()}
-        spark.conf.set("spark.sql.shuffle.partitions", 4)
-        return got
-
-    one = clusters(1)
-    assert one == clusters(7) and len({b for _, b in one}) == 6
+    bands, rows = substring_dedup.tuned_bands()
+    assert 1 - (1 - 0.8**rows) ** bands >= substring_dedup.TARGET_RECALL and bands * rows <= substring_dedup.MAX_HASHES and rows > 1
+
+
+def test_prefixes_shorten_until_the_recall_told_from_links(spark):
+    many = spark.createDataFrame([(0.95, 8.0)] * 999 + [(0.8, 8.0)], "similarity double, at double")
+    none = many.limit(0)
+    told = near.estimated_recall(many, 12, [4, 6, 8], 0.8)
+    assert told[4] > told[6] > told[8] > near.estimated_recall(none, 12, [8], 0.8)[8] == near.meeting(0.8, 12, 8)
+    p = lambda s, k: 1 - (1 - s**k) ** 12
+    want = (999 * p(0.95, 6) / p(0.95, 8) + p(0.8, 6) / p(0.8, 8) + p(0.8, 6)) / (999 / p(0.95, 8) + 1 / p(0.8, 8) + 1)
+    assert told[6] == pytest.approx(want)
+
+
+def test_batched_hashes_agree_with_single_ones():
+    texts = ["", "one", "two words", "a b c d", "a b c d e", prose(3, 50), None, "x " * 9]
+    parts = [list((t or "").encode().lower().translate(base.WORD_BYTES).split()) for t in texts]
+    values, found = base.shingles_of(*base.hashes_of(parts))
+    at = np.cumsum(found) - found
+    for t, p, n in zip(texts, at, found, strict=True):
+        assert sorted(set(values[p : p + n].tolist())) == shingles(word_hashes(t)).tolist()
+    signs = base.minhashes_of(values, found, 8)
+    whole = base.minhashes_of(values[at[5] : at[5] + found[5]], found[5:6], 8)
+    assert (signs[5] == whole[0]).all() and not signs[0].any()
+    assert list(base.portions([3, 9, 1, 1, 1], 4)) == [(0, 1), (1, 2), (2, 5)] and list(base.portions([])) == []
+
+
+def test_recall_among_texts_of_one_frame(spark):
+    """600 texts share a frame and are just below the threshold to each other; each has one partner just above it."""
+    frame, data = prose(60, 504), []
+    for i in range(600):
+        data.append((i, f"{frame} {prose(700 + i // 2, 10)} {prose(2000 + i, 58)}"))
+    least, links = brute_classes(data)
+    assert 290 <= len(links) <= 310
+    # many partitions, so that the group is dealt out
+    spark.conf.set("spark.sql.shuffle.partitions", 24)
+    got = {r.doc_id: r.class_id for r in jaccard_join.similar_documents(spark.createDataFrame(data, "doc_id long, text string").repartition(12)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    found = sum(got[a] == got[b] for a, b in links)
+    assert found >= 0.97 * len(links) and all(least[got[i]] == least[i] for i in got)
 
 
 def test_components(spark):
@@ -478,8 +503,8 @@ def test_set_hashes_agree_with_sets():
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
-    base = [(r[0], r[1], r[2], r[3], r[4]) for r in rows()]
-    made = spark.createDataFrame(base, "doc_id long, text string, lang string, source string, n_chars long")
+    plain = [(r[0], r[1], r[2], r[3], r[4]) for r in rows()]
+    made = spark.createDataFrame(plain, "doc_id long, text string, lang string, source string, n_chars long")
     made.write.parquet(str(tmp_path / "documents.parquet"))
     words = prose(8, 30000).split(" ")
     spark.createDataFrame([(0, " ".join(words[500:530]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
