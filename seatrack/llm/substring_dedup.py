@@ -26,6 +26,7 @@ MIN_PASSAGE = 20
 ANCHOR = 8
 #: Multipliers (odd, with their inverses modulo 2**64) of the two halves of a run's 128-bit hash.
 _BASES = [(np.uint64(r), np.uint64(pow(r, -1, 2**64)), np.uint64(seed)) for r, seed in ((0x9E3779B97F4A7C15, 1), (0xD6E8FEB86659FD93, 2))]
+_DOC, _LINE, _RUN = 0, 1, 2
 
 
 def tuned_bands(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -79,7 +80,7 @@ def stretches(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _units(bands: int, rows: int):
-    """For each document: itself ('d', words, paragraphs), its paragraphs that are candidates ('p', with node and signature) and its stretches ('w', with anchor and rest)."""
+    """For each document: itself (_DOC: words, paragraphs, and 1 in `rest` if its id is null), its paragraphs that are candidates (_LINE, with node and signature) and its stretches (_RUN, with anchor and rest)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -91,26 +92,26 @@ def _units(bands: int, rows: int):
                 doc_of_line = np.repeat(np.arange(b - a), n_lines)
                 n_words = np.bincount(doc_of_line, weights=in_line, minlength=b - a).astype(np.int64)
                 begin = np.cumsum(n_words) - n_words
-                ids, same = batch.id.to_numpy(dtype=object)[a:b], batch.doc_key.to_numpy()[a:b]
+                ids, same = batch.id.to_numpy()[a:b], batch.doc_key.to_numpy()[a:b]
 
                 def told(doc, kind, first, stop, anchor=None, rest=None, node=None, signature=None):
                     none = pd.Series([pd.NA] * len(doc), dtype="Int64")
                     return pd.DataFrame({
-                        "id": ids[doc], "doc_key": same[doc], "kind": kind, "first": first, "stop": stop,  # noqa: B023
+                        "id": ids[doc], "doc_key": same[doc], "kind": np.full(len(doc), kind, dtype=np.int8), "first": first, "stop": stop,  # noqa: B023
                         "anchor": none if anchor is None else anchor, "rest": none if rest is None else rest, "node": node, "signature": signature,
                     })
 
-                yield told(np.arange(b - a), "d", n_words, n_lines)
+                yield told(np.arange(b - a), _DOC, n_words, n_lines, rest=batch.nameless.to_numpy()[a:b].astype(np.int64))
                 long = in_line >= MIN_PARAGRAPH_WORDS
                 starts = (np.cumsum(in_line) - in_line)[long]
                 signs = minhashes_of(*shingles_of(hashes[np.repeat(long, in_line)], in_line[long]), bands * rows)
                 nodes = [xxhash.xxh3_128_hexdigest(hashes[p : p + n].tobytes()) for p, n in zip(starts.tolist(), in_line[long].tolist(), strict=True)]
                 doc = doc_of_line[long]
                 first = starts - begin[doc]
-                yield told(doc, "p", first, first + in_line[long], node=nodes, signature=[s.tobytes() for s in signs])
+                yield told(doc, _LINE, first, first + in_line[long], node=nodes, signature=[s.tobytes() for s in signs])
                 doc, anchor, first, stop = stretches(hashes, n_words)
                 rest = run_hashes(hashes, first, stop)[1]
-                yield told(doc, "w", first - begin[doc], stop - begin[doc], anchor, rest)
+                yield told(doc, _RUN, first - begin[doc], stop - begin[doc], anchor, rest)
 
     return run
 
@@ -145,15 +146,17 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
 
     Null and empty texts have one paragraph without words, and nothing goes.
     Rows that repeat id and text are one document, with equal result rows.
-    Null ids come first, told apart by their texts. Extra columns are ignored;
+    Null ids rank as 0, told apart by their texts. Extra columns are ignored;
     an empty table gives none.
     """
     bands, rows = tuned_bands(threshold)
-    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("doc_key"), F.col(text_col).alias("text"))
-    kind = d.schema["id"].dataType.simpleString()
-    units = saved(d.mapInPandas(_units(bands, rows), f"id {kind}, doc_key long, kind string, first int, stop int, anchor long, rest long, node string, signature binary"))
-    lines = units.where("kind = 'p'")
-    place = F.struct(F.col("id").isNotNull().alias("known"), "id", "doc_key")
+    kind = docs.schema[id_col].dataType.simpleString()
+    # without nulls, ids keep their type in pandas
+    nil = F.lit("0").cast(kind)
+    d = docs.select(F.coalesce(F.col(id_col), nil).alias("id"), F.col(id_col).isNull().alias("nameless"), F.xxhash64(id_col, text_col).alias("doc_key"), F.col(text_col).alias("text"))
+    units = saved(d.mapInPandas(_units(bands, rows), f"id {kind}, doc_key long, kind byte, first int, stop int, anchor long, rest long, node string, signature binary"))
+    lines = units.where(F.col("kind") == _LINE)
+    place = F.struct("id", "doc_key")
 
     def asked_texts(spans: DataFrame) -> DataFrame:
         """(id, doc_key, text, spans) of the documents that spans(doc_key, span) name, each once."""
@@ -184,28 +187,36 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
         return rows.join(shared, [*key]).where("doc_key <> keep_key").select("doc_key", "first", "stop")
 
     # runs whose anchor is in several documents; of the stretches of one anchor, each distinct one stays in its least document
-    runs = units.where("kind = 'w'").select("id", "doc_key", "first", "stop", "anchor", "rest")
-    shared = runs.groupBy("anchor").agg(F.min("doc_key").alias("low"), F.max("doc_key").alias("high"), (F.min("rest") != F.max("rest")).alias("differ")).where("low <> high").select("anchor", "differ")
-    met = saved(runs.join(shared, "anchor"))
+    runs = units.where(F.col("kind") == _RUN).select("id", "doc_key", "first", "stop", "anchor", "rest")
+    shared = runs.groupBy("anchor").agg(F.min("doc_key").alias("low"), F.max("doc_key").alias("high")).where("low <> high").select("anchor")
+    # the shared anchors are few beside the runs, which need no sorting then
+    met = saved(runs.join(shared.hint("shuffle_hash"), "anchor"))
     heads = met.groupBy("anchor", "rest").agg(F.min(place).alias("keep")).select("anchor", "rest", F.col("keep.doc_key").alias("keep_key"))
-    told = met.join(heads, ["anchor", "rest"])
-    lost_runs = told.where("doc_key <> keep_key").select("doc_key", "first", "stop")
+    lost_runs = met.join(heads, ["anchor", "rest"]).where("doc_key <> keep_key").select("doc_key", "first", "stop")
     # what such a stretch shares with a different one of its anchor
-    left = told.where("differ and doc_key = keep_key").select("doc_key", F.struct("first", "stop").alias("span"))
+    differ = met.groupBy("anchor").agg(F.min("rest").alias("low"), F.max("rest").alias("high")).where("low <> high").select("anchor")
+    place_of = heads.join(differ, "anchor").select("anchor", "rest", F.col("keep_key").alias("doc_key"))
+    left = met.join(place_of, ["anchor", "rest", "doc_key"]).select("doc_key", (F.shiftleft(F.col("first").cast("long"), 32) + F.col("stop")).alias("span"))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, same, text, spans in zip(batch.id, batch.doc_key, batch.text, batch.spans, strict=True):
-                hashes = _words((text or "").encode("utf-8", "surrogatepass"))[0]
-                first = np.unique(np.concatenate([np.arange(s["first"], s["stop"] - MIN_PASSAGE + 1) for s in spans]))
-                one, two = run_hashes(hashes, first, first + MIN_PASSAGE)
-                yield pd.DataFrame({"id": pd.Series([key] * len(first), dtype=object), "doc_key": same, "first": first, "stop": first + MIN_PASSAGE, "one": one, "two": two})
+            raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.text]
+            for a, b in portions([len(r) for r in raws]):
+                hashes, counts = hashes_of([r.translate(WORD_BYTES).split() for r in raws[a:b]])
+                asked = [np.asarray(x, dtype=np.int64) for x in batch.spans[a:b]]
+                spans, doc = np.concatenate(asked), np.repeat(np.arange(b - a), [len(x) for x in asked])
+                first = spans >> 32
+                n = (spans & 0xFFFFFFFF) - MIN_PASSAGE + 1 - first
+                doc, first = np.repeat(doc, n), np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                begin = first + (np.cumsum(counts) - counts)[doc]
+                one, two = run_hashes(hashes, begin, begin + MIN_PASSAGE)
+                yield pd.DataFrame({"id": batch.id.to_numpy()[a:b][doc], "doc_key": batch.doc_key.to_numpy()[a:b][doc], "first": first, "stop": first + MIN_PASSAGE, "one": one, "two": two})
 
     opened = saved(asked_texts(left).mapInPandas(windows, f"id {kind}, doc_key long, first int, stop int, one long, two long"))
     lost = lost_of(clusters, "cluster").unionByName(lost_runs).unionByName(lost_of(opened, "one", "two"))
     lost = lost.groupBy(F.col("doc_key").alias("lost_key")).agg(F.collect_set(F.struct("first", "stop")).alias("lost"))
     lost = lost.select("lost_key", F.pandas_udf(_merge, "array<struct<first:int,stop:int>>")("lost").alias("spans"))
-    about = units.where("kind = 'd'").select("id", "doc_key", F.col("first").alias("n_words"), F.col("stop").alias("n_paragraphs"))
+    about = units.where(F.col("kind") == _DOC).select(F.when(F.col("rest") == 0, F.col("id")).alias("id"), "doc_key", F.col("first").alias("n_words"), F.col("stop").alias("n_paragraphs"))
     out = about.join(lost, about.doc_key == lost.lost_key, "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<first:int,stop:int>>")))
     removed = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["stop"] - s["first"])
     return out.select(F.col("id").alias(id_col), "n_words", "n_paragraphs", removed.alias("n_removed_words"), F.size("spans").alias("n_spans"), "spans")

@@ -400,11 +400,73 @@ def test_substring_dedup(spark, docs, none):
     assert got[200].n_removed_words >= 30 and got[201].n_removed_words == 60
     assert all(got[100 + i].n_removed_words == 0 for i in range(30))
     assert substring_dedup.repeated_passages(none).count() == 0
-    assert substring_dedup.repeated_passages(docs).count() == len(rows())
+    odd = defaultdict(list)
+    for r in substring_dedup.repeated_passages(docs).collect():
+        odd[r.doc_id].append(r)
+    assert sum(map(len, odd.values())) == len(rows()) and [odd[i][0].n_removed_words for i in (1, 2, 3, 4)] == [0] * 4
+    assert odd[8][0].n_words == 30000 and odd[8][0].n_removed_words == 0  # a very long text
+    assert len(odd[5]) == 2 and odd[5][0] == odd[5][1] and odd[5][0].n_removed_words == 0  # repeated rows are one document
+    assert odd[6][0].n_removed_words == 60 and odd[7][0].n_removed_words == 0 and len(odd[None]) == 3  # É is not é
     cut = {r.doc_id: r.text for r in substring_dedup.remove_passages(made.where("doc_id is not null")).collect()}
     assert cut[0] == data[0][1] and " ".join(near_copy) not in cut[201] and cut[300] is None
 
 
+def brute_removed(data):
+    """Word places that go from each document: paragraphs like one of another cluster's first document, and 20-word windows that an earlier document holds."""
+    words, lines, windows = {}, [], {}
+    for i, t in sorted(data):
+        at, words[i] = 0, []
+        for line in (t or "").split("\n"):
+            w = WORD.findall(az(line))
+            if len(w) >= 20:
+                lines.append((i, at, w))
+            at += len(w)
+            words[i] += w
+    gone = {i: set() for i in words}
+    sets = [shingles(word_hashes(" ".join(w))) for _, _, w in lines]
+    root = list(range(len(lines)))
+    for _ in range(len(lines)):
+        before = list(root)
+        for x in range(len(lines)):
+            for y in range(x):
+                if root[x] != root[y] and jaccard(sets[x], sets[y]) >= 0.8:
+                    root[x] = root[y] = min(root[x], root[y])
+        if root == before:
+            break
+    for r in set(root):
+        of = [lines[k] for k in range(len(lines)) if root[k] == r]
+        least = min(i for i, _, _ in of)
+        for i, at, w in of:
+            if i != least:
+                gone[i] |= set(range(at, at + len(w)))
+    for i in sorted(words):
+        for p in range(len(words[i]) - 19):
+            if windows.setdefault(tuple(words[i][p : p + 20]), i) != i:
+                gone[i] |= set(range(p, p + 20))
+    return gone
+
+
+def test_removed_words_by_brute_force(spark):
+    """Paragraphs, near copies, passages and texts of few words that repeat by chance, null and empty texts."""
+    data, few = [(900, None), (901, "")], prose(50_000, 9).split(" ")
+    for i in range(70):
+        r = random.Random(i)
+        parts = [prose(51_000 + i * 3 + k, r.randrange(5, 60)) for k in range(2)]
+        near = prose(52_000 + r.randrange(6), 90).split(" ")
+        for at in range(10, 10 + r.randrange(3)):
+            near[at] = f"w{i}"
+        shared = prose(53_000 + r.randrange(8), 70).split(" ")
+        begin = r.randrange(40)
+        parts.append(" ".join(near))
+        parts.append(f"{prose(54_000 + i, 12)} {' '.join(shared[begin : begin + r.randrange(15, 30)])} {prose(55_000 + i, 12)}")
+        parts.append(" ".join(r.choice(few) for _ in range(60)))
+        r.shuffle(parts)
+        data.append((i, "\n".join(parts)))
+    want = brute_removed(data)
+    got = {x.doc_id: {p for s in x.spans for p in range(s["first"], s["stop"])} for x in substring_dedup.repeated_passages(spark.createDataFrame(data, "doc_id long, text string").repartition(6)).collect()}
+    assert got == want and sum(map(len, want.values())) > 3000
+
+
 def test_every_shared_passage_is_found(spark):
     """Passages of 20, 21, 51 and 60 words at random places of differing texts, also in lines of one to five words; each shared word goes from the later document."""
     r, data, want = random.Random(11), [], {}
