@@ -80,7 +80,7 @@ def stretches(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _units(bands: int, rows: int):
-    """For each document: itself (_DOC: words, paragraphs, and 1 in `rest` if its id is null), its paragraphs that are candidates (_LINE, with node and signature) and its stretches (_RUN, with anchor and rest)."""
+    """For each document: itself (_DOC: words, paragraphs, and 1 in `rest` if its id is null), its paragraphs that are candidates (_LINE, with key and signature) and its stretches (_RUN, with anchor and rest)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -94,21 +94,21 @@ def _units(bands: int, rows: int):
                 begin = np.cumsum(n_words) - n_words
                 ids, same = batch.id.to_numpy()[a:b], batch.doc_key.to_numpy()[a:b]
 
-                def told(doc, kind, first, stop, anchor=None, rest=None, node=None, signature=None):
+                def told(doc, kind, first, stop, anchor=None, rest=None, key=None, signature=None):
                     none = pd.Series([pd.NA] * len(doc), dtype="Int64")
                     return pd.DataFrame({
                         "id": ids[doc], "doc_key": same[doc], "kind": np.full(len(doc), kind, dtype=np.int8), "first": first, "stop": stop,  # noqa: B023
-                        "anchor": none if anchor is None else anchor, "rest": none if rest is None else rest, "node": node, "signature": signature,
+                        "anchor": none if anchor is None else anchor, "rest": none if rest is None else rest, "key": key, "signature": signature,
                     })
 
                 yield told(np.arange(b - a), _DOC, n_words, n_lines, rest=batch.nameless.to_numpy()[a:b].astype(np.int64))
                 long = in_line >= MIN_PARAGRAPH_WORDS
                 starts = (np.cumsum(in_line) - in_line)[long]
                 signs = minhashes_of(*shingles_of(hashes[np.repeat(long, in_line)], in_line[long]), bands * rows)
-                nodes = [xxhash.xxh3_128_hexdigest(hashes[p : p + n].tobytes()) for p, n in zip(starts.tolist(), in_line[long].tolist(), strict=True)]
+                keys = [xxhash.xxh3_128_digest(hashes[p : p + n].tobytes()) for p, n in zip(starts.tolist(), in_line[long].tolist(), strict=True)]
                 doc = doc_of_line[long]
                 first = starts - begin[doc]
-                yield told(doc, _LINE, first, first + in_line[long], node=nodes, signature=[s.tobytes() for s in signs])
+                yield told(doc, _LINE, first, first + in_line[long], key=keys, signature=[s.tobytes() for s in signs])
                 doc, anchor, first, stop = stretches(hashes, n_words)
                 rest = run_hashes(hashes, first, stop)[1]
                 yield told(doc, _RUN, first - begin[doc], stop - begin[doc], anchor, rest)
@@ -154,7 +154,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     # without nulls, ids keep their type in pandas
     nil = F.lit("0").cast(kind)
     d = docs.select(F.coalesce(F.col(id_col), nil).alias("id"), F.col(id_col).isNull().alias("nameless"), F.xxhash64(id_col, text_col).alias("doc_key"), F.col(text_col).alias("text"))
-    units = saved(d.mapInPandas(_units(bands, rows), f"id {kind}, doc_key long, kind byte, first int, stop int, anchor long, rest long, node string, signature binary"))
+    units = saved(d.mapInPandas(_units(bands, rows), f"id {kind}, doc_key long, kind byte, first int, stop int, anchor long, rest long, key binary, signature binary"))
     lines = units.where(F.col("kind") == _LINE)
     place = F.struct("id", "doc_key")
 
@@ -173,14 +173,20 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
                 out += [(s["node"], raw[starts[s["first"]] : ends[s["stop"] - 1]].decode("utf-8", "replace")) for s in spans]
             yield pd.DataFrame(out, columns=["node", "text"])
 
+    # one node for each sequence of words, with a place where it is found
+    nodes = lines.groupBy("key").agg(
+        F.first("signature").alias("signature"), F.min(F.struct("doc_key", "first", "stop")).alias("at"), F.max("doc_key").alias("high")
+    )
+    nodes = saved(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "signature", "at", (F.col("at.doc_key") < F.col("high")).alias("several")))
+
     def texts_of(named: DataFrame) -> DataFrame:
-        where = lines.join(named, "node").groupBy("node").agg(F.min(F.struct("doc_key", "first", "stop")).alias("at"))
-        spans = where.select("at.doc_key", F.struct("node", "at.first", "at.stop").alias("span"))
-        return asked_texts(spans).mapInPandas(cut, "node string, text string")
+        spans = nodes.select("node", "at").join(named, "node").select("at.doc_key", F.struct("node", "at.first", "at.stop").alias("span"))
+        return asked_texts(spans).mapInPandas(cut, "node long, text string")
 
-    nodes = saved(lines.groupBy("node").agg(F.first("signature").alias("signature")))
     roots, _ = similar_classes(nodes, texts_of, bands, rows, TARGET_RECALL, threshold)
-    clusters = lines.join(roots.withColumnRenamed("root", "cluster"), "node", "left").select("id", "doc_key", "first", "stop", F.coalesce("cluster", "node").alias("cluster"))
+    # a paragraph can go if another document has its words, or words like them
+    clusters = nodes.select("node", "key", "several").join(roots, "node", "left").where("several or root is not null").select("key", F.coalesce("root", "node").alias("cluster"))
+    clusters = lines.select("id", "doc_key", "first", "stop", "key").join(clusters, "key").drop("key")
 
     def lost_of(rows: DataFrame, *key: str) -> DataFrame:
         shared = rows.groupBy(*key).agg(F.min(place).alias("keep"), F.max("doc_key").alias("high"), F.min("doc_key").alias("low")).where("low <> high").select(*key, F.col("keep.doc_key").alias("keep_key"))
