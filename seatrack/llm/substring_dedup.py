@@ -198,11 +198,12 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     # the shared anchors are few beside the runs, which need no sorting then
     met = saved(runs.join(shared.hint("shuffle_hash"), "anchor"))
     heads = met.groupBy("anchor", "rest").agg(F.min(place).alias("keep")).select("anchor", "rest", F.col("keep.doc_key").alias("keep_key"))
-    lost_runs = met.join(heads, ["anchor", "rest"]).where("doc_key <> keep_key").select("doc_key", "first", "stop")
-    # what such a stretch shares with a different one of its anchor
-    differ = met.groupBy("anchor").agg(F.min("rest").alias("low"), F.max("rest").alias("high")).where("low <> high").select("anchor")
-    place_of = heads.join(differ, "anchor").select("anchor", "rest", F.col("keep_key").alias("doc_key"))
-    left = met.join(place_of, ["anchor", "rest", "doc_key"]).select("doc_key", (F.shiftleft(F.col("first").cast("long"), 32) + F.col("stop")).alias("span"))
+    # what a first stretch shares with a different one of its anchor is asked below
+    differ = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("differing"))
+    heads = heads.join(differ, F.col("anchor") == F.col("differing"), "left").select("anchor", "rest", "keep_key", F.col("differing").isNotNull().alias("differ"))
+    told = saved(met.join(heads, ["anchor", "rest"]).where("doc_key <> keep_key or differ").select("doc_key", "first", "stop", (F.col("doc_key") != F.col("keep_key")).alias("lost")))
+    lost_runs = told.where("lost").select("doc_key", "first", "stop")
+    left = told.where("not lost").select("doc_key", (F.shiftleft(F.col("first").cast("long"), 32) + F.col("stop")).alias("span"))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
