@@ -6,24 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """df computed once, written by checkpoint() to the shared folder: spark.checkpoint.dir, or a subfolder of the warehouse where it is unset."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch")
+    return df.checkpoint()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root): the least node that each node of edges(a, b) is connected to.
 
     Labels take the minimum over neighbours and then their label's label, until
     none changes. checkpoint() cuts the lineage of each round in the shared folder.
     """
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
+    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("root"))
     for _ in range(max_rounds):
         reach = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("m"))
         lower = labels.join(reach, labels.node == reach.a).select("node", "root", F.least("root", "m").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("root").alias("far"))
-        after = lower.join(jump, "new", "left").select("node", F.col("root").alias("old"), F.least("new", F.coalesce("far", "new")).alias("root")).checkpoint()
+        after = durable(lower.join(jump, "new", "left").select("node", F.col("root").alias("old"), F.least("new", F.coalesce("far", "new")).alias("root")))
         if after.where("old <> root").isEmpty():
             break
         labels = after.select("node", "root")

@@ -7,22 +7,41 @@ from pyspark.sql import functions as F
 
 from seatrack.functions.geo import haversine_m, seconds_between
 
+from .graph import durable
+
+
+#: Groups up to which a few rows for each of them are broadcast.
+MAX_BROADCAST_GROUPS = 10_000
+
 
 def prefix_sum(df: DataFrame, order: str, values: list[str], by: list[str] | None = None) -> DataFrame:
     """Adds cum_<value>: sums over all rows with `order` up to the row's, within `by`, without one task for a group.
 
-    Rows are range-partitioned by (by, order); each partition sums its own rows
-    and the totals of the partitions before it, a few rows for each partition.
-    Rows with equal (by, order) must have been aggregated before.
+    Quantiles of `order` cut each group once, and are written before they are
+    used, so that a row's stretch stays the same however often and on however
+    many partitions it is computed. Each stretch sums its own rows and the
+    totals of the stretches before it. Rows with equal (by, order) must have
+    been aggregated before; null comes first, NaN last.
     """
     by = by or []
-    cut = df.repartitionByRange(*by, order).withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy("part", *by).agg(*[F.sum(v).alias(f"t_{v}") for v in values])
-    totals = totals.select("part", *by, *[F.coalesce(F.sum(f"t_{v}").over(before), F.lit(0)).alias(f"b_{v}") for v in values])
+    keys = by or ["_all"]
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    n_cuts = min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = durable(rows.groupBy(*keys).agg(F.percentile_approx(order, [i / n_cuts for i in range(1, n_cuts)] or [0.5], 10 * n_cuts).alias("_cuts")))
+    small = cuts.count() <= MAX_BROADCAST_GROUPS
+    shared = F.broadcast if small else lambda x: x
+    same = lambda other: [F.col(k).eqNullSafe(other[f"_k{i}"]) for i, k in enumerate(keys)]  # noqa: E731  also groups named by null
+    named = lambda x: x.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    cuts = named(cuts)
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))
+    cut = rows.join(shared(cuts), same(cuts)).withColumn("_part", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(part)).select(*rows.columns, "_part")
+    inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"t_{v}") for v in values])
+    totals = totals.select(F.col("_part").alias("_p"), *keys, *[F.coalesce(F.sum(f"t_{v}").over(before), F.lit(0)).alias(f"b_{v}") for v in values])
+    totals = named(totals)
     local = cut.select("*", *[F.sum(v).over(inside).alias(f"l_{v}") for v in values])
-    joined = local.join(totals, ["part", *by])
+    joined = local.join(shared(totals), [*same(totals), F.col("_part") == F.col("_p")])
     return joined.select(*df.columns, *[(F.col(f"l_{v}") + F.col(f"b_{v}")).alias(f"cum_{v}") for v in values])
 
 

@@ -96,8 +96,8 @@ def d1(s, d):
     return prisms.prisms(pairs).withColumn("prism_id", F.concat_ws("-", "mmsi", "seq"))
 
 
-def gap_prisms(s, d):
-    return prisms.footprints(d1(s, d).where((F.col("duration_s") > 600) & F.col("reject_reason").isNull()), "ellipse")
+def gap_prisms(s, d, kind="ellipse"):
+    return prisms.footprints(d1(s, d).where((F.col("duration_s") > 600) & F.col("reject_reason").isNull()), kind)
 
 
 def meetings(s, d, method):
@@ -164,7 +164,7 @@ ENTRIES = {
     "d3_ellipse_at": (lambda s, d: pick(prisms.ellipse_at(d1(s, d).where("duration_s > 0").withColumn("mid", F.timestamp_seconds((F.unix_seconds("a.t") + F.unix_seconds("b.t")) / 2)), "mid"), "mmsi", "seq", F.col("at_semi_major_m").alias("semi_major_m")),
         f"{POS}, led as (select *, lead(t_s) over w as e_t, lead(lat) over w as e_lat, lead(lon) over w as e_lon from positions window w as (partition by mmsi order by t_s, seq)), q as (select mmsi, seq, {hav('lat', 'lon', 'e_lat', 'e_lon')} as dist, (e_t - t_s) * 1.0e0 as dur from led where e_t > t_s) select mmsi, seq, round(case when dist - 1e-6 <= {CAP} * dur then {CAP} * dur / 2 else dist / 2 end, 5) as semi_major_m from q"),
     "d4_gap_candidates": (lambda s, d: pick(detect.gap_candidates(pos(s, d)), "mmsi", "seq", "duration_s", "distance_m"), f"{POS}, {GAPS} select mmsi, seq, duration_s * 1.0e0 as duration_s, round(distance_m, 5) as distance_m from gaps"),
-    "d5_gap_regions": (lambda s, d: prisms.merge_gap_regions(gap_prisms(s, d)).groupBy("mmsi", "region_id").agg(F.count(F.lit(1)).alias("n_gaps"), F.min("a.t").alias("head_t")).select("mmsi", "region_id", "n_gaps", F.unix_seconds("head_t").alias("head_s")), None),
+    "d5_gap_regions": (lambda s, d: prisms.merge_gap_regions(gap_prisms(s, d, "rectangle")).groupBy("mmsi", "region_id").agg(F.count(F.lit(1)).alias("n_gaps"), F.min("a.t").alias("head_t")).select("mmsi", "region_id", "n_gaps", F.unix_seconds("head_t").alias("head_s")), None),
     "d6_gap_measure": (lambda s, d: pick(gaps(s, d), "mmsi", "seq", "p_physical", "p_data", "agm", F.when(F.col("rank") == 1, True).otherwise(False).alias("first")),
         f"{POS}, {GAPS}, m as (select *, {AGM('distance_m', 'duration_s')} as agm from gaps) select mmsi, seq, round(least(1.0e0, {CAP} / greatest(distance_m / greatest(duration_s, 1.0e0), 1e-6)), 5) as p_physical, round(1.0e0 / (1.0e0 + exp(-((ln(1 + distance_m) + 0.001e0 * duration_s - 12.0e0) / 3.0e0))), 5) as p_data, round(agm, 5) as agm, row_number() over (partition by mmsi order by agm desc, t_s, seq) = 1 as first from m"),
     "d8_nearest_lane": (lambda s, d: pick(detect.off_lane(detect.nearest_lane(pos(s, d), view(s, d, "segments"), [])), "mmsi", "seq", F.round("lane_m", 3).alias("lane_m"), "off_lane", "lane_severity"),

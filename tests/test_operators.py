@@ -36,6 +36,35 @@ def test_prefix_sum_does_not_depend_on_partitions(spark):
     assert {r.k: r.cum_v for r in joins.prefix_sum(df, "k", ["v"], ["g"]).collect()} == want
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ordered_statistics_on_many_partitions(spark, adaptive):
+    """AUC and KS of 300,000 rows equal plain NumPy ones, with other columns about and however partitions are merged."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    for k, v in zip(before, ("16", adaptive, "200k"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(300_000).select(
+            "id", (F.pmod(F.xxhash64("id"), F.lit(100_003)) / 100_003).alias("score"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 0).cast("int").alias("label"), F.concat(F.lit("extra"), "id").alias("extra")
+        )
+        local = df.select("score", "label").toPandas()
+        values, first, counts = np.unique(local.score.to_numpy(), return_inverse=True, return_counts=True)
+        ranks = (np.cumsum(counts) - (counts - 1) / 2.0)[first]
+        pos = local.label.to_numpy() == 1
+        want = (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+        assert stats.roc_auc(df, "label", "score").first().auc == pytest.approx(want, abs=1e-12)
+        per = {r.g: r.auc for r in stats.roc_auc(df.withColumn("g", F.col("id") % 2), "label", "score", ["g"]).collect()}
+        assert len(per) == 2 and all(abs(x - want) < 0.01 for x in per.values())
+        steps = np.searchsorted(np.sort(local.score[pos]), values, side="right") / pos.sum() - np.searchsorted(np.sort(local.score[~pos]), values, side="right") / (~pos).sum()
+        ks = stats.ks_statistic(df.where("label = 1"), df.where("label <> 1"), ["score"]).first().ks
+        assert ks == pytest.approx(np.abs(steps).max(), abs=1e-12)
+        plain = df.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.max("extra").alias("extra"))
+        got = {r.score: r.cum_n for r in joins.prefix_sum(plain, "score", ["n"]).collect()}
+        assert got == dict(zip(values.tolist(), np.cumsum(counts).tolist(), strict=True))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_guard_converges_under_any_delivery(spark):
     events = [(f"k{i % 3}", "cudr"[i % 4], i * 37 % 101, f"v{i}") for i in range(24)]
     best = {}
@@ -137,6 +166,22 @@ def test_prisms_and_meetings(spark):
     assert prisms.overlap_groups(np.array([179.0, -179.5, 0.0]), np.array([181.0, -178.5, 1.0]), np.zeros(3), np.ones(3)).tolist() == [0, 0, 2]
 
 
+def test_meetings_need_common_time_and_measure_turned_rectangles(spark):
+    at = lambda s: __import__("datetime").datetime.fromtimestamp(s, __import__("datetime").timezone.utc)
+    point = lambda s, lat, lon: (at(s), lat, lon)
+    rows = [("a", 1, point(0, 0.0, 0.0), point(7200, 0.2, 0.2)), ("b", 2, point(7200, 0.0, 0.0), point(14400, 0.2, 0.2)), ("c", 3, point(7199.5, 0.0, 0.0), point(14400, 0.2, 0.2)), ("d", 4, point(0, 0.1, 179.9), point(7200, 0.1, -179.9)), ("e", 5, point(60, 0.1, -179.95), point(7200, 0.1, 179.95))]
+    kind = "struct<t:timestamp,lat:double,lon:double>"
+    base = prisms.prisms(spark.createDataFrame(rows, f"prism_id string, mmsi long, a {kind}, b {kind}"))
+    met = {(r.a, r.b): r for r in prisms.rendezvous(prisms.footprints(base)).collect()}
+    assert set(met) == {("a", "c"), ("b", "c"), ("d", "e")}  # a and b only touch in time
+    assert met["a", "c"].t0 == 7_199_500_000 and met["a", "c"].t1 == 7_200_000_000
+    # near the equator degrees are square: the rectangle's area is that of its half axes, not of the box about the turned ellipse
+    shape = {r.prism_id: (2 * r.semi_major_m * 2 * r.semi_minor_m) / (np.pi / 180 * 6371000.0) ** 2 for r in base.collect()}
+    assert met["b", "c"].box_union == pytest.approx(max(shape["b"], shape["c"]), rel=0.01)
+    ring = prisms.footprints(base, "rectangle").where("prism_id = 'a'").first()
+    assert len(ring.ring) == 4 * prisms.SIDE_POINTS and ring.x1 - ring.x0 > 0
+
+
 def test_meetings_use_every_silence_over_600_s(spark, monkeypatch):
     every = track_queries.gap_prisms
     monkeypatch.setattr(track_queries, "gap_prisms", lambda s, d: every(s, d).where("duration_s <= 1500 and prism_id in ('200000000-77', '200000004-70')"))
