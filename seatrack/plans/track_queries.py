@@ -114,7 +114,7 @@ def j1(s, d):
 
 
 def j3(s, d):
-    q = view(s, d, "queue").where("seq < 4000").withColumn("label", F.lit(None).cast("string")).withColumn("reviewer", F.lit(None).cast("string"))
+    q = view(s, d, "queue").withColumn("label", F.lit(None).cast("string")).withColumn("reviewer", F.lit(None).cast("string"))
     return joins.apply_feedback(q, view(s, d, "queue").where("label is not null"))[0].select("trace_id", "label", "reviewer")
 
 
@@ -195,7 +195,7 @@ select mmsi, seq, concat_ws(',', case when s1 > 0 then 'implausible_speed' end,
     "j1_asof_join": (j1, f"{POS}, a as (select mmsi, seq, t_s from positions where event_type = 'view'), b as (select mmsi, t_s, arg_max(lat, seq) as lat, max(seq) as fseq from positions where event_type = 'click' group by mmsi, t_s), j as (select a.mmsi, a.seq, b.fseq, b.lat, a.t_s - b.t_s as age from a asof left join b on a.mmsi = b.mmsi and a.t_s >= b.t_s) select mmsi, seq, case when age <= 3600 then fseq end as f_fseq, case when age <= 3600 then round(lat, 6) end as f_lat from j"),
     "j2_registry_status": (lambda s, d: joins.registry_status(view(s, d, "items")).select("mmsi", "watchlisted", "sanctioned", F.round("list_severity", 5).alias("list_severity"), F.array_join("regimes", ",").alias("regimes")),
         "with " + ctes("items") + " select mmsi, bool_or(feature_name = 'watchlist') as watchlisted, bool_or(feature_name like 'sanctions:%') as sanctioned, round(max(severity) filter (where feature_name = 'watchlist'), 5) as list_severity, coalesce(string_agg(distinct replace(feature_name, 'sanctions:', ''), ',' order by replace(feature_name, 'sanctions:', '')) filter (where feature_name like 'sanctions:%'), '') as regimes from items where not deleted group by mmsi"),
-    "j3_apply_feedback": (j3, "with " + ctes("queue") + ", f as (select trace_id, arg_max(label, seq) as label, arg_max(reviewer, seq) as reviewer from queue where label is not null group by 1) select q.trace_id, f.label, f.reviewer from queue q left join f using (trace_id) where q.seq < 4000"),
+    "j3_apply_feedback": (j3, "with " + ctes("queue") + ", f as (select trace_id, arg_max(label, seq) as label, arg_max(reviewer, seq) as reviewer from queue where label is not null group by 1) select q.trace_id, f.label, f.reviewer from queue q left join f using (trace_id)"),
     "j4_enqueue": (lambda s, d: joins.enqueue(view(s, d, "queue").where("seq % 3 = 0"), view(s, d, "queue")).select("trace_id", "seq"), "with " + ctes("queue") + " select trace_id, min(seq) as seq from queue where trace_id not in (select trace_id from queue where seq % 3 = 0) group by 1"),
     "j5_score_diff": (lambda s, d: rounded(joins.score_diff(view(s, d, "queue").select("seq", "score"), view(s, d, "queue").where("seq % 97 <> 0").select("seq", (F.col("score") * 0.98).alias("score")), "seq"), 7),
         "with " + ctes("queue") + " select count(*) filter (where seq % 97 <> 0) as n_pairs, count(*) filter (where seq % 97 = 0) as n_unpaired, round(avg(case when seq % 97 <> 0 then abs(score - score * 0.98e0) end), 7) as mean_abs_diff, round(max(case when seq % 97 <> 0 then abs(score - score * 0.98e0) end), 7) as max_abs_diff, false as passed from queue"),

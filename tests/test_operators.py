@@ -162,7 +162,10 @@ def test_prisms_and_meetings(spark):
     assert [(r.a, r.b) for r in met] == [("p1", "p2")] and 0.1 <= met[0].confidence <= 0.99
     assert {r.reject_reason for r in table.collect()} == {None, "duration"}
     square = np.array([[0.0, 0], [2, 0], [2, 2], [0, 2]])
-    assert prisms.ring_area(prisms.clip_convex(square, square + 1.0)) == pytest.approx(1.0)
+    assert prisms.ring_area(prisms.clip_convex(square[None], square[None] + 1.0)) == pytest.approx(1.0)
+    turned = np.array([[1.0, -1], [3, 1], [1, 3], [-1, 1]])  # holds all but the corners' outside of the square
+    many = np.stack((square, square + 5.0, square / 2 + 0.5, turned))
+    assert prisms.ring_area(prisms.clip_convex(many, np.stack([square] * 4))).tolist() == pytest.approx([4.0, 0.0, 1.0, 4.0])
     assert prisms.overlap_groups(np.array([179.0, -179.5, 0.0]), np.array([181.0, -178.5, 1.0]), np.zeros(3), np.ones(3)).tolist() == [0, 0, 2]
 
 
