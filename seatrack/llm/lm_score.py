@@ -2,157 +2,134 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cached_property
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import mixed, saved, word_hashes
+from .base import WORD_BYTES, hashes_of, mixed
 
-#: A word of at least this share of all words is in the vocabulary, and a bigram of at least this share has an entry: at most 1 / share of either.
-WORD_SHARE = 2e-6
-BIGRAM_SHARE = 2e-6
 #: Weight of the unigram estimate inside a bigram's.
 PRIOR = 20.0
-_OTHER = np.uint64(0)  # every word outside the vocabulary
-
-
-def _bigram_keys(ids: np.ndarray) -> np.ndarray:
-    return mixed(ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:])
-
-
-class _Places:
-    """Places of keys in a sorted array of uniform hashes, by their leading bits: a few steps a key instead of a binary search."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = len(keys).bit_length() + 2
-        self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(keys, np.arange(2**bits, dtype=np.uint64) << self.shift).astype(np.int32)
-        self.keys = np.append(keys, np.uint64(2**64 - 1))
-
-    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each wanted key, and whether it is there."""
-        at = self.first[wanted >> self.shift]
-        while (low := self.keys[at] < wanted).any():
-            at = at + low
-        return at, (self.keys[at] == wanted) & (at < len(self.keys) - 1)
-
-
-@dataclass
-class BigramModels:
-    """Counts of target and background over one vocabulary; words and bigrams are sorted hashes, the first word is _OTHER."""
-
-    words: np.ndarray
-    word_counts: np.ndarray
-    bigrams: np.ndarray
-    bigram_counts: np.ndarray
-
-    @cached_property
-    def _word_places(self) -> _Places:
-        return _Places(self.words)
-
-    @cached_property
-    def _bigram_places(self) -> _Places:
-        return _Places(self.bigrams)
-
-    @cached_property
-    def _totals(self) -> np.ndarray:
-        return self.word_counts.sum(axis=0)
-
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each word in `words`; that of _OTHER for a word outside the vocabulary."""
-        at, there = self._word_places.find(hashes)
-        return np.where(there, at, 0)
-
-    def known(self, hashes: np.ndarray) -> np.ndarray:
-        return self.words[self.places(hashes)]
-
-    def losses(self, text: str | None) -> tuple[int, float | None, float | None]:
-        """Words, and mean negative log2 likelihood of a word under target and background; the first word is a unigram."""
-        at = self.places(word_hashes(text))
-        if not len(at):
-            return 0, None, None
-        one = self.word_counts[at]
-        p = (one + 0.5) / (self._totals + 0.5 * len(self.words))
-        if len(at) > 1:
-            two_at, there = self._bigram_places.find(_bigram_keys(self.words[at]))
-            two = np.zeros((len(two_at), 2))
-            two[there] = self.bigram_counts[two_at[there]]
-            p[1:] = (two + PRIOR * p[1:]) / (one[:-1] + PRIOR)
-        loss = -np.log2(np.minimum(p, 1.0)).mean(axis=0)
-        return len(at), float(loss[0]), float(loss[1])
-
-
-def _counted(rows: DataFrame, keys_of) -> DataFrame:
-    """rows(text, target boolean) -> (key, background, target): counts of keys_of(text) over all rows and over target rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.iloc[at : at + 2000]
-                found = [keys_of(t) for t in part.text]
-                if not (lengths := [len(x) for x in found]):
-                    continue
-                keys, place = np.unique(np.concatenate(found), return_inverse=True)
-                target = np.repeat(part.target.to_numpy(dtype=bool), lengths)
-                yield pd.DataFrame({
-                    "key": keys.astype(np.int64), "background": np.bincount(place, minlength=len(keys)).astype(np.int64),
-                    "target": np.bincount(place[target], minlength=len(keys)).astype(np.int64),
-                })
-
-    counted = rows.select("text", "target").mapInPandas(run, "key long, background long, target long")
-    return counted.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def _table(counted: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
-    counted = saved(counted)
-    total = counted.agg(F.sum("background")).first()[0] or 0
-    kept = counted.where(F.col("background") >= max(2, share * total)).toPandas()
-    rest = counted.where(F.col("background") < max(2, share * total)).agg(F.sum("target"), F.sum("background")).first()
-    keys = kept.key.to_numpy(dtype=np.int64).astype(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], kept[["target", "background"]].to_numpy(dtype=np.float64).reshape(-1, 2)[order], [float(x or 0) for x in rest]
-
-
-def fit_models(docs: DataFrame, is_target, text_col: str = "text") -> BigramModels:
-    """Target counts from the rows where `is_target` holds, background counts from all rows.
-
-    Every word and bigram of the corpus is counted by a combined shuffle; the
-    tables that reach the driver are bounded by WORD_SHARE and BIGRAM_SHARE.
-    """
-    rows = docs.select(F.col(text_col).alias("text"), F.coalesce(is_target, F.lit(False)).alias("target"))
-    words, word_counts, others = _table(_counted(rows, word_hashes), WORD_SHARE)
-    at = np.searchsorted(words, _OTHER)
-    model = BigramModels(np.insert(words, at, _OTHER), np.insert(word_counts, at, others, axis=0), np.zeros(0, dtype=np.uint64), np.zeros((0, 2)))
-    vocabulary = docs.sparkSession.sparkContext.broadcast(model)
-    bigrams, bigram_counts, _ = _table(_counted(rows, lambda t: _bigram_keys(vocabulary.value.known(word_hashes(t)))), BIGRAM_SHARE)
-    return BigramModels(model.words, model.word_counts, bigrams, bigram_counts)
+#: The shared vocabulary: a word never seen has 1 / VOCABULARY of the weight UNSEEN inside the unigram estimate.
+VOCABULARY, UNSEEN = 2.0**24, 1000.0
+#: Bytes of text in a block, about; the number of blocks grows with the table.
+BLOCK_BYTES = 16 << 20
+#: The event that ends each document with a word, and the key of a model's total.
+_END, _TOTAL = np.uint64(2**63 + 1), np.uint64(0)
+
+
+def _events(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, unigram key, bigram key or _TOTAL for a first word, is a word) of each event; even keys are unigrams, odd ones bigrams."""
+    hashes, n = hashes_of([(t or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() for t in texts])
+    some = np.flatnonzero(n)
+    doc = np.repeat(some, n[some] + 1)
+    ends = np.cumsum(n[some] + 1) - 1
+    word = np.ones(len(doc), dtype=bool)
+    word[ends] = False
+    ids = np.full(len(doc), _END, dtype=np.uint64)
+    ids[word] = hashes
+    one = np.maximum(mixed(ids) << np.uint64(1), np.uint64(2))
+    two = np.zeros(len(doc), dtype=np.uint64)
+    two[1:] = mixed(ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:]) | np.uint64(1)
+    two[ends[:-1] + 1] = _TOTAL
+    two[:1] = _TOTAL
+    return doc, one, two, word
+
+
+def _is_target(docs: pd.DataFrame, told: pd.DataFrame) -> np.ndarray:
+    named = set(zip(told.key.tolist(), told.background.tolist(), strict=True))
+    return np.fromiter((x in named for x in zip(docs.h1.tolist(), docs.h2.tolist(), strict=True)), dtype=bool, count=len(docs))
+
+
+def _count(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    """Counts of a block's events over all its documents and over its target documents; key 0 has all events."""
+    if not len(docs):
+        return pd.DataFrame({"block": [], "key": [], "background": [], "target": []}, dtype=np.int64)
+    doc, one, two, _ = _events(docs.text)
+    target = _is_target(docs, told)[doc]
+    keys, place = np.unique(np.concatenate((one, two[two != _TOTAL])), return_inverse=True)
+    of_target = np.concatenate((target, target[two != _TOTAL]))
+    return pd.DataFrame({
+        "block": docs.block.iloc[0],
+        "key": np.append(keys, _TOTAL).view(np.int64),
+        "background": np.append(np.bincount(place, minlength=len(keys)), len(doc)),
+        "target": np.append(np.bincount(place[of_target], minlength=len(keys)), target.sum()),
+    })
+
+
+def _losses(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    """n_tokens and both losses of a block's documents. told: the target documents, and totals of the events that other blocks have too."""
+    if not len(docs):
+        return pd.DataFrame({"id": docs.id, "nameless": docs.nameless, "n_tokens": [], "loss_target": [], "loss_background": []})
+    doc, one, two, word = _events(docs.text)
+    is_target = _is_target(docs, told[told.target < 0])
+    told = told[told.target >= 0]
+    known = told.key.to_numpy(dtype=np.int64).view(np.uint64)
+    keys, place = np.unique(np.concatenate((one, two)), return_inverse=True)
+    held_by = np.tile(doc, 2)
+    n = np.bincount(doc, minlength=len(docs))  # events of each document, its end too
+    words = np.maximum(n - 1, 0)
+    # a document's own events are held out
+    _, at, count = np.unique(held_by * len(keys) + place, return_inverse=True, return_counts=True)
+    own = count[at]
+    there = np.isin(known, keys)
+    where = np.searchsorted(keys, known[there])
+    out = {"id": docs.id.to_numpy(), "nameless": docs.nameless.to_numpy(), "n_tokens": words}
+    for name, of in (("target", is_target), ("background", np.ones(len(docs), dtype=bool))):
+        held = of[held_by]
+        counts = np.bincount(place[held], minlength=len(keys)).astype(np.int64)
+        counts[where] = told[name].to_numpy()[there]
+        total = told[name].to_numpy()[known == _TOTAL]
+        total = total[0] if len(total) else n[of].sum()
+        left = (counts[place] - own * held).astype(np.float64)
+        uni, bi = left[: len(doc)], left[len(doc) :]
+        p = (uni + UNSEEN / VOCABULARY) / (total - (n * of)[doc] + UNSEEN)
+        follows = np.flatnonzero(two != _TOTAL)
+        p[follows] = (bi[follows] + PRIOR * p[follows]) / (uni[follows - 1] + PRIOR)
+        loss = np.bincount(doc[word], weights=-np.log2(p[word]), minlength=len(docs))
+        out[f"loss_{name}"] = np.divide(loss, words, out=np.full(len(docs), np.nan), where=words > 0)
+    return pd.DataFrame(out)
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row: `id_col`, n_tokens, loss_target, loss_background, score = loss_target - loss_background in bits a word.
 
+    The target model counts the documents that target_ids(`id_col`) names, the
+    background model all documents. Both are interpolated bigram models over
+    one vocabulary, with an event that ends each document, and sum to 1 after
+    every word. Every word and bigram is counted, however rare, and a document
+    is scored without its own counts (a copy of it still counts).
 
-def cross_entropy_difference(docs: DataFrame, models: BigramModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: `id_col`, n_tokens, loss_target, loss_background, score = loss_target - loss_background in bits a word.
+    Documents are dealt to blocks of bounded size. A block counts its events;
+    counts meet by event, and only events that other blocks have too return,
+    with their totals, to the blocks that hold them. So neither a model nor a
+    task grows with the table, and each text is shuffled once.
 
     A low score is closer to the target than to the background. Null texts and
-    texts without a word have 0 tokens and null losses and score. Repeated rows
-    get equal results; null ids stay null. With no target rows the target model
-    is uniform over the vocabulary. An empty table gives none.
+    texts without a word have 0 tokens and null losses and score. Rows that
+    repeat get equal results; null ids stay null and are never targets. Without
+    a target its model knows no word. Extra columns are ignored; an empty table
+    gives none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    @F.pandas_udf("n_tokens long, loss_target double, loss_background double")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.losses(t) for t in texts], columns=["n_tokens", "loss_target", "loss_background"])
-
-    found = docs.select(F.col(id_col).alias("id"), score(F.col(text_col)).alias("s"))
-    return found.select(F.col("id").alias(id_col), "s.*", (F.col("s.loss_target") - F.col("s.loss_background")).alias("score"))
-
-
-def labelled_target(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with a boolean column `target`: the document's label has quality 1. Labels of one id count once, by their largest quality."""
-    good = labels.groupBy(F.col(id_col).alias("label_id")).agg(F.max("quality").alias("quality_max")).where("quality_max = 1")
-    # labels grow with the documents, so the join is a shuffle at every size
-    return docs.join(good.hint("merge"), docs[id_col] == good.label_id, "left").withColumn("target", F.col("label_id").isNotNull()).drop("label_id", "quality_max")
+    kind = docs.schema[id_col].dataType.simpleString()
+    volume = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    n_blocks = volume // block_bytes + 1
+    named = [F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2")]
+    block = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n_blocks)).alias("block")
+    # without nulls, ids keep their type in pandas; rows without an id are dealt by their text
+    d = docs.select(F.coalesce(F.col(id_col), F.lit("0").cast(kind)).alias("id"), F.col(id_col).isNull().alias("nameless"), F.col(text_col).alias("text"))
+    d = d.select(F.when(F.col("nameless"), F.pmod(F.xxhash64("text"), F.lit(n_blocks))).otherwise(block).alias("block"), "id", "nameless", *[F.when(~F.col("nameless"), h).otherwise(0).alias(n) for h, n in zip(named, ("h1", "h2"), strict=True)], "text")
+    good = target_ids.select(F.col(id_col).cast(kind).alias("id")).where("id is not null").distinct()
+    good = good.select(block, F.xxhash64("id").alias("key"), F.xxhash64("id", F.lit(1)).alias("background"), F.lit(-1).cast("long").alias("target"))
+    counted = d.groupBy("block").cogroup(good.groupBy("block")).applyInPandas(_count, "block long, key long, background long, target long")
+    totals = counted.selectExpr("block", "key", "background as own", "sum(background) over (partition by key) as background", "sum(target) over (partition by key) as target")
+    told = totals.where("background > own").select("block", "key", "background", "target").unionByName(good)
+    found = d.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_losses, f"id {kind}, nameless boolean, n_tokens long, loss_target double, loss_background double")
+    told = found.select(F.when(~F.col("nameless"), F.col("id")).alias(id_col), "n_tokens", *[F.when(F.col("n_tokens") > 0, F.col(c)).alias(c) for c in ("loss_target", "loss_background")])
+    return told.withColumn("score", F.col("loss_target") - F.col("loss_background"))
+
+
+def good_documents(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """`id_col` of the documents labelled with quality 1; labels of one id count once, by their largest quality."""
+    return labels.where("quality = 1").select(id_col).distinct()

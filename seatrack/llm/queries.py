@@ -59,9 +59,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    marked = lm_score.labelled_target(docs, table(spark, sf_dir, "labels"))
-    return lm_score.cross_entropy_difference(docs, lm_score.fit_models(marked, F.col("target")))
+    good = lm_score.good_documents(table(spark, sf_dir, "labels"))
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

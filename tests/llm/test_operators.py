@@ -489,51 +489,50 @@ def test_every_shared_passage_is_found(spark):
         assert any(x <= a and b <= y and y - x <= b - a + 2 for x, y in got[i]), (i, got[i], want[i])
 
 
-def test_lm_score(spark, docs, none):
-    good = {i: prose(i, 80) for i in range(40)}
-    other = {100 + i: " ".join(f"zz{random.Random(i * 99 + k).randrange(40)}" for k in range(80)) for i in range(80)}
-    data = [*good.items(), *other.items(), (None, None), (500, "")]
-    made = spark.createDataFrame(data, "doc_id long, text string").withColumn("target", F.col("doc_id") < 30)
-    models = lm_score.fit_models(made, F.col("target"))
-    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(made, models).collect()}
-    assert max(got[i].score for i in range(40)) < min(got[i].score for i in other)
-    # the same numbers from plain counts; here every word and bigram seen twice has an entry
-    words, pairs = Counter(), Counter()
-    tw, tp = Counter(), Counter()
-    seqs = {i: WORD.findall(az(t)) for i, t in data if t}
-    for i, s in seqs.items():
-        words.update(s)
-        if i < 30:
-            tw.update(s)
-    voc = {w for w, n in words.items() if n >= 2}
-    ids = {i: [w if w in voc else "" for w in s] for i, s in seqs.items()}
-    for i, s in ids.items():
-        pairs.update(zip(s, s[1:], strict=False))
-        if i < 30:
-            tp.update(zip(s, s[1:], strict=False))
-    one = [Counter(), Counter()]
-    for w, n in words.items():
-        one[1][w if w in voc else ""] += n
-    for w, n in tw.items():
-        one[0][w if w in voc else ""] += n
-    two = [{k: tp[k] for k, n in pairs.items() if n >= 2}, {k: n for k, n in pairs.items() if n >= 2}]
-    for i in (3, 35, 105):
-        for side, name in ((0, "loss_target"), (1, "loss_background")):
-            total, loss = sum(one[side].values()), 0.0
-            for k, w in enumerate(ids[i]):
-                p = (one[side][w] + 0.5) / (total + 0.5 * (len(voc) + 1))
-                if k:
-                    u = ids[i][k - 1]
-                    p = (two[side].get((u, w), 0) + lm_score.PRIOR * p) / (one[side][u] + lm_score.PRIOR)
+def brute_losses(data, targets):
+    """(n, loss_target, loss_background) of each document by plain counts without its own, and the conditional distribution of one model."""
+    seqs = [[*WORD.findall(az(t)), None] if WORD.findall(az(t)) else [] for _, t in data]
+    out = []
+    for k, seq in enumerate(seqs):
+        losses = []
+        for keep in (lambda i: data[i][0] in targets, lambda i: True):
+            rest = [s for i, s in enumerate(seqs) if i != k and keep(i)]
+            one, two = Counter(w for s in rest for w in s), Counter(p for s in rest for p in zip(s, s[1:], strict=False))
+            total, loss = sum(one.values()), 0.0
+            p_one = lambda w: (one[w] + lm_score.UNSEEN / lm_score.VOCABULARY) / (total + lm_score.UNSEEN)  # noqa: B023, E731
+            for i, w in enumerate(seq[:-1]):
+                p = p_one(w)
+                if i:
+                    p = (two[seq[i - 1], w] + lm_score.PRIOR * p) / (one[seq[i - 1]] + lm_score.PRIOR)
                 loss -= np.log2(p)
-            assert got[i][name] == pytest.approx(loss / len(ids[i]), rel=1e-9)
-    assert got[None].n_tokens == 0 and got[500].score is None
-    empty = lm_score.fit_models(none, F.lit(True))
-    assert lm_score.cross_entropy_difference(none, empty).count() == 0
-    assert lm_score.cross_entropy_difference(docs, empty).count() == len(rows())
+            for u in list(one)[:3]:  # the model sums to 1 after every word
+                if u is not None:
+                    after = sum((two[u, w] + lm_score.PRIOR * p_one(w)) / (one[u] + lm_score.PRIOR) for w in one)
+                    after += (lm_score.VOCABULARY - len(one)) * lm_score.PRIOR * lm_score.UNSEEN / lm_score.VOCABULARY / (total + lm_score.UNSEEN) / (one[u] + lm_score.PRIOR)
+                    assert after == pytest.approx(1.0)
+            losses.append(loss / (len(seq) - 1) if seq else None)
+        out.append((max(len(seq) - 1, 0), *losses))
+    return out
+
+
+def test_lm_score(spark, docs, none):
+    good = [(i, prose(i, 40)) for i in range(25)]
+    other = [(100 + i, " ".join(f"zz{random.Random(i * 99 + k).randrange(40)}" for k in range(60))) for i in range(25)]
+    data = [*good, *other, (3, good[3][1]), (800, good[9][1]), (None, None), (500, ""), (None, good[4][1])]
+    made = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("id", "block", "h1", "key", "target", "score")})
+    ids = spark.createDataFrame([(i,) for i in (*range(18), 17, 900, None)], "doc_id long")
+    want = Counter((i, n, None if a is None else round(a, 8), None if b is None else round(b, 8)) for (i, _), (n, a, b) in zip(data, brute_losses(data, set(range(18))), strict=True))
+    for size in (10**6, 700):  # one block and many
+        got = lm_score.cross_entropy_difference(made.repartition(3), ids, block_bytes=size).collect()
+        assert Counter((r.doc_id, r.n_tokens, r.loss_target and round(r.loss_target, 8), r.loss_background and round(r.loss_background, 8)) for r in got) == want
+    assert max(r.score for r in got if r.doc_id is not None and r.doc_id < 25) < min(r.score for r in got if r.doc_id is not None and 100 <= r.doc_id < 125)
+    # own counts are held out: a text that occurs once gains nothing by being a target
+    assert {r.doc_id: r.score for r in got}[500] is None
+    assert lm_score.cross_entropy_difference(none, ids).count() == 0
+    odd = lm_score.cross_entropy_difference(docs, ids.limit(0)).collect()
+    assert len(odd) == len(rows()) and {r.n_tokens for r in odd if r.doc_id == 8} == {30000} and len({tuple(r) for r in odd if r.doc_id == 5}) == 1
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    marked = lm_score.labelled_target(docs, labels)
-    assert marked.count() == len(rows()) and {r.doc_id for r in marked.where("target").collect()} == {1}
+    assert {r.doc_id for r in lm_score.good_documents(labels).collect()} == {1, None}
 
 
 def test_preferences(spark):
