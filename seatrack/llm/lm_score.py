@@ -7,23 +7,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORD_BYTES, hashes_of, mixed
+from .base import WORD_BYTES, hashes_of, mixed, portions
 
 #: Weight of the unigram estimate inside a bigram's.
 PRIOR = 20.0
 #: The shared vocabulary: a word never seen has 1 / VOCABULARY of the weight UNSEEN inside the unigram estimate.
 VOCABULARY, UNSEEN = 2.0**24, 1000.0
 #: Bytes of text in a block, about; the number of blocks grows with the table.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 #: The event that ends each document with a word, and the key of a model's total.
 _END, _TOTAL = np.uint64(2**63 + 1), np.uint64(0)
 
 
 def _events(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, unigram key, bigram key or _TOTAL for a first word, is a word) of each event; even keys are unigrams, odd ones bigrams."""
-    hashes, n = hashes_of([(t or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() for t in texts])
+    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    parts = [hashes_of([r.translate(WORD_BYTES).split() for r in raws[a:b]]) for a, b in portions([len(r) for r in raws])]
+    hashes, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     some = np.flatnonzero(n)
-    doc = np.repeat(some, n[some] + 1)
+    doc = np.repeat(some.astype(np.int32), n[some] + 1)
     ends = np.cumsum(n[some] + 1) - 1
     word = np.ones(len(doc), dtype=bool)
     word[ends] = False
@@ -38,24 +40,26 @@ def _events(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _is_target(docs: pd.DataFrame, told: pd.DataFrame) -> np.ndarray:
-    named = set(zip(told.key.tolist(), told.background.tolist(), strict=True))
+    named = set(zip(told.h1.tolist(), told.h2.tolist(), strict=True))
     return np.fromiter((x in named for x in zip(docs.h1.tolist(), docs.h2.tolist(), strict=True)), dtype=bool, count=len(docs))
 
 
-def _count(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-    """Counts of a block's events over all its documents and over its target documents; key 0 has all events."""
-    if not len(docs):
-        return pd.DataFrame({"block": [], "key": [], "background": [], "target": []}, dtype=np.int64)
-    doc, one, two, _ = _events(docs.text)
-    target = _is_target(docs, told)[doc]
-    keys, place = np.unique(np.concatenate((one, two[two != _TOTAL])), return_inverse=True)
-    of_target = np.concatenate((target, target[two != _TOTAL]))
-    return pd.DataFrame({
-        "block": docs.block.iloc[0],
-        "key": np.append(keys, _TOTAL).view(np.int64),
-        "background": np.append(np.bincount(place, minlength=len(keys)), len(doc)),
-        "target": np.append(np.bincount(place[of_target], minlength=len(keys)), target.sum()),
-    })
+def _count(n_parts: int):
+    """Counts of a block's events over all its documents and over its target documents, an array for each part of the keys; key 0 has all events."""
+
+    def run(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(docs):
+            return pd.DataFrame({"block": [], "part": [], "keys": [], "own": [], "of_target": []})
+        doc, one, two, _ = _events(docs.text)
+        target, follows = _is_target(docs, told)[doc], two != _TOTAL
+        keys, place = np.unique(np.concatenate((one, two[follows])), return_inverse=True)
+        own, of_target = np.bincount(place), np.bincount(place[np.concatenate((target, target[follows]))], minlength=len(keys))
+        keys, own, of_target = np.insert(keys, 0, _TOTAL), np.insert(own, 0, len(doc)), np.insert(of_target, 0, target.sum())
+        cut = np.searchsorted(keys, np.arange(1, n_parts, dtype=np.uint64) * np.uint64(2**64 // n_parts))
+        split = lambda x: np.split(x, cut)
+        return pd.DataFrame({"block": docs.block.iloc[0], "part": np.arange(n_parts), "keys": split(keys.view(np.int64)), "own": split(own), "of_target": split(of_target)})
+
+    return run
 
 
 def _losses(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
@@ -63,24 +67,25 @@ def _losses(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     if not len(docs):
         return pd.DataFrame({"id": docs.id, "nameless": docs.nameless, "n_tokens": [], "loss_target": [], "loss_background": []})
     doc, one, two, word = _events(docs.text)
-    is_target = _is_target(docs, told[told.target < 0])
-    told = told[told.target >= 0]
-    known = told.key.to_numpy(dtype=np.int64).view(np.uint64)
+    is_target = _is_target(docs, told[told["keys"].isna()])
+    told = told[told["keys"].notna()]
+    known, *totals = (np.concatenate([np.zeros(0, dtype=np.int64), *told[c]]).astype(np.int64) for c in ("keys", "background", "target"))
+    known = known.view(np.uint64)
     keys, place = np.unique(np.concatenate((one, two)), return_inverse=True)
-    held_by = np.tile(doc, 2)
+    place, held_by = place.astype(np.int32), np.tile(doc, 2)
     n = np.bincount(doc, minlength=len(docs))  # events of each document, its end too
     words = np.maximum(n - 1, 0)
     # a document's own events are held out
-    _, at, count = np.unique(held_by * len(keys) + place, return_inverse=True, return_counts=True)
-    own = count[at]
+    _, at, count = np.unique(held_by.astype(np.int64) * len(keys) + place, return_inverse=True, return_counts=True)
+    own = count.astype(np.int32)[at]
     there = np.isin(known, keys)
     where = np.searchsorted(keys, known[there])
     out = {"id": docs.id.to_numpy(), "nameless": docs.nameless.to_numpy(), "n_tokens": words}
-    for name, of in (("target", is_target), ("background", np.ones(len(docs), dtype=bool))):
+    for name, of, told in zip(("background", "target"), (np.ones(len(docs), dtype=bool), is_target), totals, strict=True):
         held = of[held_by]
         counts = np.bincount(place[held], minlength=len(keys)).astype(np.int64)
-        counts[where] = told[name].to_numpy()[there]
-        total = told[name].to_numpy()[known == _TOTAL]
+        counts[where] = told[there]
+        total = told[known == _TOTAL]
         total = total[0] if len(total) else n[of].sum()
         left = (counts[place] - own * held).astype(np.float64)
         uni, bi = left[: len(doc)], left[len(doc) :]
@@ -121,10 +126,13 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     d = docs.select(F.coalesce(F.col(id_col), F.lit("0").cast(kind)).alias("id"), F.col(id_col).isNull().alias("nameless"), F.col(text_col).alias("text"))
     d = d.select(F.when(F.col("nameless"), F.pmod(F.xxhash64("text"), F.lit(n_blocks))).otherwise(block).alias("block"), "id", "nameless", *[F.when(~F.col("nameless"), h).otherwise(0).alias(n) for h, n in zip(named, ("h1", "h2"), strict=True)], "text")
     good = target_ids.select(F.col(id_col).cast(kind).alias("id")).where("id is not null").distinct()
-    good = good.select(block, F.xxhash64("id").alias("key"), F.xxhash64("id", F.lit(1)).alias("background"), F.lit(-1).cast("long").alias("target"))
-    counted = d.groupBy("block").cogroup(good.groupBy("block")).applyInPandas(_count, "block long, key long, background long, target long")
-    totals = counted.selectExpr("block", "key", "background as own", "sum(background) over (partition by key) as background", "sum(target) over (partition by key) as target")
-    told = totals.where("background > own").select("block", "key", "background", "target").unionByName(good)
+    good = good.select(block, *named)
+    n_parts = min(4 * n_blocks + 4, 1 << 15)
+    counted = d.groupBy("block").cogroup(good.groupBy("block")).applyInPandas(_count(n_parts), "block long, part long, keys array<long>, own array<long>, of_target array<long>")
+    each = counted.repartition("part").select("block", "part", F.explode(F.arrays_zip("keys", "own", "of_target")).alias("e")).select("block", "part", "e.*")
+    totals = each.selectExpr("block", "keys", "own", "sum(own) over (partition by part, keys) as background", "sum(of_target) over (partition by part, keys) as target")
+    lists = [F.collect_list(c).alias(c) for c in ("keys", "background", "target")]
+    told = totals.where("background > own").groupBy("block").agg(*lists).select("*", *[F.lit(0).cast("long").alias(h) for h in ("h1", "h2")]).unionByName(good, allowMissingColumns=True)
     found = d.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_losses, f"id {kind}, nameless boolean, n_tokens long, loss_target double, loss_background double")
     told = found.select(F.when(~F.col("nameless"), F.col("id")).alias(id_col), "n_tokens", *[F.when(F.col("n_tokens") > 0, F.col(c)).alias(c) for c in ("loss_target", "loss_background")])
     return told.withColumn("score", F.col("loss_target") - F.col("loss_background"))
