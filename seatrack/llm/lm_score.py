@@ -14,7 +14,7 @@ PRIOR = 20.0
 #: The shared vocabulary: a word never seen has 1 / VOCABULARY of the weight UNSEEN inside the unigram estimate.
 VOCABULARY, UNSEEN = 2.0**24, 1000.0
 #: Bytes of text in a block, about; the number of blocks grows with the table.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 #: The event that ends each document with a word, and the key of a model's total.
 _END, _TOTAL = np.uint64(2**63 + 1), np.uint64(0)
 
@@ -39,6 +39,12 @@ def _events(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return doc, one, two, word
 
 
+def _sliced(hashes: np.ndarray, n_parts: int) -> np.ndarray:
+    """Keys part * 2**32 + rest of 64-bit hashes: an event is named by its part and 32 bits in it, and parts grow in number with the table."""
+    high, low = hashes >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF)
+    return (((high * np.uint64(n_parts)) >> np.uint64(32)) << np.uint64(32)) | low
+
+
 def _is_target(docs: pd.DataFrame, told: pd.DataFrame) -> np.ndarray:
     named = set(zip(told.h1.tolist(), told.h2.tolist(), strict=True))
     return np.fromiter((x in named for x in zip(docs.h1.tolist(), docs.h2.tolist(), strict=True)), dtype=bool, count=len(docs))
@@ -49,29 +55,38 @@ def _count(n_parts: int):
 
     def run(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
-            return pd.DataFrame({"block": [], "part": [], "keys": [], "own": [], "of_target": []})
+            return pd.DataFrame(columns=["block", "part", "keys", "own", "of_target"], dtype=object)
         doc, one, two, _ = _events(docs.text)
         target, follows = _is_target(docs, told)[doc], two != _TOTAL
-        keys, place = np.unique(np.concatenate((one, two[follows])), return_inverse=True)
+        keys, place = np.unique(_sliced(np.concatenate((one, two[follows])), n_parts), return_inverse=True)
         own, of_target = np.bincount(place), np.bincount(place[np.concatenate((target, target[follows]))], minlength=len(keys))
         keys, own, of_target = np.insert(keys, 0, _TOTAL), np.insert(own, 0, len(doc)), np.insert(of_target, 0, target.sum())
-        cut = np.searchsorted(keys, np.arange(1, n_parts, dtype=np.uint64) * np.uint64(2**64 // n_parts))
-        split = lambda x: np.split(x, cut)
-        return pd.DataFrame({"block": docs.block.iloc[0], "part": np.arange(n_parts), "keys": split(keys.view(np.int64)), "own": split(own), "of_target": split(of_target)})
+        cut = np.searchsorted(keys, np.arange(1, n_parts, dtype=np.uint64) << np.uint64(32))
+        split = lambda x: np.split(x.astype(np.uint32).view(np.int32), cut)
+        return pd.DataFrame({"block": docs.block.iloc[0], "part": np.arange(n_parts), "keys": split(keys), "own": split(own), "of_target": split(of_target)})
 
     return run
 
 
-def _losses(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+def _losses(n_parts: int):
     """n_tokens and both losses of a block's documents. told: the target documents, and totals of the events that other blocks have too."""
+
+    def run(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        return _block_losses(docs, told, n_parts)
+
+    return run
+
+
+def _block_losses(docs: pd.DataFrame, told: pd.DataFrame, n_parts: int) -> pd.DataFrame:
     if not len(docs):
         return pd.DataFrame({"id": docs.id, "nameless": docs.nameless, "n_tokens": [], "loss_target": [], "loss_background": []})
     doc, one, two, word = _events(docs.text)
     is_target = _is_target(docs, told[told["keys"].isna()])
     told = told[told["keys"].notna()]
-    known, *totals = (np.concatenate([np.zeros(0, dtype=np.int64), *told[c]]).astype(np.int64) for c in ("keys", "background", "target"))
-    known = known.view(np.uint64)
-    keys, place = np.unique(np.concatenate((one, two)), return_inverse=True)
+    known = [np.asarray(k, dtype=np.int32).view(np.uint32).astype(np.uint64) | (np.uint64(p) << np.uint64(32)) for k, p in zip(told["keys"], told.part, strict=True)]
+    known = np.concatenate([np.zeros(0, dtype=np.uint64), *known])
+    totals = [np.concatenate([np.zeros(0, dtype=np.int64), *told[c]]).astype(np.int64) for c in ("background", "target")]
+    keys, place = np.unique(_sliced(np.concatenate((one, two)), n_parts), return_inverse=True)
     place, held_by = place.astype(np.int32), np.tile(doc, 2)
     n = np.bincount(doc, minlength=len(docs))  # events of each document, its end too
     words = np.maximum(n - 1, 0)
@@ -109,7 +124,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     Documents are dealt to blocks of bounded size. A block counts its events;
     counts meet by event, and only events that other blocks have too return,
     with their totals, to the blocks that hold them. So neither a model nor a
-    task grows with the table, and each text is shuffled once.
+    task grows with the table, and each text is shuffled once. Events are named
+    by their part and 32 bits; of a hundred thousand, few share a name.
 
     A low score is closer to the target than to the background. Null texts and
     texts without a word have 0 tokens and null losses and score. Rows that
@@ -127,13 +143,14 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     d = d.select(F.when(F.col("nameless"), F.pmod(F.xxhash64("text"), F.lit(n_blocks))).otherwise(block).alias("block"), "id", "nameless", *[F.when(~F.col("nameless"), h).otherwise(0).alias(n) for h, n in zip(named, ("h1", "h2"), strict=True)], "text")
     good = target_ids.select(F.col(id_col).cast(kind).alias("id")).where("id is not null").distinct()
     good = good.select(block, *named)
-    n_parts = min(4 * n_blocks + 4, 1 << 15)
-    counted = d.groupBy("block").cogroup(good.groupBy("block")).applyInPandas(_count(n_parts), "block long, part long, keys array<long>, own array<long>, of_target array<long>")
+    n_parts = min(4 * n_blocks + 4, 1 << 20)
+    counted = d.groupBy("block").cogroup(good.groupBy("block")).applyInPandas(_count(n_parts), "block long, part long, keys array<int>, own array<int>, of_target array<int>")
     each = counted.repartition("part").select("block", "part", F.explode(F.arrays_zip("keys", "own", "of_target")).alias("e")).select("block", "part", "e.*")
-    totals = each.selectExpr("block", "keys", "own", "sum(own) over (partition by part, keys) as background", "sum(of_target) over (partition by part, keys) as target")
+    totals = each.selectExpr("block", "part", "keys", "own", "sum(own) over (partition by part, keys) as background", "sum(of_target) over (partition by part, keys) as target")
     lists = [F.collect_list(c).alias(c) for c in ("keys", "background", "target")]
-    told = totals.where("background > own").groupBy("block").agg(*lists).select("*", *[F.lit(0).cast("long").alias(h) for h in ("h1", "h2")]).unionByName(good, allowMissingColumns=True)
-    found = d.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_losses, f"id {kind}, nameless boolean, n_tokens long, loss_target double, loss_background double")
+    told = totals.where("background > own").groupBy("block", "part").agg(*lists).select("*", *[F.lit(0).cast("long").alias(h) for h in ("h1", "h2")])
+    told = told.unionByName(good.select("*", F.lit(0).cast("long").alias("part")), allowMissingColumns=True)
+    found = d.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_losses(n_parts), f"id {kind}, nameless boolean, n_tokens long, loss_target double, loss_background double")
     told = found.select(F.when(~F.col("nameless"), F.col("id")).alias(id_col), "n_tokens", *[F.when(F.col("n_tokens") > 0, F.col(c)).alias(c) for c in ("loss_target", "loss_background")])
     return told.withColumn("score", F.col("loss_target") - F.col("loss_background"))
 
