@@ -14,7 +14,7 @@ PRIOR = 20.0
 #: The shared vocabulary: a word never seen has 1 / VOCABULARY of the weight UNSEEN inside the unigram estimate.
 VOCABULARY, UNSEEN = 2.0**24, 1000.0
 #: Bytes of text in a block, about; the number of blocks grows with the table.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: The event that ends each document with a word, and the key of a model's total.
 _END, _TOTAL = np.uint64(2**63 + 1), np.uint64(0)
 
@@ -40,9 +40,14 @@ def _events(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _sliced(hashes: np.ndarray, n_parts: int) -> np.ndarray:
-    """Keys part * 2**32 + rest of 64-bit hashes: an event is named by its part and 32 bits in it, and parts grow in number with the table."""
-    high, low = hashes >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF)
-    return (((high * np.uint64(n_parts)) >> np.uint64(32)) << np.uint64(32)) | low
+    """Keys part * 2**32 + rest of 64-bit hashes, in their place: an event is named by its part and 32 bits in it, and parts grow in number with the table."""
+    high = hashes >> np.uint64(32)
+    high *= np.uint64(n_parts)
+    high >>= np.uint64(32)
+    high <<= np.uint64(32)
+    hashes &= np.uint64(0xFFFFFFFF)
+    hashes |= high
+    return hashes
 
 
 def _is_target(docs: pd.DataFrame, told: pd.DataFrame) -> np.ndarray:
@@ -59,6 +64,7 @@ def _count(n_parts: int):
         doc, one, two, _ = _events(docs.text)
         target, follows = _is_target(docs, told)[doc], two != _TOTAL
         keys, place = np.unique(_sliced(np.concatenate((one, two[follows])), n_parts), return_inverse=True)
+        del one, two
         own, of_target = np.bincount(place), np.bincount(place[np.concatenate((target, target[follows]))], minlength=len(keys))
         keys, own, of_target = np.insert(keys, 0, _TOTAL), np.insert(own, 0, len(doc)), np.insert(of_target, 0, target.sum())
         cut = np.searchsorted(keys, np.arange(1, n_parts, dtype=np.uint64) << np.uint64(32))
@@ -87,12 +93,14 @@ def _block_losses(docs: pd.DataFrame, told: pd.DataFrame, n_parts: int) -> pd.Da
     known = np.concatenate([np.zeros(0, dtype=np.uint64), *known])
     totals = [np.concatenate([np.zeros(0, dtype=np.int64), *told[c]]).astype(np.int64) for c in ("background", "target")]
     keys, place = np.unique(_sliced(np.concatenate((one, two)), n_parts), return_inverse=True)
+    del one
     place, held_by = place.astype(np.int32), np.tile(doc, 2)
     n = np.bincount(doc, minlength=len(docs))  # events of each document, its end too
     words = np.maximum(n - 1, 0)
     # a document's own events are held out
     _, at, count = np.unique(held_by.astype(np.int64) * len(keys) + place, return_inverse=True, return_counts=True)
     own = count.astype(np.int32)[at]
+    del at
     there = np.isin(known, keys)
     where = np.searchsorted(keys, known[there])
     out = {"id": docs.id.to_numpy(), "nameless": docs.nameless.to_numpy(), "n_tokens": words}
