@@ -14,7 +14,7 @@ PRIOR = 20.0
 #: The shared vocabulary: a word never seen has 1 / VOCABULARY of the weight UNSEEN inside the unigram estimate.
 VOCABULARY, UNSEEN = 2.0**24, 1000.0
 #: Bytes of text in a block, about; the number of blocks grows with the table.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: The event that ends each document with a word, and the key of a model's total.
 _END, _TOTAL = np.uint64(2**63 + 1), np.uint64(0)
 
@@ -97,12 +97,16 @@ def _block_losses(docs: pd.DataFrame, told: pd.DataFrame, n_parts: int) -> pd.Da
     place, held_by = place.astype(np.int32), np.tile(doc, 2)
     n = np.bincount(doc, minlength=len(docs))  # events of each document, its end too
     words = np.maximum(n - 1, 0)
-    # a document's own events are held out
-    _, at, count = np.unique(held_by.astype(np.int64) * len(keys) + place, return_inverse=True, return_counts=True)
-    own = count.astype(np.int32)[at]
-    del at
-    there = np.isin(known, keys)
-    where = np.searchsorted(keys, known[there])
+    # a document's own events are held out, counted for a few documents at a time
+    own, ends = np.empty(len(place), dtype=np.int32), np.cumsum(n)
+    for first, stop in portions(n.tolist(), 1 << 18):
+        events = slice(ends[first] - n[first], ends[stop - 1])
+        for part in (own[: len(doc)], place[: len(doc)]), (own[len(doc) :], place[len(doc) :]):
+            _, at, count = np.unique(doc[events].astype(np.int64) * len(keys) + part[1][events], return_inverse=True, return_counts=True)
+            part[0][events] = count[at]
+    where = np.minimum(np.searchsorted(keys, known), max(len(keys) - 1, 0))
+    there = keys[where] == known if len(keys) else np.zeros(len(known), dtype=bool)
+    where = where[there]
     out = {"id": docs.id.to_numpy(), "nameless": docs.nameless.to_numpy(), "n_tokens": words}
     for name, of, told in zip(("background", "target"), (np.ones(len(docs), dtype=bool), is_target), totals, strict=True):
         held = of[held_by]
