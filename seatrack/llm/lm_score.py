@@ -22,7 +22,8 @@ _END, _TOTAL = np.uint64(2**63 + 1), np.uint64(0)
 def _events(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, unigram key, bigram key or _TOTAL for a first word, is a word) of each event; even keys are unigrams, odd ones bigrams."""
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    parts = [hashes_of([r.translate(WORD_BYTES).split() for r in raws[a:b]]) for a, b in portions([len(r) for r in raws])]
+    parts = [hashes_of([r.translate(WORD_BYTES).split() for r in raws[a:b]]) for a, b in portions([len(r) for r in raws], 1 << 18)]
+    del raws
     hashes, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     some = np.flatnonzero(n)
     doc = np.repeat(some.astype(np.int32), n[some] + 1)
@@ -69,7 +70,7 @@ def _count(n_parts: int):
         keys, own, of_target = np.insert(keys, 0, _TOTAL), np.insert(own, 0, len(doc)), np.insert(of_target, 0, target.sum())
         cut = np.searchsorted(keys, np.arange(1, n_parts, dtype=np.uint64) << np.uint64(32))
         split = lambda x: np.split(x.astype(np.uint32).view(np.int32), cut)
-        return pd.DataFrame({"block": docs.block.iloc[0], "part": np.arange(n_parts), "keys": split(keys), "own": split(own), "of_target": split(of_target)})
+        return pd.DataFrame({"block": docs.block.iloc[0], "part": np.arange(n_parts, dtype=np.int32), "keys": split(keys), "own": split(own), "of_target": split(of_target)})
 
     return run
 
@@ -110,11 +111,12 @@ def _block_losses(docs: pd.DataFrame, told: pd.DataFrame, n_parts: int) -> pd.Da
     out = {"id": docs.id.to_numpy(), "nameless": docs.nameless.to_numpy(), "n_tokens": words}
     for name, of, told in zip(("background", "target"), (np.ones(len(docs), dtype=bool), is_target), totals, strict=True):
         held = of[held_by]
-        counts = np.bincount(place[held], minlength=len(keys)).astype(np.int64)
+        counts = np.bincount(place[held], minlength=len(keys))
         counts[where] = told[there]
         total = told[known == _TOTAL]
         total = total[0] if len(total) else n[of].sum()
-        left = (counts[place] - own * held).astype(np.float64)
+        left = counts[place]
+        left -= own * held
         uni, bi = left[: len(doc)], left[len(doc) :]
         p = (uni + UNSEEN / VOCABULARY) / (total - (n * of)[doc] + UNSEEN)
         follows = np.flatnonzero(two != _TOTAL)
@@ -156,12 +158,12 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     good = target_ids.select(F.col(id_col).cast(kind).alias("id")).where("id is not null").distinct()
     good = good.select(block, *named)
     n_parts = min(4 * n_blocks + 4, 1 << 20)
-    counted = d.groupBy("block").cogroup(good.groupBy("block")).applyInPandas(_count(n_parts), "block long, part long, keys array<int>, own array<int>, of_target array<int>")
+    counted = d.groupBy("block").cogroup(good.groupBy("block")).applyInPandas(_count(n_parts), "block long, part int, keys array<int>, own array<int>, of_target array<int>")
     each = counted.repartition("part").select("block", "part", F.explode(F.arrays_zip("keys", "own", "of_target")).alias("e")).select("block", "part", "e.*")
     totals = each.selectExpr("block", "part", "keys", "own", "sum(own) over (partition by part, keys) as background", "sum(of_target) over (partition by part, keys) as target")
     lists = [F.collect_list(c).alias(c) for c in ("keys", "background", "target")]
     told = totals.where("background > own").groupBy("block", "part").agg(*lists).select("*", *[F.lit(0).cast("long").alias(h) for h in ("h1", "h2")])
-    told = told.unionByName(good.select("*", F.lit(0).cast("long").alias("part")), allowMissingColumns=True)
+    told = told.unionByName(good.select("*", F.lit(0).alias("part")), allowMissingColumns=True)
     found = d.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_losses(n_parts), f"id {kind}, nameless boolean, n_tokens long, loss_target double, loss_background double")
     told = found.select(F.when(~F.col("nameless"), F.col("id")).alias(id_col), "n_tokens", *[F.when(F.col("n_tokens") > 0, F.col(c)).alias(c) for c in ("loss_target", "loss_background")])
     return told.withColumn("score", F.col("loss_target") - F.col("loss_background"))
