@@ -139,6 +139,13 @@ def mix(
 
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
-    """The documents that the mix takes, all columns, with mix_size, mix_taken and the source's mix_target."""
+    """The documents that the mix takes, all columns, with mix_size, mix_taken and the source's mix_target.
+
+    Columns of these three names are replaced. Null and empty texts have no
+    words to take and go; repeated rows are taken each on its own. An empty
+    table gives none.
+    """
+    added = ("size", "taken", "target")
     out = mix(docs, weights, seed, carry=True).where("taken > 0")
-    return out.select("carried.*", *[F.col(c).alias(f"mix_{c}") for c in ("size", "taken", "target")])
+    stay = [F.col(f"carried.`{c}`") for c in docs.columns if c not in {f"mix_{x}" for x in added}]
+    return out.select(*stay, *[F.col(c).alias(f"mix_{c}") for c in added])

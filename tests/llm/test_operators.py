@@ -131,7 +131,10 @@ def test_mix(spark, docs, none):
     for r in mixing.mix(docs, carry=True).collect():
         taken[r.carried.source] += r.taken
     assert all(abs(taken[k] - target[k]) <= 0.05 * target[k] + 2 for k in names)
-    assert mixing.mix(none).count() == 0
+    assert mixing.mix(none).count() == 0 and mixing.mixture(none).count() == 0
+    clashing = docs.withColumn("mix_size", F.lit("x")).withColumn("size", F.lit("y"))
+    assert sorted(mixing.mixture(clashing).columns) == sorted([*clashing.columns, "mix_taken", "mix_target"])
+    assert {r.size for r in mixing.mixture(clashing).collect()} == {"y"}
     assert [r.taken for r in mixing.mix(docs.where("doc_id < 3")).collect()] == [0, 0]
 
 
@@ -257,6 +260,10 @@ def test_similar_documents(spark, docs, none):
     assert all((classes[a] == classes[b]) == (of[a] is of[b]) for a in of for b in of)
     assert sum(r.kept for r in got) == len(set(map(id, map(find, keys)))) + sum(not WORD.findall(az(r[1])) for r in data)
     assert jaccard_join.similar_documents(none).count() == 0
+    names = {c: F.lit("x") for c in ("lost_id", "lost_hash", "id", "key", "node", "root", "text_hash", "carried", "spans", "cut_id")}
+    clashing = docs.withColumns(names)
+    assert jaccard_join.drop_similar(clashing).columns == clashing.columns and jaccard_join.drop_similar(clashing.limit(0)).count() == 0
+    assert substring_dedup.remove_passages(clashing.where("doc_id > 9")).columns == clashing.columns
     stay = jaccard_join.drop_similar(docs)
     assert stay.columns == docs.columns and stay.where("doc_id between 30 and 49").count() == len({id(of[i]) for i in range(30, 50)})
 
