@@ -56,25 +56,59 @@ def _is_target(docs: pd.DataFrame, told: pd.DataFrame) -> np.ndarray:
     return np.fromiter((x in named for x in zip(docs.h1.tolist(), docs.h2.tolist(), strict=True)), dtype=bool, count=len(docs))
 
 
+def _tallied(keys: np.ndarray, *groups: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys in order, how often each occurs, and how often where each of `groups` is true."""
+    keys, place = np.unique(keys, return_inverse=True)
+    return [keys, np.bincount(place, minlength=len(keys)), *[np.bincount(place[g], minlength=len(keys)) for g in groups]]
+
+
 def _count(n_parts: int):
-    """Counts of a block's events over all its documents and over its target documents, an array for each part of the keys; key 0 has all events."""
+    """Counts of a block's events over all its documents and over its target documents, an array for each part of the keys that has any; key 0 has all events."""
 
     def run(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame(columns=["block", "part", "keys", "own", "of_target"], dtype=object)
         doc, one, two, _ = _events(docs.text)
         target, follows = _is_target(docs, told)[doc], two != _TOTAL
-        keys, place = np.unique(_sliced(np.concatenate((one, two[follows])), n_parts), return_inverse=True)
-        del one, two
-        own, of_target = np.bincount(place), np.bincount(place[np.concatenate((target, target[follows]))], minlength=len(keys))
-        keys, own, of_target = np.insert(keys, 0, _TOTAL), np.insert(own, 0, len(doc)), np.insert(of_target, 0, target.sum())
-        cut = np.searchsorted(keys, np.arange(1, n_parts, dtype=np.uint64) << np.uint64(32))
-        split = lambda x: np.split(x.astype(np.uint32).view(np.int32), cut)
-        return pd.DataFrame({"block": docs.block.iloc[0], "part": np.arange(n_parts, dtype=np.int32), "keys": split(keys), "own": split(own), "of_target": split(of_target)})
+        # unigrams and bigrams have keys of their own
+        singles = _tallied(_sliced(one, n_parts), target)
+        pairs = _tallied(_sliced(two[follows], n_parts), target[follows])
+        all_events = np.array([_TOTAL]), np.array([len(doc)]), np.array([target.sum()])
+        del one, two, doc
+        keys, own, of_target = (np.concatenate(x) for x in zip(all_events, singles, pairs, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, own, of_target = keys[order], own[order], of_target[order]
+        part = (keys >> np.uint64(32)).astype(np.int32)
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        split = lambda x: np.split(x.astype(np.uint32).view(np.int32), first[1:])
+        return pd.DataFrame({"block": docs.block.iloc[0], "part": part[first], "keys": split(keys), "own": split(own), "of_target": split(of_target)})
 
     return run
 
 
+def _totals(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of the events of a part that several blocks have: their totals, for each block that has them."""
+    n = np.fromiter(map(len, rows["keys"]), dtype=np.int64, count=len(rows))
+    keys, place = np.unique(np.concatenate([np.asarray(k, dtype=np.int32) for k in rows["keys"]]), return_inverse=True)
+    several = np.bincount(place, minlength=len(keys)) > 1
+    background, target = (np.bincount(place, weights=np.concatenate(list(rows[c])), minlength=len(keys)).astype(np.int64) for c in ("own", "of_target"))
+    place = place[told := several[place]]
+    cut = np.cumsum(np.add.reduceat(told, np.cumsum(n) - n, dtype=np.int64))[:-1]
+    split = lambda x: np.split(x[place], cut)
+    out = pd.DataFrame({"block": rows.block, "part": rows.part, "keys": split(keys), "background": split(background), "target": split(target)})
+    return out[out["keys"].map(len) > 0]
+
+
+def _own_counts(doc: np.ndarray, place: np.ndarray, n_events: np.ndarray, n_keys: int) -> np.ndarray:
+    """How often the document of each event has that event, counted for a few documents at a time."""
+    own, ends = np.empty(len(place), dtype=np.int32), np.cumsum(n_events)
+    for first, stop in portions(n_events.tolist(), 1 << 18):
+        events = slice(ends[first] - n_events[first], ends[stop - 1])
+        _, at, count = np.unique(doc[events].astype(np.int64) * n_keys + place[events], return_inverse=True, return_counts=True)
+        own[events] = count[at]
+    return own
+
+
 def _losses(n_parts: int):
     """n_tokens and both losses of a block's documents. told: the target documents, and totals of the events that other blocks have too."""
 
@@ -87,39 +121,41 @@ def _losses(n_parts: int):
 def _block_losses(docs: pd.DataFrame, told: pd.DataFrame, n_parts: int) -> pd.DataFrame:
     if not len(docs):
         return pd.DataFrame({"id": docs.id, "nameless": docs.nameless, "n_tokens": [], "loss_target": [], "loss_background": []})
-    doc, one, two, word = _events(docs.text)
     is_target = _is_target(docs, told[told["keys"].isna()])
     told = told[told["keys"].notna()]
     known = [np.asarray(k, dtype=np.int32).view(np.uint32).astype(np.uint64) | (np.uint64(p) << np.uint64(32)) for k, p in zip(told["keys"], told.part, strict=True)]
     known = np.concatenate([np.zeros(0, dtype=np.uint64), *known])
     totals = [np.concatenate([np.zeros(0, dtype=np.int64), *told[c]]).astype(np.int64) for c in ("background", "target")]
-    keys, place = np.unique(_sliced(np.concatenate((one, two)), n_parts), return_inverse=True)
-    del one
-    place, held_by = place.astype(np.int32), np.tile(doc, 2)
+    del told
+    doc, one, two, word = _events(docs.text)
+    follows = np.flatnonzero(two != _TOTAL)
     n = np.bincount(doc, minlength=len(docs))  # events of each document, its end too
     words = np.maximum(n - 1, 0)
-    # a document's own events are held out, counted for a few documents at a time
-    own, ends = np.empty(len(place), dtype=np.int32), np.cumsum(n)
-    for first, stop in portions(n.tolist(), 1 << 18):
-        events = slice(ends[first] - n[first], ends[stop - 1])
-        for part in (own[: len(doc)], place[: len(doc)]), (own[len(doc) :], place[len(doc) :]):
-            _, at, count = np.unique(doc[events].astype(np.int64) * len(keys) + part[1][events], return_inverse=True, return_counts=True)
-            part[0][events] = count[at]
-    where = np.minimum(np.searchsorted(keys, known), max(len(keys) - 1, 0))
-    there = keys[where] == known if len(keys) else np.zeros(len(known), dtype=bool)
-    where = where[there]
+    members = np.ones(len(docs), dtype=bool), is_target
+
+    def others(events: np.ndarray) -> list[np.ndarray]:
+        """For both models: how often documents other than its own have each event."""
+        keys, place = np.unique(_sliced(events, n_parts), return_inverse=True)
+        place = place.astype(np.int32)
+        own = _own_counts(doc, place, n, len(keys))
+        where = np.minimum(np.searchsorted(keys, known), max(len(keys) - 1, 0))
+        there = keys[where] == known if len(keys) else np.zeros(len(known), dtype=bool)
+        left = []
+        for of, total in zip(members, totals, strict=True):
+            held = of[doc]
+            counts = np.bincount(place[held], minlength=len(keys))
+            counts[where[there]] = total[there]
+            left.append(counts[place])
+            left[-1] -= own * held
+        return left
+
+    singles, pairs = others(one), others(two)
+    del one, two
     out = {"id": docs.id.to_numpy(), "nameless": docs.nameless.to_numpy(), "n_tokens": words}
-    for name, of, told in zip(("background", "target"), (np.ones(len(docs), dtype=bool), is_target), totals, strict=True):
-        held = of[held_by]
-        counts = np.bincount(place[held], minlength=len(keys))
-        counts[where] = told[there]
+    for name, of, uni, bi, told in zip(("background", "target"), members, singles, pairs, totals, strict=True):
         total = told[known == _TOTAL]
         total = total[0] if len(total) else n[of].sum()
-        left = counts[place]
-        left -= own * held
-        uni, bi = left[: len(doc)], left[len(doc) :]
         p = (uni + UNSEEN / VOCABULARY) / (total - (n * of)[doc] + UNSEEN)
-        follows = np.flatnonzero(two != _TOTAL)
         p[follows] = (bi[follows] + PRIOR * p[follows]) / (uni[follows - 1] + PRIOR)
         loss = np.bincount(doc[word], weights=-np.log2(p[word]), minlength=len(docs))
         out[f"loss_{name}"] = np.divide(loss, words, out=np.full(len(docs), np.nan), where=words > 0)
@@ -159,10 +195,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     good = good.select(block, *named)
     n_parts = min(4 * n_blocks + 4, 1 << 20)
     counted = d.groupBy("block").cogroup(good.groupBy("block")).applyInPandas(_count(n_parts), "block long, part int, keys array<int>, own array<int>, of_target array<int>")
-    each = counted.repartition("part").select("block", "part", F.explode(F.arrays_zip("keys", "own", "of_target")).alias("e")).select("block", "part", "e.*")
-    totals = each.selectExpr("block", "part", "keys", "own", "sum(own) over (partition by part, keys) as background", "sum(of_target) over (partition by part, keys) as target")
-    lists = [F.collect_list(c).alias(c) for c in ("keys", "background", "target")]
-    told = totals.where("background > own").groupBy("block", "part").agg(*lists).select("*", *[F.lit(0).cast("long").alias(h) for h in ("h1", "h2")])
+    told = counted.groupBy("part").applyInPandas(_totals, "block long, part int, keys array<int>, background array<long>, target array<long>")
+    told = told.select("*", *[F.lit(0).cast("long").alias(h) for h in ("h1", "h2")])
     told = told.unionByName(good.select("*", F.lit(0).alias("part")), allowMissingColumns=True)
     found = d.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_losses(n_parts), f"id {kind}, nameless boolean, n_tokens long, loss_target double, loss_background double")
     told = found.select(F.when(~F.col("nameless"), F.col("id")).alias(id_col), "n_tokens", *[F.when(F.col("n_tokens") > 0, F.col(c)).alias(c) for c in ("loss_target", "loss_background")])
