@@ -42,6 +42,15 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(df: DataFrame) -> None:
+    """Lets the driver collect its garbage once df is written, so that executors delete the shuffle files of the steps before it.
+
+    Spark deletes them only when the driver has collected the plans that made
+    them, which else may be half an hour later.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def lower_az(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. ASCII texts take the fast built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORD_BYTES, grams, hashes_of, minhashes_of, mixed, portions, saved, shingles_of
+from .base import WORD_BYTES, free_shuffles, grams, hashes_of, minhashes_of, mixed, portions, saved, shingles_of
 from .near import meeting, similar_classes
 
 THRESHOLD = 0.8
@@ -26,7 +26,7 @@ MIN_PASSAGE = 20
 ANCHOR = 8
 #: Multipliers (odd, with their inverses modulo 2**64) of the two halves of a run's 128-bit hash.
 _BASES = [(np.uint64(r), np.uint64(pow(r, -1, 2**64)), np.uint64(seed)) for r, seed in ((0x9E3779B97F4A7C15, 1), (0xD6E8FEB86659FD93, 2))]
-_DOC, _LINE, _RUN = 0, 1, 2
+_DOC, _LINE, _RUN, _AGAIN = 0, 1, 2, 3
 
 
 def tuned_bands(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -80,7 +80,7 @@ def stretches(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _units(bands: int, rows: int):
-    """For each document: itself (_DOC: words, paragraphs, and 1 in `rest` if its id is null), its paragraphs that are candidates (_LINE, with key and signature) and its stretches (_RUN, with anchor and rest)."""
+    """For each document: itself (_DOC: words, paragraphs, and 1 in `rest` if its id is null), its paragraphs that are candidates (_LINE, with key and signature) and its stretches (_RUN, or _AGAIN if an earlier one of the document has its anchor; with anchor and rest)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -97,7 +97,7 @@ def _units(bands: int, rows: int):
                 def told(doc, kind, first, stop, anchor=None, rest=None, key=None, signature=None):
                     none = pd.Series([pd.NA] * len(doc), dtype="Int64")
                     return pd.DataFrame({
-                        "id": ids[doc], "doc_key": same[doc], "kind": np.full(len(doc), kind, dtype=np.int8), "first": first, "stop": stop,  # noqa: B023
+                        "id": ids[doc], "doc_key": same[doc], "kind": np.full(len(doc), kind, dtype=np.int8) if np.isscalar(kind) else kind, "first": first, "stop": stop,  # noqa: B023
                         "anchor": none if anchor is None else anchor, "rest": none if rest is None else rest, "key": key, "signature": signature,
                     })
 
@@ -111,7 +111,10 @@ def _units(bands: int, rows: int):
                 yield told(doc, _LINE, first, first + in_line[long], key=keys, signature=[s.tobytes() for s in signs])
                 doc, anchor, first, stop = stretches(hashes, n_words)
                 rest = run_hashes(hashes, first, stop)[1]
-                yield told(doc, _RUN, first - begin[doc], stop - begin[doc], anchor, rest)
+                order = np.lexsort((anchor, doc))
+                again = np.zeros(len(doc), dtype=bool)
+                again[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (anchor[order[1:]] == anchor[order[:-1]])
+                yield told(doc, np.where(again, _AGAIN, _RUN).astype(np.int8), first - begin[doc], stop - begin[doc], anchor, rest)
 
     return run
 
@@ -184,6 +187,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
         return asked_texts(spans).mapInPandas(cut, "node long, text string")
 
     roots, _ = similar_classes(nodes, texts_of, bands, rows, TARGET_RECALL, threshold)
+    free_shuffles(nodes)
     # a paragraph can go if another document has its words, or words like them
     clusters = nodes.select("node", "key", "several").join(roots, "node", "left").where("several or root is not null").select("key", F.coalesce("root", "node").alias("cluster"))
     clusters = lines.select("id", "doc_key", "first", "stop", "key").join(clusters, "key").drop("key")
@@ -193,17 +197,20 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
         return rows.join(shared, [*key]).where("doc_key <> keep_key").select("doc_key", "first", "stop")
 
     # runs whose anchor is in several documents; of the stretches of one anchor, each distinct one stays in its least document
-    runs = units.where(F.col("kind") == _RUN).select("id", "doc_key", "first", "stop", "anchor", "rest")
-    shared = runs.groupBy("anchor").agg(F.min("doc_key").alias("low"), F.max("doc_key").alias("high")).where("low <> high").select("anchor")
+    runs = units.where(F.col("kind") >= _RUN)
+    span = (F.shiftleft(F.col("first").cast("long"), 32) + F.col("stop")).alias("span")
+    shared = runs.where(F.col("kind") == _RUN).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     # the shared anchors are few beside the runs, which need no sorting then
-    met = saved(runs.join(shared.hint("shuffle_hash"), "anchor"))
+    met = saved(runs.select("id", "doc_key", span, "anchor", "rest").join(shared.hint("shuffle_hash"), "anchor"))
+    free_shuffles(met)
     heads = met.groupBy("anchor", "rest").agg(F.min(place).alias("keep")).select("anchor", "rest", F.col("keep.doc_key").alias("keep_key"))
     # what a first stretch shares with a different one of its anchor is asked below
     differ = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("differing"))
     heads = heads.join(differ, F.col("anchor") == F.col("differing"), "left").select("anchor", "rest", "keep_key", F.col("differing").isNotNull().alias("differ"))
-    told = saved(met.join(heads, ["anchor", "rest"]).where("doc_key <> keep_key or differ").select("doc_key", "first", "stop", (F.col("doc_key") != F.col("keep_key")).alias("lost")))
-    lost_runs = told.where("lost").select("doc_key", "first", "stop")
-    left = told.where("not lost").select("doc_key", (F.shiftleft(F.col("first").cast("long"), 32) + F.col("stop")).alias("span"))
+    told = saved(met.join(heads, ["anchor", "rest"]).where("doc_key <> keep_key or differ").select("doc_key", "span", (F.col("doc_key") != F.col("keep_key")).alias("lost")))
+    free_shuffles(told)
+    lost_runs = told.where("lost").select("doc_key", F.shiftright("span", 32).cast("int").alias("first"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("stop"))
+    left = told.where("not lost").select("doc_key", "span")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
