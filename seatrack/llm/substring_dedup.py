@@ -227,6 +227,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
                 yield pd.DataFrame({"id": batch.id.to_numpy()[a:b][doc], "doc_key": batch.doc_key.to_numpy()[a:b][doc], "first": first, "stop": first + MIN_PASSAGE, "one": one, "two": two})
 
     opened = saved(asked_texts(left).mapInPandas(windows, f"id {kind}, doc_key long, first int, stop int, one long, two long"))
+    free_shuffles(opened)
     lost = lost_of(clusters, "cluster").unionByName(lost_runs).unionByName(lost_of(opened, "one", "two"))
     lost = lost.groupBy(F.col("doc_key").alias("lost_key")).agg(F.collect_set(F.struct("first", "stop")).alias("lost"))
     lost = lost.select("lost_key", F.pandas_udf(_merge, "array<struct<first:int,stop:int>>")("lost").alias("spans"))
