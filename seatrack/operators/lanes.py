@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seatrack.functions.geo import CAPS_MPS, EARTH_RADIUS_M, haversine_m
+from seatrack.functions.geo import CAPS_MPS, EARTH_RADIUS_M
 from seatrack.sources.tables import LAYOUT, upsert_table, with_layout
 
-from .graph import connected_components
+from .density import density_clusters
 from .joins import asof_join
 
 RDP_M, MIN_CLUSTER = 200.0, 2
@@ -99,28 +99,25 @@ def simplify_tracks(df: DataFrame, epsilon_m: float = RDP_M, by: str = "mmsi") -
 
 
 def cluster_waypoints(points: DataFrame, max_edge_m: float = 2000.0, min_cluster_size: int = MIN_CLUSTER) -> tuple[DataFrame, DataFrame]:
-    """L4: (points with node_id or null, nodes). Points that reach each other within max_edge_m are one cluster.
+    """L4: (points with node_id or null, nodes).
 
-    Candidates meet in grid cells of the edge length and their neighbours;
-    a cell is first reduced to one point each, as points of one fine cell reach
-    each other anyway, so dense places make no pairs. Clusters under the least
-    size are noise. Nodes are numbered by place.
+    Clusters are those of the density hierarchy at the level max_edge_m: points
+    with min_cluster_size points within that distance, joined where they are
+    within it. The others, and clusters of fewer points, are noise. A node lies
+    at its points' mean; longitudes are averaged about the cluster's first one,
+    so that a node on the antimeridian stays there.
     """
-    fine = max_edge_m / 1.5
-    cell = lambda c, size: F.floor(F.radians(F.col(c)) * EARTH_RADIUS_M / size)
-    p = points.withColumn("_x", F.floor(F.radians("lon") * F.cos(F.radians(F.round("lat"))) * EARTH_RADIUS_M / fine)).withColumn("_y", cell("lat", fine))
-    p = p.withColumn("cell", F.concat_ws(":", "_x", "_y"))
-    cells = p.groupBy("cell", "_x", "_y").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-1, 2) for j in range(-1, 2)]))
-    spread = cells.select("cell", "lat", "lon", "_x", "_y", near.alias("o")).select(F.col("cell").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), (F.col("_x") + F.col("o.i")).alias("_x"), (F.col("_y") + F.col("o.j")).alias("_y"))
-    met = cells.join(spread, ["_x", "_y"]).where("cell < b")
-    edges = met.where(haversine_m(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")) <= max_edge_m).select(F.col("cell").alias("a"), "b")
-    roots = connected_components(edges)
-    tagged = p.join(roots.withColumnRenamed("node", "cell"), "cell", "left").withColumn("root", F.coalesce("root", "cell")).drop("_x", "_y", "cell")
-    sums = tagged.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.countDistinct("mmsi").alias("vessel_count")).where(F.col("n") >= min_cluster_size)
-    nodes = sums.withColumn("node_id", F.concat(F.lit("n"), F.substring(F.sha2(F.concat_ws(":", F.round("lat", 6), F.round("lon", 6)), 256), 1, 12)))
-    out = tagged.join(nodes.select("root", "node_id"), "root", "left").drop("root")
-    return out, nodes.select("node_id", "lat", "lon", "vessel_count")
+    places = density_clusters(points, max_edge_m, min_cluster_size)
+    known = places.withColumn("node_id", F.concat(F.lit("n"), F.substring(F.sha2("root", 256), 1, 12))).drop("root")
+    tagged = points.join(known, ["lat", "lon"], "left")
+    about = tagged.where("node_id is not null").groupBy("node_id").agg(F.min("lon").alias("lon_0"))
+    turned = tagged.join(about, "node_id").withColumn("off", F.pmod(F.col("lon") - F.col("lon_0") + 180, F.lit(360.0)) - 180)
+    sums = turned.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), F.first("lon_0").alias("lon_0"), F.avg("off").alias("off"), F.countDistinct("mmsi").alias("vessel_count"))
+    lon = F.pmod(F.col("lon_0") + F.col("off") + 180, F.lit(360.0)) - 180
+    nodes = sums.where(F.col("n") >= min_cluster_size).select("node_id", "lat", lon.alias("lon"), "vessel_count")
+    small = nodes.select("node_id", F.lit(True).alias("_kept"))
+    out = tagged.join(small, "node_id", "left").withColumn("node_id", F.when(F.col("_kept"), F.col("node_id"))).drop("_kept")
+    return out.select(*points.columns, "node_id"), nodes
 
 
 def lane_edges(points: DataFrame) -> DataFrame:

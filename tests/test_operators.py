@@ -211,3 +211,43 @@ def test_backfill_twice(spark, tmp_path):
     with pytest.raises(ValueError, match="lat_range"):
         lanes.run_backfill(raw.withColumn("lat", F.lit(95.0)), str(tmp_path / "other"))
     assert not (tmp_path / "other").exists()
+
+
+def brute_clusters(places, edge_m, k):
+    """Sets of the indices that are dense and reach each other, by all pairs."""
+    lat, lon = np.radians(np.array(places)).T
+    s = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    near = 2 * 6_371_000.0 * np.arcsin(np.sqrt(np.minimum(1, s))) <= edge_m
+    dense, left, found = set(np.flatnonzero(near.sum(axis=1) >= k).tolist()), [], set()
+    while dense:
+        group, left = set(), [dense.pop()]
+        while left:
+            at = left.pop()
+            group.add(at)
+            more = dense & set(np.flatnonzero(near[at]).tolist())
+            dense -= more
+            left += more
+        if len(group) >= k:
+            found.add(frozenset(group))
+    return found
+
+
+@pytest.mark.parametrize("k", [2, 4])
+def test_waypoint_clusters_by_all_pairs(spark, k):
+    rng = random.Random(k)
+    centres = [(40.5, -74.0), (0.0, 180.0), (-67.2, -179.99), (71.99, 12.0)]
+    places = [(la + rng.uniform(-0.12, 0.12), (lo + rng.uniform(-0.12, 0.12) / math.cos(math.radians(la)) + 180) % 360 - 180) for la, lo in centres for _ in range(170)]
+    places += places[:3] + [(10.0, 10.0)] * k
+    rows = [(i, i % 9, la, lo) for i, (la, lo) in enumerate(places)]
+    df = spark.createDataFrame([*rows, (-1, 1, None, 3.0)], "i long, mmsi long, lat double, lon double")
+    points, nodes = lanes.cluster_waypoints(df, 2000.0, k)
+    got = {}
+    for r in points.collect():
+        got.setdefault(r.node_id, set()).add(r.i)
+    noise = got.pop(None)
+    want = brute_clusters(places, 2000.0, k)
+    assert {frozenset(x) for x in got.values()} == want and -1 in noise and len(want) > 5
+    assert {r.node_id for r in nodes.collect()} == set(got)
+    edge = [r for r in nodes.collect() if abs(abs(r.lon) - 180) < 0.2 and abs(r.lat) < 1]
+    assert edge and all(-180 <= r.lon < 180 for r in edge)
+    assert lanes.cluster_waypoints(df.limit(0))[1].count() == 0
