@@ -45,6 +45,7 @@ p as (select {key}feature, ks, case when lam < 0.1e0 then 1.0e0 when lam < 1 the
 
 _LONG = "select tenant_id, 'quantity' as feature, quantity * 1.0e0 as value, is_reference from windows union all select tenant_id, 'price', price * 1.0e0, is_reference from windows union all select tenant_id, 'discount', discount * 1.0e0, is_reference from windows"
 _LONG_ALL = _LONG.replace("select tenant_id,", "select")
+_LONG_POOLED = _LONG + " union all " + _LONG.replace("select tenant_id,", "select 'pooled',")
 _VERDICT = "psi >= 0.25e0 or (psi >= 0.1e0 and ks_pvalue < 0.05e0) as drifted"
 
 
@@ -126,12 +127,45 @@ def reduced(s, d):
     return cdc.reduce_state(view(s, d, "changes").where("not content_error"))
 
 
+def lane_edges(s, d):
+    node = F.when(F.col("seq") % 5 != 0, F.concat(F.lit("c"), F.floor(F.col("lat") * 2)))
+    visits = view(s, d, "positions").groupBy("mmsi", "t").agg(F.max_by(node, "seq").alias("node_id"))
+    return lanes.lane_edges(visits)
+
+
+LANE_EDGES_SQL = f"""with {ctes("positions")},
+last as (select mmsi, t_s, max(seq) as seq from positions group by 1, 2),
+visits as (
+  select l.mmsi, l.t_s, 'c' || cast(floor(p.lat * 2) as bigint) as node_id
+  from last l join positions p on l.mmsi = p.mmsi and l.seq = p.seq where l.seq % 5 <> 0),
+steps as (select lag(node_id) over (partition by mmsi order by t_s) as from_node, node_id as to_node from visits)
+select from_node, to_node, count(*) as frequency from steps where from_node <> to_node group by 1, 2"""
+
+
+def fingerprint(s, d):
+    """Words of every row's whole numbers and event type; as text, since they exceed 64 bits."""
+    rows = view(s, d, "positions").select("mmsi", "seq", "idx", "event_type", "t_s", F.round(F.col("lat") * 10000).cast("long").alias("lat_e4"))
+    rows = rows.select(*[F.col(c).cast("string" if c == "event_type" else "long").alias(c) for c in rows.columns])
+    out = lanes.fingerprint(rows, "t_s")
+    return out.select("n", *[F.col(f"word_{i}").cast("string").alias(f"word_{i}") for i in range(4)], F.col("first_t").alias("first_s"), F.col("last_t").alias("last_s"))
+
+
+FINGERPRINT_SQL = f"""with {ctes("positions")},
+r as (select *, cast(round(lat * 10000) as bigint) as lat_e4 from positions),
+d as (
+  select t_s, sha256('{{"event_type":"' || event_type || '","idx":' || idx || ',"lat_e4":' || lat_e4 || ',"mmsi":' || mmsi || ',"seq":' || seq || ',"t_s":' || t_s || '}}') as d
+  from r)
+select count(*) as n,
+  {", ".join(f"cast(sum(cast('0x' || substr(d, {1 + 12 * i}, 12) as bigint)) as varchar) as word_{i}" for i in range(4))},
+  min(t_s) as first_s, max(t_s) as last_s
+from d"""
+
 H = "with " + ctes("holdout")
 Q = "with " + ctes("queue")
 
 ENTRIES = {
     "a1_a4_input_drift": (drift, "with " + ctes("windows") + "," + _drift_sql("", _LONG_ALL) + f" select feature, round(psi, 6) as psi, round(ks, 6) as ks, round(ks_pvalue, 6) as ks_pvalue, {_VERDICT} from psi join p using (feature)"),
-    "a5_tenant_drift": (lambda s, d: drift(s, d, True).where("tenant_id <> 'pooled'"), "with " + ctes("windows") + "," + _drift_sql("tenant_id, ", _LONG) + f" select tenant_id, feature, round(psi, 6) as psi, round(ks, 6) as ks, round(ks_pvalue, 6) as ks_pvalue, {_VERDICT} from psi join p using (tenant_id, feature)"),
+    "a5_tenant_drift": (lambda s, d: drift(s, d, True), "with " + ctes("windows") + "," + _drift_sql("tenant_id, ", _LONG_POOLED) + f" select tenant_id, feature, round(psi, 6) as psi, round(ks, 6) as ks, round(ks_pvalue, 6) as ks_pvalue, {_VERDICT} from psi join p using (tenant_id, feature)"),
     "a6_roc_auc": (holdout_auc, H + ", c as (select candidate_id, score, count(*) filter (where label = 1) as pos, count(*) filter (where label <> 1) as neg from holdout group by 1, 2), k as (select *, sum(neg) over (partition by candidate_id order by score) as cn from c) select candidate_id, round(sum(pos * (cn - neg / 2.0e0)) / (sum(pos) * sum(neg)), 8) as auc, cast(sum(pos) as bigint) as n_pos, cast(sum(neg) as bigint) as n_neg from k group by 1"),
     "a8_calibration_ratio": (lambda s, d: rounded(stats.calibration_ratio(view(s, d, "holdout").withColumn("err", F.col("y") - F.col("mu")).withColumn("var", F.col("sigma") * F.col("sigma")), by=["candidate_id"]), 7),
         H + " select candidate_id, round(avg((y - mu) * (y - mu)), 7) as mse, round(avg(sigma * sigma), 7) as mean_var, count(*) as n, round(avg((y - mu) * (y - mu)) / avg(sigma * sigma), 7) as ratio from holdout group by 1"),
@@ -152,7 +186,7 @@ ENTRIES = {
     "a17_pressure_summary": (lambda s, d: rounded(monitor.pressure_summary(view(s, d, "load").select(F.col("trial").alias("vertex"), F.col("offset_s").alias("t"), F.when(F.col("offset_s") < 100, "baseline").when(F.col("offset_s") < 300, "burst").otherwise("recovery").alias("phase"), F.col("latency_s").alias("pressure")))),
         "with " + ctes("load") + ", s as (select trial as vertex, offset_s as t, latency_s as p, case when offset_s < 100 then 'baseline' when offset_s < 300 then 'burst' else 'recovery' end as phase from load), a as (select *, max(p) over w as mx, count(*) over w as n from s window w as (partition by vertex order by t rows between current row and unbounded following)) select vertex, round(max(p) filter (where phase = 'baseline'), 5) as baseline_max, round(max(p) filter (where phase = 'burst'), 5) as burst_max, round(max(p) filter (where phase = 'recovery'), 5) as recovery_max, round(min(t) filter (where phase = 'recovery' and mx <= 0.1e0 and n >= 3), 5) as settled_at from a group by 1"),
     "a18_shard_counts": (lambda s, d: monitor.shard_counts(view(s, d, "positions"), "mmsi", 8), "with " + ctes("positions") + ", c as (select ((cast('0x' || substr(md5(cast(mmsi as varchar)), 1, 8) as bigint)) * 8) >> 32 as shard, count(*) as n from positions group by 1) select r.range as shard, coalesce(n, 0) as n from range(8) r left join c on c.shard = r.range"),
-    "a19_latency_histogram": (lambda s, d: monitor.latency_histogram(view(s, d, "load")).where("le < 10"), "with " + ctes("load") + ", b as (select unnest([0.05e0, 0.1e0, 0.2e0, 0.3e0, 0.5e0, 1.0e0, 2.5e0, 5.0e0]) as le) select le, (select count(*) from load where latency_s <= le) as n from b"),
+    "a19_latency_histogram": (lambda s, d: monitor.latency_histogram(view(s, d, "load")), "with " + ctes("load") + ", b as (select unnest([0.05e0, 0.1e0, 0.2e0, 0.3e0, 0.5e0, 1.0e0, 2.5e0, 5.0e0, 'infinity'::double]) as le) select le, (select count(*) from load where latency_s <= le) as n from b"),
     "a20_cost_ledger": (lambda s, d: rounded(monitor.cost_ledger(view(s, d, "positions").select("mmsi", "t", F.lit(2.0).alias("vcpu"), (F.col("seq") % 10 * 0.1).alias("seconds")), 0.0001).withColumn("day", F.col("day").cast("string")), 7),
         "with " + ctes("positions") + " select mmsi, cast(cast(timestamp '1970-01-01' + to_seconds(t_s) as date) as varchar) as day, count(*) as n_calls, round(sum(2.0e0 * (seq % 10 * 0.1e0) * 0.0001e0), 7) as cost from positions group by 1, 2"),
     "a22_slot_lag": (lambda s, d: monitor.slot_lag_alerts(view(s, d, "queue").select(F.col("seq").alias("name"), (F.col("seq") * 1_000_000).alias("current_lsn"), F.when(F.col("seq") % 3 == 0, F.col("seq") * 900_000).alias("confirmed_lsn"), F.when(F.col("seq") % 3 == 1, F.col("seq") * 950_000).alias("restart_lsn"))).select("name", "lag_bytes", "alert"),
@@ -174,8 +208,8 @@ ENTRIES = {
     "l2_local_projection": (lambda s, d: rounded(lanes.project_local(view(s, d, "positions"), ["mmsi"]).select("mmsi", "seq", "x", "y"), 2),
         "with " + ctes("positions") + ", c as (select *, avg(lat) over (partition by mmsi) as la, avg(lon) over (partition by mmsi) as lo from positions) select mmsi, seq, round(radians(lon - lo) * cos(radians(la)) * 6371000, 2) as x, round(radians(lat - la) * 6371000, 2) as y from c"),
     "l3_simplified_tracks": (lambda s, d: rounded(lanes.simplify_tracks(view(s, d, "positions").select("mmsi", "seq", "t", "lat", "lon")).select("mmsi", "seq", "lat", "lon")), None),
-    "l5_lane_edges": (lambda s, d: lanes.lane_edges(view(s, d, "positions").select("mmsi", "t", F.when(F.col("seq") % 5 != 0, F.concat(F.lit("c"), F.floor(F.col("lat") * 2))).alias("node_id")).dropDuplicates(["mmsi", "t"])), None),
-    "l9_fingerprint": (lambda s, d: lanes.fingerprint(view(s, d, "positions").drop("idx"), "t").select("n", F.unix_seconds("first_t").alias("first_s"), F.unix_seconds("last_t").alias("last_s")), "with " + ctes("positions") + " select count(*) as n, min(t_s) as first_s, max(t_s) as last_s from positions"),
+    "l5_lane_edges": (lane_edges, LANE_EDGES_SQL),
+    "l9_fingerprint": (fingerprint, FINGERPRINT_SQL),
     "l8_training_set": (training_set, "with " + ctes("positions") + ", a as (select mmsi, seq, t_s from positions where event_type = 'purchase'), b as (select mmsi, t_s, arg_max(lat, seq) as lat, max(seq) as fseq from positions where event_type = 'view' group by mmsi, t_s), j as (select a.mmsi, a.seq, b.fseq, b.lat, a.t_s - b.t_s as age from a asof left join b on a.mmsi = b.mmsi and a.t_s >= b.t_s) select mmsi, seq, case when age <= 86400 then fseq end as f_fseq, case when age <= 86400 then round(lat, 6) end as f_lat from j"),
     "s2_parse_reports": (lambda s, d: reports.parse_reports(messages(s, d)).select("event_id", "mmsi", "lat", "lon", "reject_reason"),
         "select event_id, case when event_id % 7 in (0, 2) then null else user_id end as mmsi, 1.5e0 as lat, case when event_id % 13 = 0 then null else 2.0e0 end as lon, case when event_id % 7 in (0, 2) then 'mmsi' when event_id % 11 = 0 then 't' when event_id % 13 = 0 then 'lon' end as reject_reason from events"),

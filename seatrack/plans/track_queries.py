@@ -206,7 +206,7 @@ select mmsi, seq, concat_ws(',', case when s1 > 0 then 'implausible_speed' end,
             view(s, d, "queue").where("tenant_id <> 'T2'").groupBy("tenant_id").agg(F.avg("score").alias("value")).withColumn("metric", F.lit("score")),
             view(s, d, "queue").select("tenant_id").distinct().select("tenant_id", F.lit("score").alias("metric"), F.lit(">=").alias("comparator"), F.lit(0.4).alias("target"))).select("tenant_id", "metric", F.round("value", 6).alias("value"), "met"),
         "with " + ctes("queue") + " select tenant_id, 'score' as metric, case when tenant_id <> 'T2' then round(avg(score), 6) end as value, tenant_id <> 'T2' and avg(score) >= 0.4e0 as met from queue group by tenant_id"),
-    "g1_feasible_edges": (lambda s, d: lanes.feasible_edges(lengths(s, d), 3600.0).select("from_node", "to_node"), f"{NE}, {LEN} select from_node, to_node from lengths where length_m <= {CAP} * 3600 * 1.05e0"),
+    "g1_feasible_edges": (lambda s, d: lanes.feasible_edges(lengths(s, d), 14400.0).select("from_node", "to_node"), f"{NE}, {LEN} select from_node, to_node from lengths where length_m <= {CAP} * 14400 * 1.05e0"),
     "g2_route_reward": (g2, f"{NE}, {LEN}, r as (select x.from_node as a, x.to_node as b, y.to_node as c, x.length_m + y.length_m as m from lengths x join lengths y on x.to_node = y.from_node), g as (select node_id, vessel_count * 1.0e0 / (select sum(vessel_count) from nodes) as gain from nodes) select a || '>' || b || '>' || c as route_id, round(ga.gain + case when b <> a then gb.gain else 0 end + case when c <> a and c <> b then gc.gain else 0 end - m / 100000, 7) as reward from r join g ga on ga.node_id = a join g gb on gb.node_id = b join g gc on gc.node_id = c"),
     "g3_best_routes": (lambda s, d: rounded(lanes.best_routes(view(s, d, "nodes"), lengths(s, d), 2).select("start", F.concat_ws(">", "route").alias("route"), "reward"), 6),
         f"{NE}, {LEN}, g as (select node_id, vessel_count * 1.0e0 / (select sum(vessel_count) from nodes) as gain from nodes), r0 as (select node_id as start, node_id as route, gain as reward, node_id as last from g), r1 as (select start, route || '>' || to_node as route, reward + case when to_node = start then 0 else gain end - length_m / 100000 as reward, to_node as last from r0 join lengths on from_node = last join g on g.node_id = to_node), r2 as (select start, route || '>' || l.to_node as route, reward + case when l.to_node = start or l.to_node = last then 0 else gain end - length_m / 100000 as reward, l.to_node as last from r1 join lengths l on l.from_node = last join g on g.node_id = l.to_node where not (l.from_node = start and l.to_node = last)), u as (select * from r0 union all select * from r1 union all select * from r2) select start, route, round(reward, 6) as reward from u qualify row_number() over (partition by start order by round(reward, 9) desc, route) = 1"),

@@ -27,7 +27,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def upsert_table(df: DataFrame, path: str, keys: list[str], partitions: list[str] | None = None) -> None:
-    """Rows of df replace the stored rows of equal keys. A rerun changes nothing, and no rows write nothing.
+    """Rows of df replace the stored rows of equal keys. A rerun changes nothing, and no rows write nothing. Of rows of df with equal keys the
+    largest by its other columns is taken, so that reruns agree.
 
     Only partitions that df touches are rewritten, by dynamic overwrite; they
     are staged beside the table first, as a table can't be read while it is
@@ -36,7 +37,8 @@ def upsert_table(df: DataFrame, path: str, keys: list[str], partitions: list[str
     spark = df.sparkSession
     if df.isEmpty():
         return
-    one = df.dropDuplicates(keys)
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r")).select(*keys, "r.*").select(*df.columns) if rest else df.distinct()
     if not _exists(spark, path):
         (one.write.partitionBy(*partitions) if partitions else one.write).mode("overwrite").parquet(path)
         return

@@ -12,6 +12,7 @@ from pyspark.sql.utils import AnalysisException
 
 from seatrack.functions.geo import EARTH_RADIUS_M, EPS, VESSEL_CAP_MPS
 from seatrack.operators import cdc, detect, joins
+from seatrack.operators.graph import durable
 
 HISTORY = 5
 OUTPUT = "mmsi long, seq long, t timestamp, lat double, lon double, gap_s double, distance_m double, v_required_mps double, p_physical double, history array<struct<t:timestamp,lat:double,lon:double>>"
@@ -57,7 +58,8 @@ class _VesselFeatures(StatefulProcessor):
 def stream_features(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Features and history of every report of a stream (mmsi, seq, t, lat, lon); the gate is a filter on p_physical after it.
 
-    ttl_ms drops the state of vessels that were quiet for so long.
+    ttl_ms drops the state of vessels that were quiet for so long; such a stream
+    has no last batch, so an availableNow trigger would never end it.
     """
     return stream.select("mmsi", "seq", "t", "lat", "lon").groupBy("mmsi").transformWithStateInPandas(_VesselFeatures(ttl_ms), OUTPUT, "Append", "ProcessingTime" if ttl_ms else "None")
 
@@ -91,17 +93,21 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def stream_scores(features: DataFrame, segments: DataFrame, waypoints: DataFrame, registry: DataFrame | None, queue_path: str, checkpoint: str, gate: float = 0.3):
+def stream_scores(features: DataFrame, segments: DataFrame, waypoints: DataFrame, registry: DataFrame | None, queue_path: str, checkpoint: str, gate: float = 0.3, **trigger):
     """T4: scores of gated reports go to the review queue. Trace ids hash the request, so a redelivery adds nothing.
 
     The batch id names its folder, so a repeated batch replaces its own rows.
+    The default trigger ends with what is there; features that expire (T6) make
+    batches without end and need another one, such as processingTime="10 seconds".
     """
 
     def score(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         from seatrack.operators import features as W
 
-        df, _ = W.reject_corrupt(W.speed_signal(W.assemble_track(batch.where(F.col("p_physical") >= gate))))
+        # read several times below, while the state behind it may be opened once a batch
+        gated = durable(batch.where(F.col("p_physical") >= gate))
+        df, _ = W.reject_corrupt(W.speed_signal(W.assemble_track(gated)))
         df = detect._track_gap(W.course_change(df))
         df = detect.unexpected_turns(detect.nearest_waypoint(detect.off_lane(detect.nearest_lane(df, segments, ["mmsi", "seq"])), waypoints))
         if registry is None:
@@ -118,7 +124,7 @@ def stream_scores(features: DataFrame, segments: DataFrame, waypoints: DataFrame
             rows = rows.dropDuplicates(["trace_id"])
         rows.write.mode("overwrite").parquet(f"{queue_path.rstrip('/')}/batch_id={batch_id}")
 
-    return features.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return features.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def apply_batch(batch: DataFrame, batch_id: int, path: str) -> None:
