@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import saved
+
+#: A key with this share of the common lines is hot; there are at most 1 / share of them, so their hashes can be broadcast.
+HOT_SHARE = 1e-3
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -73,19 +77,28 @@ def dedup_lines(
     nothing is dropped. Extra columns are ignored; an empty table gives none.
 
     Line hashes have 128 bits. Counting is combined before the shuffle, so a
-    line in a third of all documents is one row for each task.
+    line in a third of all documents is one row for each task. In the joins the
+    rows of hot keys are dealt over all partitions, and their few keys are sent
+    to each.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
     lines = d.mapInPandas(_long_lines(min_chars), f"id {kind}, key binary")
     # rows of a key bound its documents from above, which leaves few keys for the exact count
-    often = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key")
-    held = lines.join(often, "key").distinct()
+    often = saved(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs))
+    total = often.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(often.where(F.col("n") >= total * HOT_SHARE).select("key", F.lit(True).alias("hot")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(F.lit(0).cast("long")).alias("part")
+    dealt = lines.join(hot, "key", "left").select("id", "key", part)
+    everywhere = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
+    sent = lambda keys: keys.join(hot, "key", "left").select(*keys.columns, F.explode(everywhere).alias("part"))
+    held = dealt.join(sent(often.select("key")), ["key", "part"]).distinct()
     common = (
         held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs).select("key", "keep")
     )
     lost = (
-        held.join(common, "key").where(~F.col("id").eqNullSafe(F.col("keep"))).groupBy("id").agg(F.collect_set("key").alias("lost"))
+        held.join(sent(common), ["key", "part"]).where(~F.col("id").eqNullSafe(F.col("keep"))).groupBy("id").agg(F.collect_set("key").alias("lost"))
     ).withColumnRenamed("id", "lost_id")
     out = f"id {kind}, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * texts
     return (

@@ -99,6 +99,15 @@ def brute_lines(data):
     return Counter(out)
 
 
+def test_lines_of_hot_keys(spark):
+    line = "A line that every single document holds, long enough"
+    data = [(i, "\n".join([line, f"{line} {i % 7}", f"own {i} " * 8, line.upper() + " " * (i % 3)])) for i in range(300)]
+    made = spark.createDataFrame([*data, (7, data[7][1]), (None, line)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.dedup_lines(made).collect())
+    assert got == brute_lines([*data, (7, data[7][1]), (None, line)])
+    assert sum(r[2] == 0 for r in got) == 1
+
+
 def test_line_dedup(docs, none):
     got = line_dedup.dedup_lines(docs)
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got.collect()) == brute_lines(rows())
