@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from .base import saved
 
 #: A pre-token with at least this share of all occurrences is frequent; there can be no more than 1 / share of them.
 FREQUENT_SHARE = 1e-6
-#: Longer pre-tokens are never broadcast, which bounds the broadcast table's bytes.
+#: Longer pre-tokens are broadcast by their digest, which bounds the broadcast table's bytes.
 FREQUENT_BYTES = 64
 #: In these characters every Unicode version agrees on letters, numbers, lower case and composition.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-ȠȢ-ȳ]*")
@@ -50,6 +51,13 @@ def pretokens(text: str | None, path: str) -> Counter:
     return found
 
 
+def _name(piece: str) -> str:
+    """The pre-token, or a digest where it is long; no pre-token holds a line feed."""
+    if len(piece) <= FREQUENT_BYTES // 4 or len(raw := piece.encode()) <= FREQUENT_BYTES:
+        return piece
+    return "\n" + hashlib.md5(raw, usedforsecurity=False).hexdigest()
+
+
 def _totals(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -73,11 +81,11 @@ def _per_document(path: str, frequent):
                 for row, key, text in zip(part.row, part.id, part.text, strict=True):
                     total, rest = 0, []
                     for piece, freq in pretokens(text, path).items():
-                        if (n := known.get(piece)) is None:
+                        if (n := known.get(_name(piece))) is None:
                             rest.append((row, None, None, piece, freq))
                         else:
                             total += n * freq
-                    # no pre-token holds a line feed, so this key meets none and spreads evenly
+                    # this key meets no pre-token and spreads evenly
                     out.append((row, key, len((text or "").encode()), f"\n{row}", total))
                     out += rest
                 yield pd.DataFrame(out, columns=["row", "id", "n_bytes", "piece", "n"]).astype({"id": object, "n_bytes": "Int64"})
@@ -114,8 +122,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         totals.groupBy("piece").agg(F.sum("n").alias("n")).mapInPandas(_lengths(tokenizer_path), "piece string, n long, n_pieces long")
     )
     total = pieces.agg(F.sum("n")).first()[0] or 0
-    is_frequent = (F.col("n") >= max(2, total * FREQUENT_SHARE)) & (F.octet_length("piece") <= FREQUENT_BYTES)
-    frequent = pieces.where(is_frequent).select("piece", "n_pieces").toPandas()
+    is_frequent = F.col("n") >= max(2, total * FREQUENT_SHARE)
+    name = F.when(F.octet_length("piece") <= FREQUENT_BYTES, F.col("piece")).otherwise(F.concat(F.lit("\n"), F.md5("piece")))
+    frequent = pieces.where(is_frequent).select(name.alias("piece"), "n_pieces").toPandas()
     known = spark.sparkContext.broadcast(dict(zip(frequent.piece, frequent.n_pieces.tolist(), strict=True)))
     tail = pieces.where(~is_frequent).select("piece", "n_pieces")
     kind = d.schema["id"].dataType.simpleString()
