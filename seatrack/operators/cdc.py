@@ -115,13 +115,56 @@ def batch_census(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def upsert_registry(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Table after changes (same columns plus `deleted` and `changed_at`): created_at stays, updated_at moves, deleted keys go; a blank reason or regime changes nothing."""
+def registry_rejects(changes: DataFrame) -> DataFrame:
+    """The changes that may not be applied, with reject_reason: a row to be stored whose reason or regime is blank."""
+    blank = [F.when(F.trim(F.coalesce(c, F.lit(""))) == "", f"{c} is blank") for c in ("reason", "regime") if c in changes.columns]
+    told = changes.withColumn("reject_reason", F.coalesce(*blank, F.lit(None).cast("string")))
+    return told.where(~F.coalesce("deleted", F.lit(False)) & F.col("reject_reason").isNotNull())
+
+
+def sanction_keys(df: DataFrame) -> DataFrame:
+    """Regime stripped and lower-cased, and the flag's id mmsi:regime (null without a regime)."""
+    out = df.withColumn("regime", F.lower(F.trim("regime")))
+    return out.withColumn("id", F.concat(F.col("mmsi").cast("string"), F.lit(":"), F.col("regime")))
+
+
+def _apply_changes(table: DataFrame, changes: DataFrame, keys: list[str], deleted_by: list[str]) -> DataFrame:
     rest = [c for c in table.columns if c not in (*keys, "created_at", "updated_at")]
-    for c in ("reason", "regime"):
-        if c in rest:
-            changes = changes.where(F.col("deleted") | (F.trim(F.coalesce(c, F.lit(""))) != ""))
-    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest, "deleted", "changed_at"), "changed_at").alias("n"))
-    both = table.alias("o").join(last, keys, "full_outer").where(~F.coalesce(F.col("n.deleted"), F.lit(False)))
-    new = F.col("n").isNotNull()
-    return both.select(*keys, *[F.when(new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rest], F.coalesce("o.created_at", "n.changed_at").alias("created_at"), F.coalesce("n.changed_at", "o.updated_at").alias("updated_at"))
+    gone = F.coalesce("deleted", F.lit(False))
+    when = F.struct(*[F.col(c) for c in ("changed_at", "seq") if c in changes.columns])
+    blank = [F.trim(F.coalesce(c, F.lit(""))) == "" for c in ("reason", "regime") if c in table.columns]
+    valid = changes.where(~gone)
+    for b in blank:
+        valid = valid.where(~b)
+    # a delete reaches what was stored and all changes before it
+    deletes = changes.where(gone).groupBy(*deleted_by).agg(F.max(when).alias("_d"))
+    after = valid.join(deletes, deleted_by, "left").where(F.col("_d").isNull() | (when > F.col("_d")))
+    new = after.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(when, F.xxhash64(*rest))).alias("n"), F.min("changed_at").alias("_first"), F.max("changed_at").alias("_last"))
+    stored = table.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("updated_at", F.xxhash64(*rest))).alias("o"), F.min("created_at").alias("_made"), F.max("updated_at").alias("_moved"))
+    both = stored.join(deletes, deleted_by, "left_anti").join(new, keys, "full_outer")
+    fresh = F.col("n").isNotNull()
+    return both.select(
+        *keys, *[F.when(fresh, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rest],
+        F.coalesce("_made", "_first").alias("created_at"), F.coalesce("_last", "_moved").alias("updated_at"),
+    )
+
+
+def upsert_registry(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key of the table after changes (its columns but created_at and updated_at, `deleted`, `changed_at`, optional `seq`).
+
+    Changes count in the order of changed_at, then seq, then a hash of the row.
+    Of repeated stored keys the row of the largest updated_at stays, with the
+    earliest created_at. created_at stays unless the key was deleted before;
+    updated_at moves; what registry_rejects tells is not applied.
+    """
+    return _apply_changes(table, changes, keys, keys)
+
+
+def upsert_sanctions(table: DataFrame, changes: DataFrame) -> DataFrame:
+    """Sanction flags (mmsi, regime, id and more) after changes, as upsert_registry; a delete names a vessel and takes all its regimes."""
+    return _apply_changes(sanction_keys(table), sanction_keys(changes), ["mmsi", "regime", "id"], ["mmsi"])
+
+
+def list_registry(table: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows in the order of their keys."""
+    return table.orderBy(*keys)

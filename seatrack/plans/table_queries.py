@@ -98,23 +98,6 @@ def m2(s, d):
     return preference.triples_from_rewards(c).select("trace_id", "chosen", "rejected", F.round("gap", 6).alias("gap"))
 
 
-def m1(s, d):
-    q = view(s, d, "queue")
-    ctx = q.where("seq % 2 = 0").select("trace_id", F.concat(F.lit("ctx"), "seq").alias("context"))
-    z = F.struct(*[F.lit(0.0).alias(p) for p in preference.PARTS])
-    r = q.where("seq % 3 = 0").select("trace_id", z.alias("chosen_reward"), F.struct(F.lit(1.0).alias("total"), F.lit(-1.0).alias("structural"), F.lit(0.0).alias("shaping"), F.lit(0.0).alias("data"), F.lit(0.0).alias("pref")).alias("rejected_reward"))
-    return preference.triples_from_labels(q, ctx, r).select("trace_id", "context", "structural_violation")
-
-
-def m4(s, d):
-    c = view(s, d, "queue")
-    n = F.col("seq")
-    gates, shadows = c.select(F.col("trace_id").alias("candidate_id"), (n % 5 != 0).alias("passed")), c.select(F.col("trace_id").alias("candidate_id"), (n % 7 != 0).alias("passed"))
-    probes = c.where(n % 2 == 0).select(F.col("trace_id").alias("candidate_id"), (n % 3 == 0).alias("blocked"))
-    burns = c.select(F.col("trace_id").alias("candidate_id"), F.explode(F.array(*map(F.lit, preference.WEIGHTS))).alias("weight"), n).select("candidate_id", "weight", ((n % 11 == 0) & (F.col("weight") >= 25)).alias("burning"))
-    return preference.promotion_decisions(gates, probes, shadows, burns).select("candidate_id", F.array_join("steps", ",").alias("steps"), "status")
-
-
 def holdout_auc(s, d):
     return rounded(stats.roc_auc(view(s, d, "holdout"), "label", "score", ["candidate_id"]), 8)
 
@@ -200,8 +183,6 @@ ENTRIES = {
         "with " + ctes("changes") + ", k as (select seq, lsn % 2 = 0 as a, lsn % 3 = 0 as b, lsn % 3 <> 0 and lsn % 5 = 0 as c from changes) select seq, case when c then null when a or b then 'aaaaaaaa-0000-0000-0000-000000000001' else '00000000-0000-0000-0000-000000000000' end as tenant_id, case when a and c then 'tenants differ' when c then 'no uuid' end as tenant_error from k"),
     "c7_online_items": (lambda s, d: cdc.online_items(view(s, d, "items").select(F.when(F.col("feature_name") == "vessel_meta", "vessels").otherwise("watchlist").alias("event_table"), F.to_json(F.struct("mmsi")).alias("pk"), F.lit(1).cast("long").alias("lsn"), "deleted", F.to_json(F.struct("reason", F.lit(5).alias("lsn"))).alias("content"))).select("entity_id", "feature_name", "deleted", F.col("attributes")["reason"].alias("reason"), F.size("attributes").alias("n_attributes")),
         "with " + ctes("items") + " select '00000000-0000-0000-0000-000000000000:' || mmsi as entity_id, case when feature_name = 'vessel_meta' then 'vessel_meta' else 'watchlist' end as feature_name, deleted, reason, cast(1 as int) as n_attributes from items"),
-    "c10_registry_upsert": (lambda s, d: cdc.upsert_registry(view(s, d, "queue").where("label is not null").select("trace_id", F.col("tenant_id").alias("reason"), F.col("created_at"), F.col("created_at").alias("updated_at")), view(s, d, "queue").select("trace_id", F.when(F.col("seq") % 9 == 0, " ").otherwise("new").alias("reason"), (F.col("seq") % 4 == 0).alias("deleted"), (F.col("created_at") + 7).alias("changed_at")), ["trace_id"]),
-        Q + ", o as (select trace_id, tenant_id as reason, created_at from queue where label is not null), n as (select trace_id, seq % 4 = 0 as deleted, created_at + 7 as at, 'new' as reason from queue where seq % 4 = 0 or seq % 9 <> 0) select coalesce(o.trace_id, n.trace_id) as trace_id, coalesce(n.reason, o.reason) as reason, coalesce(o.created_at, n.at) as created_at, coalesce(n.at, o.created_at) as updated_at from o full join n on o.trace_id = n.trace_id where not coalesce(n.deleted, false)"),
     "q1_quality_report": (lambda s, d: lanes.quality_report(raw_extract(s, d), 10).where("check not like 'column%'"),
         "with " + ctes("positions") + ", p as (select *, lag(t_s) over (partition by mmsi order by seq) as p_t from positions) select 'lat_range' as check, false as passed, count(*) filter (where seq % 301 = 0) as unexpected from p union all select 'time_monotone', count(*) filter (where t_s < p_t) = 0, count(*) filter (where t_s < p_t) from p union all select c, true, 0 from (select unnest(['row_count', 'lon_range', 'mmsi_range', 'mmsi_not_null']) as c)"),
     "l1_canonical": (l1, "with " + ctes("positions") + " select mmsi, t_s // 1800 * 1800 as t_s, min(seq) as seq, round(arg_min(lat, seq), 5) as lat from positions group by 1, 2"),
@@ -217,7 +198,5 @@ ENTRIES = {
         "select reason, count(*) as n from (select case when event_id % 7 in (0, 2) then 'mmsi' when event_id % 11 = 0 then 't' when event_id % 13 = 0 then 'lon' end as reason from events) where reason is not null group by 1"),
     "s10_layout": (lambda s, d: tables.with_layout(view(s, d, "positions"), "positions").groupBy(F.col("t_day").cast("string").alias("t_day")).agg(F.count(F.lit(1)).alias("n")),
         "with " + ctes("positions") + " select cast(cast(timestamp '1970-01-01' + to_seconds(t_s) as date) as varchar) as t_day, count(*) as n from positions group by 1"),
-    "m1_label_triples": (m1, Q + " select trace_id, case when seq % 2 = 0 then 'ctx' || seq end as context, seq % 3 = 0 as structural_violation from queue where label = 'incorrect' and score >= 0.6e0"),
     "m2_reward_triples": (m2, "with " + ctes("candidates") + ", b as (select *, first_value(verdict) over w as chosen, first_value(total) over w as best, first_value(pos) over w as bp from candidates window w as (partition by trace_id order by total desc, pos)) select trace_id, chosen, verdict as rejected, round(best - total, 6) as gap from b where pos <> bp and best - total >= 0.5e0"),
-    "m4_promotion": (m4, Q + ", c as (select *, seq % 5 <> 0 as gate, case when seq % 2 = 0 then seq % 3 = 0 end as blocked, seq % 7 <> 0 as shadow, seq % 11 = 0 as burns from queue) select trace_id as candidate_id, concat_ws(',', 'gate:' || case when gate then 'pass' else 'fail' end, case when gate and blocked is not null then 'probe:' || case when blocked then 'fail' else 'pass' end end, case when gate and not coalesce(blocked, false) then 'shadow:' || case when shadow then 'pass' else 'fail' end end, case when gate and not coalesce(blocked, false) and shadow then case when burns then 'weight:5:hold,weight:25:revert' else 'weight:5:hold,weight:25:hold,weight:50:hold,weight:100:hold' end end) as steps, case when not gate then 'rejected_gate' when coalesce(blocked, false) then 'rejected_probe' when not shadow then 'rejected_shadow' when burns then 'reverted' else 'promoted' end as status from c"),
 }

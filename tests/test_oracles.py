@@ -9,7 +9,7 @@ import pytest
 
 from seatrack.plans import registry
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 NAMES = "region nation customer supplier part orders lineitem events documents labels"
 
 
