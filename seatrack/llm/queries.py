@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_trie, decontaminate, exact_dedup, jaccard_join, language, line_dedup, lm_score, mixing, preferences, substring_dedup, token_counts
+from . import conversation_trie, decontaminate, exact_dedup, jaccard_join, language, line_dedup, lm_score, mixing, parse_fingerprint, preferences, substring_dedup, token_counts
 from .base import table
 
 MAX_TOKENS = 2048
@@ -75,6 +75,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -98,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": op8,
         "op9_decontamination": op9,
         "op10_jaccard_join": op10,
+        "op11_document_fingerprints": op11,
         "op12_conversation_trie": op12,
         "pipeline": pipeline,
     }
