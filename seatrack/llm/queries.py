@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_trie, decontaminate, exact_dedup, jaccard_join, language, line_dedup, lm_score, mixing, parse_fingerprint, preferences, substring_dedup, token_counts
+from . import conversation_trie, decontaminate, exact_dedup, jaccard_join, language, line_dedup, lm_score, mixing, parse_fingerprint, preferences, spelling, substring_dedup, token_counts
 from .base import table
 
 MAX_TOKENS = 2048
@@ -83,6 +83,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), drop_one_in=199)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if top not in sys.path:
@@ -104,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard_join": op10,
         "op11_document_fingerprints": op11,
         "op12_conversation_trie": op12,
+        "op13_spelling_variants": op13,
         "pipeline": pipeline,
     }
 
@@ -163,15 +168,17 @@ from doc d left join place using (doc_id) left join items using (doc_id)
 """
 
 
-# the bits of CRC-32, eight for each character of the decimal id
-_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda ch: ascii(ch)::bigint)),
-    lambda acc, ch: list_reduce(list_prepend(xor(acc, ch), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295::bigint)"""
+# the bits of CRC-32, eight for each byte of a list
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, {}),
+    lambda acc, x: list_reduce(list_prepend(xor(acc, x), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295::bigint)"""
+_DIGITS = "list_transform(string_split(conv_id::varchar, ''), lambda ch: ascii(ch)::bigint)"
+_BYTES = "list_transform(range(1, length(code) + 1, 2), lambda i: ('0x' || substr(code, i, 2))::bigint)"
 
 OP12_SQL = f"""
 with t as (
   select conv_id, row_number() over (partition by conv_id order by turn nulls first) as p, coalesce(role, '') as r, coalesce(text, '') as x
   from conversations where conv_id is not null),
-c as (select conv_id, conv_id - conv_id % 5 as b, {_CRC} % 9 as h from (select distinct conv_id from t)),
+c as (select conv_id, conv_id - conv_id % 5 as b, {_CRC.format(_DIGITS)} % 9 as h from (select distinct conv_id from t)),
 m as (
   select c.conv_id, 0 as own, p, r, x from c join t on t.conv_id = c.b and t.p <= c.h
   union all select c.conv_id, 1, p, r, x from c join t on t.conv_id = c.conv_id and t.p > c.h),
@@ -192,9 +199,30 @@ from node left join node up on node.d > 0 and up.path = node.path[1:node.d - 1]
 """
 
 
+OP13_SQL = f"""
+with recursive run as (
+  select coalesce(doc_id::varchar, '') as doc, unnest(regexp_extract_all({_AZ.format("text")}, '[a-zÀ-ÿ]{{6,}}')) as run from documents),
+one as (select doc, run, count(*) as k, hex(encode(doc || ':' || run)) as code from run group by 1, 2),
+told as (select *, {_CRC.format(_BYTES)} as h from one),
+word as (
+  select case when h % 199 = 0 then substr(run, 1, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2) else run end as word, cast(sum(k) as bigint) as n
+  from told group by 1 having length(word) >= 6 and sum(k) >= 5),
+cut as (select word, length(word) as len, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, unnest(range(1, length(word) + 1)) as i from word)),
+pair as (
+  select a.word as a, b.word as b from cut a join cut b on a.len = b.len and a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select cut.word, word.word from cut join word on word.word = cut.rest
+  union select word.word, cut.word from cut join word on word.word = cut.rest),
+near as (select a as word, count(*) as n_near, arg_min(b, (-w.n, b)) as best, max(w.n) as best_n from pair join word w on w.word = b group by 1),
+form as (select word.word, n, coalesce(n_near, 0) as n_near, case when best_n >= 5 * n then best end as form, case when best_n >= 5 * n then best_n end as form_n from word left join near using (word)),
+path as (select word, word as goal, 0 as step from form union all select path.word, f.form, step + 1 from path join form f on f.word = path.goal where f.form is not null),
+root as (select word, arg_max(goal, step) as root from path group by 1)
+select word, form, root, n, n_near, form_n from form join root using (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Only what SQL can express; the tests hold the others against brute force."""
     return {
         "op2_preference_pairs": OP2_SQL, "op3_line_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op9_decontamination": OP9_SQL,
-        "op12_conversation_trie": OP12_SQL,
+        "op12_conversation_trie": OP12_SQL, "op13_spelling_variants": OP13_SQL,
     }
