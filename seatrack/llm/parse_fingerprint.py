@@ -176,7 +176,8 @@ def _with_followers(docs: DataFrame) -> DataFrame:
     tie = F.xxhash64(F.coalesce("text", F.lit("")))
     slim = saved(docs.select("id", tie.alias("tie")))
     key = F.struct("id", "tie")
-    firsts = slim.repartitionByRange("id", "tie").groupBy(F.spark_partition_id()).agg(F.min(key).alias("k")).collect()  # a row for each partition
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by the texts, not by the few bytes of their ids
+    firsts = slim.repartitionByRange(n_parts, "id", "tie").groupBy(F.spark_partition_id()).agg(F.min(key).alias("k")).collect()  # a row for each partition
     kind = docs.schema["id"].dataType
     cuts = sorted(((r.k["id"], r.k["tie"]) for r in firsts), key=lambda k: (k[0] is not None, k[0] if k[0] is not None else 0, k[1]))
     if not cuts:
