@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df computed once, written by checkpoint() to the shared folder: spark.checkpoint.dir, or a subfolder of the warehouse where it is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session takes one of its own; on a cluster that is an error."""
     sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found and sc.master.split("[")[0] == "local":
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df computed once, written by checkpoint() to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df computed once, as a table in the shared folder, with a plan that holds nothing of what made it."""
+    path = f"{shared_folder(df.sparkSession)}/seatrack-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root): the least node that each node of edges(a, b) is connected to.
 

@@ -45,6 +45,28 @@ def prefix_sum(df: DataFrame, order: str, values: list[str], by: list[str] | Non
     return joined.select(*df.columns, *[(F.col(f"l_{v}") + F.col(f"b_{v}")).alias(f"cum_{v}") for v in values])
 
 
+def order_statistics(counts: DataFrame, value: str, shares: list[float], by: list[str], n: str = "n", cum: str | None = None) -> DataFrame:
+    """(by..., n_all, q): quantiles of each group at the shares, with linear interpolation between the two nearest rows, as F.percentile gives them.
+
+    counts: a row for each distinct value with its number `n`; `cum` names its
+    prefix sum, if it is there already. Each value tells for which ranks it
+    stands, so no task holds a group's values.
+    """
+    if cum is None:
+        counts, cum = prefix_sum(counts, value, [n], by), f"cum_{n}"
+    keys = by or ["_all"]
+    rows = (counts if by else counts.withColumn("_all", F.lit(0))).where(F.col(n) > 0)
+    totals = rows.groupBy(*keys).agg(F.sum(n).alias("n_all"))
+    named = totals.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    ranked = rows.join(named, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    at = lambda p: p * (F.col("n_all") - 1)
+    holds = lambda rank: F.max(F.when((F.col(cum) - F.col(n) <= rank) & (rank < F.col(cum)), F.col(value)))
+    ends = [e for i, p in enumerate(shares) for e in (holds(F.floor(at(p))).alias(f"_l{i}"), holds(F.ceil(at(p))).alias(f"_h{i}"))]
+    out = ranked.groupBy(*keys, "n_all").agg(*ends)
+    part = lambda i, p: F.when(F.col(f"_l{i}") == F.col(f"_h{i}"), F.col(f"_l{i}")).otherwise((F.ceil(at(p)) - at(p)) * F.col(f"_l{i}") + (at(p) - F.floor(at(p))) * F.col(f"_h{i}"))
+    return out.select(*by, "n_all", F.array(*[part(i, p) for i, p in enumerate(shares)]).alias("q"))
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, max_age_s: float | None = None, order: str | None = None) -> DataFrame:
     """The latest right row at or before each left row, per `by`; nulls without one or beyond max_age_s.
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from seatrack.functions.geo import CAPS_MPS, EARTH_RADIUS_M
 from seatrack.sources.tables import LAYOUT, upsert_table, with_layout
 
-from .density import density_clusters
+from .density import density_clusters, hierarchy_clusters
+from .graph import durable
 from .joins import asof_join
 
 RDP_M, MIN_CLUSTER = 200.0, 2
@@ -98,16 +99,17 @@ def simplify_tracks(df: DataFrame, epsilon_m: float = RDP_M, by: str = "mmsi") -
     return flat.groupBy(by).applyInPandas(run, df.schema)
 
 
-def cluster_waypoints(points: DataFrame, max_edge_m: float = 2000.0, min_cluster_size: int = MIN_CLUSTER) -> tuple[DataFrame, DataFrame]:
+def cluster_waypoints(points: DataFrame, level_m: float | None = None, min_cluster_size: int = MIN_CLUSTER, max_edge_m: float | None = None) -> tuple[DataFrame, DataFrame]:
     """L4: (points with node_id or null, nodes).
 
-    Clusters are those of the density hierarchy at the level max_edge_m: points
-    with min_cluster_size points within that distance, joined where they are
-    within it. The others, and clusters of fewer points, are noise. A node lies
+    Clusters are those that the density hierarchy keeps (hierarchy_clusters,
+    cut at max_edge_m if given) or, with level_m, those of that one level:
+    points with min_cluster_size points within that distance, joined where they
+    are within it. The others, and clusters of fewer points, are noise. A node lies
     at its points' mean; longitudes are averaged about the cluster's first one,
     so that a node on the antimeridian stays there.
     """
-    places = density_clusters(points, max_edge_m, min_cluster_size)
+    places = density_clusters(points, level_m, min_cluster_size) if level_m else hierarchy_clusters(points, min_cluster_size, max_edge_m)
     known = places.withColumn("node_id", F.concat(F.lit("n"), F.substring(F.sha2("root", 256), 1, 12))).drop("root")
     tagged = points.join(known, ["lat", "lon"], "left")
     about = tagged.where("node_id is not null").groupBy("node_id").agg(F.min("lon").alias("lon_0"))
@@ -127,9 +129,9 @@ def lane_edges(points: DataFrame) -> DataFrame:
     return steps.where("from_node <> to_node").groupBy("from_node", "to_node").agg(F.count(F.lit(1)).alias("frequency"))
 
 
-def build_lanes(df: DataFrame, epsilon_m: float = RDP_M, max_edge_m: float = 2000.0, min_cluster_size: int = MIN_CLUSTER) -> tuple[DataFrame, DataFrame]:
+def build_lanes(df: DataFrame, epsilon_m: float = RDP_M, max_edge_m: float | None = None, min_cluster_size: int = MIN_CLUSTER) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) from canonical positions."""
-    points, nodes = cluster_waypoints(simplify_tracks(df, epsilon_m), max_edge_m, min_cluster_size)
+    points, nodes = cluster_waypoints(simplify_tracks(df, epsilon_m), None, min_cluster_size, max_edge_m)
     return nodes, lane_edges(points)
 
 
@@ -179,24 +181,54 @@ def route_reward(routes: DataFrame, nodes: DataFrame, lengths: DataFrame) -> Dat
     return out.select("route_id", (F.coalesce(F.col("covered") / F.col("all_vessels"), F.lit(0.0)) - F.coalesce("metres", F.lit(0.0)) / 100_000.0).alias("reward"))
 
 
-def best_routes(nodes: DataFrame, lengths: DataFrame, horizon: int = 3, beam: int | None = None) -> DataFrame:
+def _gains(nodes: DataFrame) -> DataFrame:
+    total = nodes.agg(F.sum("vessel_count").alias("t")).first()[0]
+    return nodes.select("node_id", (F.col("vessel_count") / F.lit(total)).alias("gain"))
+
+
+def _extended(step: DataFrame) -> DataFrame:
+    """Routes (start, route, used, reward) joined to their next hop (_from, to_node, length_m, gain), with that hop taken unless its edge is used."""
+    step = step.withColumn("_edge", F.concat_ws(">", "_from", "to_node")).where(~F.array_contains("used", F.col("_edge")))
+    gain = F.when(F.array_contains("route", F.col("to_node")), 0.0).otherwise(F.col("gain"))
+    taken = {"route": F.concat("route", F.array("to_node")), "used": F.concat("used", F.array("_edge")), "reward": F.col("reward") + gain - F.col("length_m") / 100_000.0}
+    return step.withColumns(taken).drop("_from", "to_node", "_edge", "length_m", "gain", "ahead")
+
+
+def best_routes(nodes: DataFrame, lengths: DataFrame, horizon: int = 3, beam: int | None = None, guess: int = 4) -> DataFrame:
     """From every node, the route of at most `horizon` hops with the largest reward that uses no edge twice; ties go to the first route by its nodes.
 
     With `beam`, each start keeps its best `beam` partial routes after every hop.
+    Without, the result is exact by branch and bound: a search of beam `guess`
+    tells a reward that each start can reach, and a partial route goes on only
+    if that may still be reached. What a route can add in the hops left is
+    bounded by the best walk from its end, which may collect a gain again.
     """
-    total = nodes.agg(F.sum("vessel_count").alias("all_vessels"))
-    n = nodes.crossJoin(F.broadcast(total)).select("node_id", (F.col("vessel_count") / F.col("all_vessels")).alias("gain"))
-    routes = n.select(F.col("node_id").alias("start"), F.array("node_id").alias("route"), F.array().cast("array<string>").alias("used"), F.col("gain").alias("reward"))
-    hop = lengths.join(n, lengths.to_node == n.node_id).select(F.col("from_node").alias("_from"), "to_node", "length_m", "gain")
-    everything = routes
-    for _ in range(horizon):
-        step = routes.join(hop, F.element_at("route", -1) == F.col("_from")).withColumn("_edge", F.concat_ws(">", "_from", "to_node")).where(~F.array_contains("used", F.col("_edge")))
-        gain = F.when(F.array_contains("route", F.col("to_node")), 0.0).otherwise(F.col("gain"))
-        routes = step.select("start", F.concat("route", F.array("to_node")).alias("route"), F.concat("used", F.array("_edge")).alias("used"), (F.col("reward") + gain - F.col("length_m") / 100_000.0).alias("reward"))
-        if beam:
+    if not nodes.agg(F.sum("vessel_count")).first()[0]:
+        return nodes.select(F.col("node_id").alias("start"), F.array("node_id").alias("route"), F.lit(0.0).alias("reward")).limit(0)
+    n = _gains(nodes)
+    first = n.select(F.col("node_id").alias("start"), F.array("node_id").alias("route"), F.array().cast("array<string>").alias("used"), F.col("gain").alias("reward"))
+    hops = durable(lengths.join(n, lengths.to_node == n.node_id).select(F.col("from_node").alias("_from"), "to_node", "length_m", "gain"))
+    w = Window.partitionBy("start").orderBy(F.desc(F.round("reward", 9)), F.concat_ws(">", "route"))
+    chosen = lambda df: df.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("start", "route", "reward")
+    if beam:
+        routes = everything = first
+        for _ in range(horizon):
+            routes = _extended(routes.join(hops, F.element_at("route", -1) == F.col("_from")))
             best = Window.partitionBy("start").orderBy(F.desc("reward"), F.concat_ws(">", "route"))
             routes = routes.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= beam).drop("_n")
-        everything = everything.unionByName(routes)
-    w = Window.partitionBy("start").orderBy(F.desc(F.round("reward", 9)), F.concat_ws(">", "route"))
-    return everything.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("start", "route", "reward")
-
+            everything = everything.unionByName(routes)
+        return chosen(everything)
+    reachable = durable(best_routes(nodes, lengths, horizon, guess).select("start", F.col("reward").alias("reach")))
+    # ahead: the most that a hop and the walk after it can add
+    ahead, rest = [], n.select("node_id", F.lit(0.0).alias("more"))
+    for _ in range(horizon):
+        step = hops.join(rest, hops.to_node == rest.node_id, "left").withColumn("ahead", F.col("gain") - F.col("length_m") / 100_000.0 + F.coalesce("more", F.lit(0.0))).drop("node_id", "more")
+        ahead.append(durable(step))
+        rest = ahead[-1].groupBy(F.col("_from").alias("node_id")).agg(F.greatest(F.lit(0.0), F.max("ahead")).alias("more"))
+    routes = first.join(reachable, "start")
+    everything = first
+    for left in reversed(range(horizon)):
+        may = routes.join(ahead[left], F.element_at("route", -1) == F.col("_from")).where(F.col("reward") + F.col("ahead") >= F.col("reach") - 1e-8)
+        routes = durable(_extended(may))
+        everything = everything.unionByName(routes.drop("reach"))
+    return chosen(everything)

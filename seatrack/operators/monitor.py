@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import order_statistics
+
 # Tiers: name, burn threshold, long and short window in seconds, status rank (2 page, 1 warning).
 TIERS = (("fast", 14.4, 3600, 300, 2), ("slow", 6.0, 21600, 1800, 2), ("warn", 3.0, 86400, 7200, 1))
 SLOT_LAG_BYTES = 200 * 1024 * 1024
@@ -40,11 +42,13 @@ def tenant_burn(buckets: DataFrame, tiers: DataFrame, bucket_seconds: float) ->
 
 def load_summary(records: DataFrame, by: str = "trial") -> DataFrame:
     """Counts, ratios, rates and percentiles of load records (by, offset_s, outcome, http_status, good, latency_s)."""
-    q = F.percentile("latency_s", F.array(*[F.lit(p) for p in (0.5, 0.9, 0.95, 0.99)]))
+    counts = records.where("latency_s is not null").groupBy(by, "latency_s").agg(F.count(F.lit(1)).alias("n"))
+    q = order_statistics(counts, "latency_s", [0.5, 0.9, 0.95, 0.99], [by]).select(F.col(by).alias("_by"), "q")
     out = records.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome") == "ok").alias("n_ok"), F.count_if("good").alias("n_good"), F.count_if(F.col("http_status") >= 500).alias("n_5xx"),
-        q.alias("q"), F.max("latency_s").alias("latency_max"), F.avg("latency_s").alias("latency_mean"), F.max("offset_s").alias("span_s"),
+        F.max("latency_s").alias("latency_max"), F.avg("latency_s").alias("latency_mean"), F.max("offset_s").alias("span_s"),
     )
+    out = out.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
     out = out.withColumn("good_ratio", F.col("n_good") / F.col("n")).withColumn("rate_per_s", F.col("n") / F.greatest(F.col("span_s"), F.lit(1.0)))
     for i, name in enumerate(("p50", "p90", "p95", "p99")):
         out = out.withColumn(name, F.col("q")[i])

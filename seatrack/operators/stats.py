@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seatrack.functions.geo import kolmogorov_sf
+from seatrack.functions.geo import erf, kolmogorov_sf
 
-from .joins import prefix_sum
+from .graph import durable
+from .joins import order_statistics, prefix_sum
 
 PSI_WARN, PSI_ALERT, KS_ALPHA, BINS = 0.1, 0.25, 0.05, 10
 MIN_AUC, MAX_CRPS, RATIO_BAND = 0.85, 1.0, (0.8, 1.2)
@@ -25,15 +24,23 @@ def long_form(df: DataFrame, features: list[str], by: list[str] | None = None) -
     return out.where("value is not null and not isnan(value)")
 
 
-def psi(reference: DataFrame, current: DataFrame, features: list[str], n_bins: int = BINS, by: list[str] | None = None, eps: float = 1e-6) -> DataFrame:
+def value_counts(reference: DataFrame, current: DataFrame, features: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by..., feature, value, r, c, cum_r, cum_c): how often each value occurs on either side and their prefix sums, computed once and written; psi and ks_statistic share it."""
+    keys = [*(by or []), "feature"]
+    both = long_form(reference, features, by).withColumn("side", F.lit(0)).unionByName(long_form(current, features, by).withColumn("side", F.lit(1)))
+    counts = both.groupBy(*keys, "value").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
+    return durable(prefix_sum(durable(counts), "value", ["r", "c"], keys))
+
+
+def psi(reference: DataFrame, current: DataFrame, features: list[str], n_bins: int = BINS, by: list[str] | None = None, eps: float = 1e-6, counts: DataFrame | None = None) -> DataFrame:
     """A1: (by..., feature, psi). Edges are the unique reference quantiles with open ends; bins are closed on the left."""
     keys = [*(by or []), "feature"]
-    ref, cur = long_form(reference, features, by), long_form(current, features, by)
-    edges = ref.groupBy(*keys).agg(F.array_distinct(F.percentile("value", F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)]))).alias("edges"))
+    counts = value_counts(reference, current, features, by) if counts is None else counts
+    quantiles = order_statistics(counts, "value", [i / n_bins for i in range(n_bins + 1)], keys, "r", "cum_r")
+    edges = quantiles.select(*keys, F.array_distinct("q").alias("edges"))
     # n edges make n - 1 bins; what lies left of the second edge is in the first bin
     bin_of = F.size(F.filter(F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0))), lambda e: e <= F.col("value")))
-    tagged = ref.withColumn("side", F.lit(0)).unionByName(cur.withColumn("side", F.lit(1))).join(edges, keys)
-    counted = tagged.groupBy(*keys, bin_of.alias("bin")).agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"), F.max(F.size("edges")).alias("n_edges"))
+    counted = counts.join(edges, keys).groupBy(*keys, bin_of.alias("bin")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.max(F.size("edges")).alias("n_edges"))
     sums = counted.groupBy(*keys).agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"), F.collect_list(F.struct("bin", "r", "c")).alias("bins"), F.max("n_edges").alias("n_edges"))
     frac = lambda x, n: F.greatest(x / n, F.lit(eps))
     term = lambda b: (frac(b["c"], F.col("nc")) - frac(b["r"], F.col("nr"))) * F.ln(frac(b["c"], F.col("nc")) / frac(b["r"], F.col("nr")))
@@ -42,15 +49,12 @@ def psi(reference: DataFrame, current: DataFrame, features: list[str], n_bins: i
     return sums.select(*keys, F.when(empty, 0.0).otherwise(value).alias("psi"))
 
 
-def ks_statistic(reference: DataFrame, current: DataFrame, features: list[str], by: list[str] | None = None) -> DataFrame:
+def ks_statistic(reference: DataFrame, current: DataFrame, features: list[str], by: list[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """A2: (by..., feature, ks, n, m) by counts for each distinct value and a distributed prefix sum."""
     keys = [*(by or []), "feature"]
-    ref, cur = long_form(reference, features, by), long_form(current, features, by)
-    counts = ref.withColumn("side", F.lit(0)).unionByName(cur.withColumn("side", F.lit(1))).groupBy(*keys, "value").agg(
-        F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c")
-    )
+    counts = value_counts(reference, current, features, by) if counts is None else counts
     totals = counts.groupBy(*keys).agg(F.sum("r").alias("n"), F.sum("c").alias("m"))
-    cum = prefix_sum(counts, "value", ["r", "c"], keys).join(totals, keys)
+    cum = counts.join(totals, keys)
     gap = F.when((F.col("n") > 0) & (F.col("m") > 0), F.abs(F.col("cum_r") / F.col("n") - F.col("cum_c") / F.col("m"))).otherwise(0.0)
     return cum.groupBy(*keys).agg(F.max(gap).alias("ks"), F.max("n").alias("n"), F.max("m").alias("m"))
 
@@ -67,7 +71,8 @@ def input_drift(reference: DataFrame, current: DataFrame, by: list[str] | None =
     own = dict(current.dtypes)
     features = [c for c, t in reference.dtypes if (t in numeric or t.startswith("decimal")) and c in own and c not in (by or [])]
     keys = [*(by or []), "feature"]
-    out = psi(reference, current, features, n_bins, by).join(ks_statistic(reference, current, features, by), keys)
+    counts = value_counts(reference, current, features, by)
+    out = psi(reference, current, features, n_bins, by, counts=counts).join(ks_statistic(reference, current, features, by, counts), keys)
     out = out.withColumn("ks_pvalue", ks_pvalue(F.col("ks"), F.col("n"), F.col("m")))
     drifted = (F.col("psi") >= PSI_ALERT) | ((F.col("psi") >= PSI_WARN) & (F.col("ks_pvalue") < KS_ALPHA))
     return out.withColumn("drifted", drifted)
@@ -90,15 +95,11 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None)
     return out.select(*by, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("wins") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"), "n_pos", "n_neg")
 
 
-def _erf(z: pd.Series) -> pd.Series:
-    return pd.Series([math.erf(x) if x == x else float("nan") for x in z.to_numpy(dtype=np.float64)])
-
-
 def crps_gaussian(df: DataFrame, mu: str = "mu", sigma: str = "sigma", y: str = "y", by: list[str] | None = None) -> DataFrame:
-    """Mean closed-form score. Spark has no error function, so one Arrow-batched UDF computes it."""
-    erf = F.pandas_udf(_erf, "double")
-    z = (F.col(y) - F.col(mu)) / F.col(sigma)
-    cdf = 0.5 * (1.0 + erf(z / math.sqrt(2.0)))
+    """Mean closed-form score of y under the normal law of mu and sigma."""
+    df = df.withColumn("_z", (F.col(y) - F.col(mu)) / F.col(sigma)).withColumn("_u", F.col("_z") / math.sqrt(2.0))
+    z = F.col("_z")
+    cdf = 0.5 * (1.0 + erf(F.col("_u")))
     pdf = F.exp(-z * z / 2.0) / math.sqrt(2 * math.pi)
     score = F.col(sigma) * (z * (2.0 * cdf - 1.0) + 2.0 * pdf - 1.0 / math.sqrt(math.pi))
     return df.withColumn("_crps", score).groupBy(*(by or [])).agg(F.avg("_crps").alias("crps"))
@@ -143,12 +144,15 @@ def disagreement_rate(queue: DataFrame, threshold: float = 0.6, by: list[str] |
 
 def disagreement_threshold(windows: DataFrame, by: str = "tenant_id", min_n: int = 20, min_windows: int = 5, fallback: float = 0.2) -> DataFrame:
     """max(nearest-rank 95th percentile, twice the mean, 0.05) of the rates (by, n_counted, rate) of large enough windows."""
-    big = F.when(F.col("n_counted") >= min_n, F.col("rate"))
-    out = windows.groupBy(by).agg(F.array_sort(F.collect_list(big)).alias("rates"), F.avg(big).alias("mean"))
-    rank = F.floor((F.size("rates") * 19 + 19) / 20).cast("int")
-    q95 = F.try_element_at("rates", F.greatest(rank, F.lit(1)))
-    own = F.greatest(q95, 2 * F.col("mean"), F.lit(0.05))
-    return out.select(by, F.size("rates").alias("n_windows"), F.when(F.size("rates") >= min_windows, own).otherwise(fallback).alias("threshold"))
+    big = windows.where(F.col("n_counted") >= min_n).groupBy(by, "rate").agg(F.count(F.lit(1)).alias("n"))
+    cum = prefix_sum(big, "rate", ["n"], [by])
+    told = cum.groupBy(by).agg(F.sum("n").alias("n_windows"), (F.sum(F.col("rate") * F.col("n")) / F.sum("n")).alias("mean"))
+    rank = F.floor((F.col("n_windows") * 19 + 19) / 20)
+    q95 = cum.join(told, by).groupBy(by, "n_windows", "mean").agg(F.max(F.when((F.col("cum_n") - F.col("n") < rank) & (rank <= F.col("cum_n")), F.col("rate"))).alias("q95"))
+    own = F.greatest("q95", 2 * F.col("mean"), F.lit(0.05))
+    out = windows.select(by).distinct().join(q95, by, "left")
+    n = F.coalesce("n_windows", F.lit(0)).cast("int")
+    return out.select(by, n.alias("n_windows"), F.when(n >= min_windows, own).otherwise(fallback).alias("threshold"))
 
 
 def classify_drift(inputs: DataFrame) -> DataFrame:

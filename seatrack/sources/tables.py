@@ -56,6 +56,10 @@ def upsert_table(df: DataFrame, path: str, keys: list[str], partitions: list[str
     fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs_path, True)
 
 
+#: Types of numeric columns, decimals besides.
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
 def file_counts(spark: SparkSession, path: str) -> DataFrame:
     """Rows of each data file."""
     return spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
@@ -73,22 +77,37 @@ def compact(spark: SparkSession, path: str, target: str, partitions: list[str] |
 
 
 def select_window(spark: SparkSession, path: str, reference: DataFrame, numeric: list[str], min_rows: int = 100, max_rows: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """(window, verdicts) of the newest acceptable file below path: same columns as the reference, enough rows, finite numbers, usable times.
+    """(window, verdicts) of the newest acceptable parquet file below path: the reference's columns, enough rows, finite numbers, usable times.
 
-    verdicts has a row for each file; the window is the newest accepted file's
-    last max_rows rows by (t, mmsi).
+    Files are read one after the other, the newest first, each with its own
+    schema, and none after the first accepted one. verdicts (file, at, n,
+    reject_reason, content_hash) has a row for each file read; the window is
+    the accepted file's last max_rows rows by (t, mmsi). The hash tells whether
+    a window's rows are those of another.
     """
-    df = spark.read.parquet(path)
-    meta = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_at"))
-    same = set(df.columns) == set(reference.columns)
-    odd = None
-    for c in numeric:
-        bad = F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-        odd = bad if odd is None else odd | bad
-    stats = meta.groupBy("_file").agg(F.max("_at").alias("at"), F.count(F.lit(1)).alias("n"), F.count_if(odd).alias("n_odd"), F.count_if(F.col("t").isNull()).alias("n_no_time"))
-    reason = F.when(~F.lit(same), "schema").when(F.col("n") < min_rows, "rows").when(F.col("n_odd") > 0, "numbers").when(F.col("n_no_time") > 0, "times")
-    verdicts = stats.withColumn("reject_reason", reason)
-    best = verdicts.where("reject_reason is null").agg(F.max_by("_file", F.struct("at", "_file")).alias("_file"))
-    rows = meta.join(F.broadcast(best), "_file")
-    last = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy(F.desc("t"), F.desc("mmsi")))).where(F.col("_n") <= max_rows)
-    return last.select(*df.columns), verdicts.withColumnRenamed("_file", "file")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime")
+    told, window = [], None
+    for f in listed.orderBy(F.desc("modificationTime"), F.desc("path")).toLocalIterator():  # names of files, as far as they are needed
+        reason, n, digest = "schema", None, None
+        try:
+            df = spark.read.parquet(f.path)
+        except Exception as e:  # noqa: BLE001  a file that is no table is a verdict, whatever it holds
+            told.append((f.path, f.modificationTime, None, f"unreadable: {type(e).__name__}", None))
+            continue
+        kinds = dict(df.dtypes)
+        if df.columns == reference.columns and all(kinds[c] in NUMBERS or kinds[c].startswith("decimal") for c in numeric):
+            odd = F.lit(False)
+            for c in numeric:
+                odd |= F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+            no_time = F.try_to_timestamp(F.col("t").cast("string")).isNull()
+            n, n_odd, n_no_time = df.agg(F.count(F.lit(1)), F.count_if(odd), F.count_if(no_time)).first()
+            reason = "rows" if n < min_rows else "numbers" if n_odd else "times" if n_no_time else None
+        if reason is None:
+            order = [F.desc(F.try_to_timestamp(F.col("t").cast("string"))), *[F.desc(c) for c in ("mmsi",) if c in df.columns]]
+            window = df.orderBy(*order, F.xxhash64(*df.columns)).limit(max_rows)
+            digest = window.agg(F.sha2(F.concat_ws(",", F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))), 256)).first()[0]
+        told.append((f.path, f.modificationTime, n, reason, digest))
+        if window is not None:
+            break
+    verdicts = spark.createDataFrame(told, "file string, at timestamp, n long, reject_reason string, content_hash string")
+    return (reference.limit(0) if window is None else window), verdicts
