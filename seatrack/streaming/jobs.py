@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.utils import AnalysisException
@@ -15,6 +15,8 @@ from seatrack.operators import cdc, detect, joins
 from seatrack.operators.graph import durable
 
 HISTORY = 5
+#: Buckets of keys of a registry's state.
+STATE_BUCKETS = 64
 OUTPUT = "mmsi long, seq long, t timestamp, lat double, lon double, gap_s double, distance_m double, v_required_mps double, p_physical double, history array<struct<t:timestamp,lat:double,lon:double>>"
 _STATE = "t timestamp, lat double, lon double"
 
@@ -26,7 +28,8 @@ class _VesselFeatures(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getListState("last", _STATE, self.ttl_ms) if self.ttl_ms else handle.getListState("last", _STATE)
+        self.handle = handle
+        self.last = handle.getListState("last", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         import math
@@ -37,6 +40,8 @@ class _VesselFeatures(StatefulProcessor):
         for r in batch.itertuples():
             gap = distance = speed = 0.0
             p = 1.0
+            if kept and self.ttl_ms and (pd.Timestamp(r.t) - pd.Timestamp(kept[-1][0])).total_seconds() * 1000 > self.ttl_ms:
+                kept = []
             if kept:
                 t0, lat0, lon0 = kept[-1]
                 gap = max(0.0, (pd.Timestamp(r.t) - pd.Timestamp(t0)).total_seconds())
@@ -49,19 +54,32 @@ class _VesselFeatures(StatefulProcessor):
             out.append((key[0], r.seq, r.t, r.lat, r.lon, gap, distance, speed, p, history))
             kept = [*kept, (pd.Timestamp(r.t).to_pydatetime(), r.lat, r.lon)][-HISTORY:]
         self.last.put(kept)
+        if self.ttl_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(pd.Timestamp(kept[-1][0]).timestamp() * 1000) + self.ttl_ms)
         yield pd.DataFrame(out, columns=["mmsi", "seq", "t", "lat", "lon", "gap_s", "distance_m", "v_required_mps", "p_physical", "history"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def stream_features(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def stream_features(stream: DataFrame, ttl_ms: int | None = None, watermark: str = "10 minutes") -> DataFrame:
     """Features and history of every report of a stream (mmsi, seq, t, lat, lon); the gate is a filter on p_physical after it.
 
-    ttl_ms drops the state of vessels that were quiet for so long; such a stream
-    has no last batch, so an availableNow trigger would never end it.
+    With ttl_ms a report that comes so long after the vessel's last one, by the
+    reports' times, begins a new history; event-time timers drop the state of
+    vessels that stay quiet, once the watermark has passed. Such a stream
+    leaves out reports behind the watermark.
     """
-    return stream.select("mmsi", "seq", "t", "lat", "lon").groupBy("mmsi").transformWithStateInPandas(_VesselFeatures(ttl_ms), OUTPUT, "Append", "ProcessingTime" if ttl_ms else "None")
+    rows = stream.select("mmsi", "seq", "t", "lat", "lon")
+    if ttl_ms:
+        rows = rows.withWatermark("t", watermark)
+    return rows.groupBy("mmsi").transformWithStateInPandas(_VesselFeatures(ttl_ms), OUTPUT, "Append", "EventTime" if ttl_ms else "None")
 
 
 def minute_representatives(df: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -93,12 +111,31 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def stream_on_time(stream: DataFrame, path: str, checkpoint: str, late_s: float = 600.0, future_s: float = 300.0, now: float | None = None):
+    """A stream of reports into path/on_time and path/side (with reason), by batch; split_late with the largest time of all batches before.
+
+    That time is committed with each batch in one of two slots, so a restart
+    goes on where the last batch ended, and a repeated batch sees what it saw.
+    """
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = _read(spark, f"{path}/seen")
+        until = None if seen is None else seen.where(F.col("batch_id") < batch_id).agg(F.max_by("until", "batch_id")).first()[0]
+        good, side, top = split_late(durable(batch), until, late_s, future_s, now)
+        good.write.mode("overwrite").parquet(f"{path}/on_time/batch_id={batch_id}")
+        side.write.mode("overwrite").parquet(f"{path}/side/batch_id={batch_id}")
+        told = spark.createDataFrame([(batch_id, top)], "batch_id long, until double")
+        told.write.mode("overwrite").parquet(f"{path}/seen/slot={batch_id % 2}")
+
+    return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_scores(features: DataFrame, segments: DataFrame, waypoints: DataFrame, registry: DataFrame | None, queue_path: str, checkpoint: str, gate: float = 0.3, **trigger):
     """T4: scores of gated reports go to the review queue. Trace ids hash the request, so a redelivery adds nothing.
 
     The batch id names its folder, so a repeated batch replaces its own rows.
-    The default trigger ends with what is there; features that expire (T6) make
-    batches without end and need another one, such as processingTime="10 seconds".
+    The default trigger ends with what is there.
     """
 
     def score(batch: DataFrame, batch_id: int) -> None:
@@ -127,24 +164,50 @@ def stream_scores(features: DataFrame, segments: DataFrame, waypoints: DataFrame
     return features.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _buckets() -> Column:
+    return F.pmod(F.xxhash64("event_table", "pk"), F.lit(STATE_BUCKETS)).cast("int")
+
+
+def registry_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The registry's state (event_table, pk, lsn, deleted, content, bucket, slot): each bucket's newest version, or the newest below `before`; None if nothing is stored."""
+    stored = _read(spark, f"{path}/state")
+    if stored is None:
+        return None
+    if before is not None:
+        stored = stored.where(F.col("version") < before)
+    newest = stored.groupBy("bucket").agg(F.max("version").alias("version"))  # a row for each bucket
+    return stored.join(F.broadcast(newest), ["bucket", "version"]).drop("version")
+
+
 def apply_batch(batch: DataFrame, batch_id: int, path: str) -> None:
-    """One batch of envelopes (seq, topic, key, value): verdicts against the stored state, audit rows, and a new version of the state.
+    """One batch of envelopes (seq, topic, key, value): verdicts against the stored state, audit rows, and the state of the keys it names.
 
-    Version batch_id is made from the newest version before it, so a repeated batch gives the same files.
+    The state lies in STATE_BUCKETS buckets of keys, and a batch rewrites those
+    that it touches only. Each bucket has two slots: the new version takes the
+    one that doesn't hold the version before it, which a failure leaves whole,
+    and older versions are overwritten. A repeated batch starts from the same
+    versions and gives the same rows.
     """
     spark = batch.sparkSession
-    versions = _read(spark, f"{path}/state")
-    base = None
-    if versions is not None:
-        base = versions.where((F.col("version") < batch_id) & (F.col("version") == versions.where(F.col("version") < batch_id).agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0])).drop("version")
-    parsed = cdc.parse_envelopes(batch)
+    parsed = durable(cdc.parse_envelopes(batch))
     changes = parsed.where("kind = 'change'")
+    touched = [r[0] for r in changes.select(_buckets()).distinct().collect()]  # STATE_BUCKETS numbers at most
+    base = registry_state(spark, path, batch_id)
+    slots = {}
+    if base is not None:
+        base = durable(base.where(F.col("bucket").isin(touched)))
+        slots = dict(base.select("bucket", "slot").distinct().collect())
+        base = base.drop("bucket", "slot")
     verdicts = cdc.guard_verdicts(changes, base)
     cdc.audit_rows(verdicts, batch_id).drop("batch_id").write.mode("overwrite").parquet(f"{path}/audit/batch_id={batch_id}")
     cdc.touched_keys(verdicts).write.mode("overwrite").parquet(f"{path}/touched/batch_id={batch_id}")
+    if not touched:
+        return
     state = cdc.reduce_state(changes)
     state = cdc.merge_state(base, state) if base is not None else state
-    state.write.mode("overwrite").parquet(f"{path}/state/version={batch_id}")
+    used = F.create_map(*[F.lit(x) for b in touched for x in (b, 1 - slots.get(b, 1))])
+    rows = state.withColumn("version", F.lit(batch_id).cast("long")).withColumn("bucket", _buckets()).withColumn("slot", F.element_at(used, F.col("bucket")))
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "slot").parquet(f"{path}/state")
 
 
 def stream_registry(messages: DataFrame, path: str, checkpoint: str):

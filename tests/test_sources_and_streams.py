@@ -116,9 +116,7 @@ def messages(spark, rows):
 
 
 def final_state(spark, path):
-    df = spark.read.parquet(f"{path}/state")
-    last = df.where(F.col("version") == df.agg(F.max("version")).first()[0])
-    return {json.loads(r.pk)["mmsi"]: (r.lsn, r.deleted, r.content and json.loads(r.content)["name"]) for r in last.collect()}
+    return {json.loads(r.pk)["mmsi"]: (r.lsn, r.deleted, r.content and json.loads(r.content)["name"]) for r in jobs.registry_state(spark, path).collect()}
 
 
 def test_batches_converge_after_failure_and_redelivery(spark, tmp_path):
@@ -157,19 +155,62 @@ def test_scored_stream_fills_the_queue_once(spark, tmp_path):
     assert counts[0] == counts[1] == stored.select("trace_id").distinct().count() > 0
 
 
-def test_expiry_keeps_the_features(spark, tmp_path):
-    df = track(spark, 5)
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    # state that expires by the clock makes batches without end, so the test stops the query itself
-    sink = jobs.stream_features(stream, ttl_ms=86_400_000).writeStream.format("memory").queryName("expiring")
-    q = sink.option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
-    until = time.time() + 60
-    while time.time() < until and spark.table("expiring").count() < 10:
-        time.sleep(1)
-    q.stop()
-    got = {(r.mmsi, r.seq): (round(r.gap_s), len(r.history)) for r in spark.table("expiring").collect()}
-    assert got == {(200 + v, v * 100 + i): (600 * (i > 0), i) for v in range(2) for i in range(5)}
+def test_batches_write_what_they_touch(spark, tmp_path):
+    """A batch of three keys rewrites three buckets at most, versions before the last two go, and no key is lost."""
+    path = str(tmp_path / "a")
+    jobs.apply_batch(messages(spark, [(i, i, 1, "c", "a") for i in range(500)]), 0, path)
+    assert len(list((tmp_path / "a/state").glob("bucket=*"))) == jobs.STATE_BUCKETS
+    for batch_id in (1, 2, 3):
+        before = {p: p.stat().st_mtime_ns for p in (tmp_path / "a/state").rglob("*.parquet")}
+        jobs.apply_batch(messages(spark, [(i, i, batch_id + 1, "u", f"b{batch_id}") for i in range(3)]), batch_id, path)
+        after = {p: p.stat().st_mtime_ns for p in (tmp_path / "a/state").rglob("*.parquet")}
+        assert 1 <= len({p for p in after if before.get(p) != after[p]}) <= 3
+    assert len(list((tmp_path / "a/state").rglob("*.parquet"))) <= jobs.STATE_BUCKETS + 3
+    state = final_state(spark, path)
+    assert len(state) == 500 and state[1] == (4, False, "b3") and state[7] == (1, False, "a")
+
+
+def test_late_reports_stay_late_after_a_restart(spark, tmp_path):
+    kind, path = "k long, t timestamp", str(tmp_path / "out")
+    for rows in ([(1, 10_000), (2, 9_500)], [(3, 5_000), (4, 10_100), (5, 99_999)]):
+        df = spark.createDataFrame(rows, "k long, s long").select("k", F.timestamp_seconds("s").alias("t"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        assert jobs.stream_on_time(stream, path, str(tmp_path / "c"), now=10_200.0).awaitTermination(120)
+    assert sorted(r.k for r in spark.read.parquet(f"{path}/on_time").collect()) == [1, 2, 4]
+    assert {(r.k, r.reason) for r in spark.read.parquet(f"{path}/side").collect()} == {(3, "late"), (5, "future")}
+    assert spark.read.parquet(f"{path}/seen").agg(F.max("until")).first()[0] == 10_100.0
+
+
+def test_quiet_vessels_lose_their_history(spark, tmp_path):
+    """Seven days by the reports' times, with a trigger that ends: vessel 1 was quiet for eight, vessel 2 was not."""
+    day = 86_400
+    for rows in ([(1, 0, 0), (1, 1, 600), (2, 2, 0), (2, 3, 5 * day)], [(3, 4, 8 * day)], [(1, 5, 8 * day + 60), (2, 6, 8 * day + 60)]):
+        df = spark.createDataFrame(rows, "mmsi long, seq long, s long").select("mmsi", "seq", F.timestamp_seconds(F.col("s") + 1_717_200_000).alias("t"), F.lit(40.0).alias("lat"), F.lit(-74.0).alias("lon"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    q = jobs.stream_features(stream, ttl_ms=7 * day * 1000).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    assert q.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {r.seq: (round(r.gap_s), len(r.history)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: (0, 0), 1: (600, 1), 2: (0, 0), 3: (5 * day, 1), 4: (0, 0), 5: (0, 0), 6: (3 * day + 60, 2)}
+
+
+def test_newest_acceptable_window(spark, tmp_path):
+    """Of three files the newest has text for numbers and the next is no table."""
+    path = tmp_path / "w"
+    good = track(spark, 60).select("mmsi", "t", "lat")
+    good.coalesce(1).write.parquet(str(path / "a"))
+    time.sleep(1.1)
+    (path / "b").mkdir()
+    (path / "b" / "x.parquet").write_text("no table")
+    time.sleep(1.1)
+    good.withColumn("lat", F.lit("text")).coalesce(1).write.parquet(str(path / "c"))
+    window, verdicts = tables.select_window(spark, str(path), good, ["lat"], min_rows=50, max_rows=70)
+    told = [str(r.reject_reason).split(":")[0] for r in verdicts.orderBy(F.desc("at")).collect()]
+    assert told == ["schema", "unreadable", "None"] and window.count() == 70
+    again = tables.select_window(spark, str(path), good, ["lat"], min_rows=50, max_rows=70)[1]
+    digest = lambda v: [r.content_hash for r in v.where("reject_reason is null").collect()]
+    assert digest(again) == digest(verdicts) and len(digest(verdicts)[0]) == 64
 
 
 def test_triples_are_appended(spark, tmp_path):
