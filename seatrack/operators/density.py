@@ -18,7 +18,9 @@ FLOOR_M = 1e-3
 #: The search radius grows by this factor from scale to scale.
 GROWTH = 4.0
 #: The first scale is the largest whose cells hold so many places at most.
-FIRST_CELL = 64
+FIRST_CELL = 256
+#: Edges of a scale that are joined in one task; where there are more, each component has a task of its own.
+FEW_EDGES = 100_000
 #: Two groups of places are compared by all their pairs up to so many; larger ones by the parts of them that may hold the nearest pair.
 MAX_PAIRS = 1 << 16
 _FINER = 8.0
@@ -169,12 +171,12 @@ _OUT = "kind string, node string, up string, size long, cluster string, total do
 
 
 def _merged(scale: int, min_size: int):
-    """One component of a scale: its parts of the scale before, joined along its edges from the shortest.
+    """Whole components of a scale: their parts of the scale before, joined along their edges from the shortest.
 
     Rows are parts (node, size, cluster, total, inner) and edges (a, b, w). A
     part of min_size points is a cluster; total is the sum over the points
     that left it so far of the density where they left, inner the best sum
-    of stabilities below it. Tells the component, ended clusters with their
+    of stabilities below it. Tells the components, ended clusters with their
     parent, and to which cluster or component each small part went.
     """
 
@@ -183,7 +185,7 @@ def _merged(scale: int, min_size: int):
         name, size = parts.node.tolist(), parts["size"].astype(int).tolist()
         cluster, total, inner = [c or None for c in parts.cluster], parts.total.tolist(), parts.inner.tolist()
         at, root, small, out = {n: i for i, n in enumerate(name)}, list(range(len(name))), [[i] for i in range(len(name))], []
-        whole = f"{scale}/{rows.root.iloc[0]}"
+        whole = f"{scale}/{min(name)}"
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -233,10 +235,14 @@ def _merged(scale: int, min_size: int):
             for parts_met in {id(v): v for v in met.values()}.values():
                 if len(parts_met) > 1:
                     join(sorted(parts_met), w)
-        top = find(0)
-        leave(top, whole)
-        out.append(("part", whole, None, size[top], cluster[top], total[top], inner[top], None))
-        members = pd.DataFrame({"kind": "member", "node": name, "up": whole})
+        least: dict[int, str] = {}
+        for k, n in enumerate(name):
+            top = find(k)
+            least[top] = min(n, least.get(top, n))
+        for top, n in least.items():
+            leave(top, f"{scale}/{n}")
+            out.append(("part", f"{scale}/{n}", None, size[top], cluster[top], total[top], inner[top], None))
+        members = pd.DataFrame({"kind": "member", "node": name, "up": [f"{scale}/{least[find(k)]}" for k in range(len(name))]})
         return pd.concat([pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")]), members]).astype({"size": "Int64"})
 
     return run
@@ -299,7 +305,7 @@ def hierarchy_clusters(points: DataFrame, min_size: int, max_edge_m: float | Non
     The search radius grows scale by scale. At each, components of the scale
     before meet within cells of that radius, and each new component joins its
     own parts in a task that holds a row for each part and pair of parts, not
-    for each place. With max_edge_m the tree is cut there, so that distant
+    for each place; few edges (FEW_EDGES) are joined in one task. With max_edge_m the tree is cut there, so that distant
     regions stay apart and each may be a cluster as a whole.
     """
     places = written(_places(points))
@@ -322,7 +328,11 @@ def hierarchy_clusters(points: DataFrame, min_size: int, max_edge_m: float | Non
         sent = current
         if edges.isEmpty():
             continue
-        roots = written(connected_components(edges.select("a", "b")))
+        joined = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+        if edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+            roots = joined.withColumn("root", F.lit(""))
+        else:
+            roots = written(connected_components(edges.select("a", "b")))
         nothing = lambda kind: F.lit(None).cast(kind)
         of_parts = parts.join(roots, "node").select("root", "node", "size", "cluster", "total", "inner", nothing("string").alias("a"), nothing("string").alias("b"), nothing("double").alias("w"))
         of_edges = edges.join(roots, edges.a == roots.node).select("root", nothing("string").alias("node"), nothing("long").alias("size"), nothing("string").alias("cluster"), nothing("double").alias("total"), nothing("double").alias("inner"), "a", "b", "w")

@@ -107,6 +107,7 @@ def test_large_groups_are_narrowed(spark, monkeypatch):
     """Two dense regions side by side are compared by the parts that may hold the nearest pair."""
     monkeypatch.setattr(density, "MAX_PAIRS", 50)
     monkeypatch.setattr(density, "FIRST_CELL", 8)
+    monkeypatch.setattr(density, "FEW_EDGES", 40)
     r = random.Random(4)
     places = [(la + r.uniform(-0.01, 0.01), lo + r.uniform(-0.01, 0.01)) for la, lo in ((10.0, 10.0), (10.0, 10.05), (10.08, 10.02)) for _ in range(120)]
     assert found(spark, places, 3) == brute_hierarchy(places, 3)
