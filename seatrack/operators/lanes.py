@@ -11,10 +11,12 @@ from seatrack.functions.geo import CAPS_MPS, EARTH_RADIUS_M
 from seatrack.sources.tables import LAYOUT, upsert_table, with_layout
 
 from .density import density_clusters, hierarchy_clusters
-from .graph import durable
+from .graph import durable, written
 from .joins import asof_join
 
 RDP_M, MIN_CLUSTER = 200.0, 2
+#: Points of a chord that one task simplifies.
+MAX_CHORD = 50_000
 REQUIRED = ("mmsi", "t", "lat", "lon", "sog", "cog")
 
 
@@ -84,19 +86,64 @@ def rdp_keep(x: np.ndarray, y: np.ndarray, epsilon: float) -> np.ndarray:
     return keep
 
 
+def _finished(epsilon_m: float):
+    """Interior points that a chord keeps: rows of one chord with its ends."""
+
+    def run(points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values(["t", "tie"], kind="stable")
+        ends = [np.array([points[f"{e}_{c}"].iloc[0]]) for e in ("lo", "hi") for c in "xy"]
+        x, y = np.concatenate((ends[0], points.x.to_numpy(), ends[2])), np.concatenate((ends[1], points.y.to_numpy(), ends[3]))
+        return points.loc[rdp_keep(x, y, epsilon_m)[1:-1], ["track", "x", "y"]]
+
+    return run
+
+
 def simplify_tracks(df: DataFrame, epsilon_m: float = RDP_M, by: str = "mmsi") -> DataFrame:
-    """L3: the points that outline each track. One group is one track; give a voyage or day as `by` where tracks are very long."""
-    flat = project_local(df, [by])
-
-    def run(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("t", kind="stable")
-        xy = list(zip(track.x, track.y, strict=True))
-        keep = rdp_keep(track.x.to_numpy(), track.y.to_numpy(), epsilon_m)
-        kept = {p for p, k in zip(xy, keep, strict=True) if k}
-        # a kept place stays at every visit
-        return track[[p in kept for p in xy]].drop(columns=["x", "y"])
-
-    return flat.groupBy(by).applyInPandas(run, df.schema)
+    """L3: the points that outline each track, ordered by t, then by seq if there is one; a kept place stays at every visit.
+
+    A chord of more than MAX_CHORD points is split by rounds of DataFrames: its
+    farthest point is a grouped maximum, and the points on both sides go on
+    with their own chord. Chords that are short enough are finished in a
+    task each, so no task holds a long track.
+    """
+    centre = df.groupBy(by).agg(F.avg("lat").alias("_lat0"), F.avg("lon").alias("_lon0"))
+    named = df.join(centre.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    x = F.radians(F.col("lon") - F.col("_lon0")) * F.cos(F.radians("_lat0")) * EARTH_RADIUS_M
+    flat = written(named.withColumns({"_x": x, "_y": F.radians(F.col("lat") - F.col("_lat0")) * EARTH_RADIUS_M}).drop("_lat0", "_lon0"))
+    tie = F.col("seq").cast("long") if "seq" in df.columns else F.xxhash64("lat", "lon")
+    points = flat.select(F.col(by).alias("track"), "t", tie.alias("tie"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+    place = F.struct("t", "tie", "x", "y")
+    ends = points.groupBy("track").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count(F.lit(1)).alias("n"))
+    kept = [ends.select("track", f"{e}.x", f"{e}.y") for e in ("lo", "hi")]
+    inside = lambda rows: rows.where((place > F.col("lo")) & (place < F.col("hi")))
+    open_ = inside(points.join(ends.withColumnRenamed("track", "_t"), F.col("track").eqNullSafe(F.col("_t"))).drop("_t"))
+    kind = points.schema["track"].dataType.simpleString()
+    while True:
+        open_ = written(open_)
+        short = open_.where(F.col("n") <= MAX_CHORD).select("track", "t", "tie", "x", "y", F.col("lo").alias("chord"), *[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("lo", "hi") for c in "xy"])
+        done = short.groupBy("track", "chord").applyInPandas(_finished(epsilon_m), f"track {kind}, x double, y double")
+        kept.append(written(done))
+        long_ = open_.where(F.col("n") > MAX_CHORD)
+        dx, dy = F.col("hi.x") - F.col("lo.x"), F.col("hi.y") - F.col("lo.y")
+        px, py, norm = F.col("x") - F.col("lo.x"), F.col("y") - F.col("lo.y"), F.hypot(dx, dy)
+        off = F.when(norm > 0, F.abs(dx * py - dy * px) / F.when(norm > 0, norm)).otherwise(F.hypot(px, py))
+        # the first of the farthest points
+        far = long_.withColumn("off", off).groupBy("track", "lo").agg(F.min(F.struct((-F.col("off")).alias("off"), place.alias("at"))).alias("far"))
+        far = written(far.where(-F.col("far.off") > epsilon_m).select(F.col("track").alias("_t"), F.col("lo").alias("_lo"), F.col("far.at").alias("at")))
+        if far.isEmpty():
+            break
+        kept.append(far.select(F.col("_t").alias("track"), "at.x", "at.y"))
+        sided = long_.drop("n").join(far, F.col("track").eqNullSafe(F.col("_t")) & (F.col("lo") == F.col("_lo"))).drop("_t", "_lo").where(place != F.col("at"))
+        sided = sided.withColumn("after", place > F.col("at"))
+        sided = sided.withColumn("lo", F.when(F.col("after"), F.col("at")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("after"), F.col("hi")).otherwise(F.col("at"))).drop("at", "after")
+        sizes = sided.groupBy("track", "lo").agg(F.count(F.lit(1)).alias("n")).select(F.col("track").alias("_t"), F.col("lo").alias("_lo"), "n")
+        open_ = sided.join(sizes, F.col("track").eqNullSafe(F.col("_t")) & (F.col("lo") == F.col("_lo"))).drop("_t", "_lo")
+    places = kept[0]
+    for more in kept[1:]:
+        places = places.unionByName(more)
+    places = places.distinct().toDF("_track", "_kx", "_ky")
+    same = F.col(by).eqNullSafe(F.col("_track")) & (F.col("_x") == F.col("_kx")) & (F.col("_y") == F.col("_ky"))
+    return flat.join(places, same, "left_semi").select(*df.columns)
 
 
 def cluster_waypoints(points: DataFrame, level_m: float | None = None, min_cluster_size: int = MIN_CLUSTER, max_edge_m: float | None = None) -> tuple[DataFrame, DataFrame]:

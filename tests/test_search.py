@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,28 @@ def test_routes_through_a_hub_stay_few(spark, monkeypatch):
     # the six nodes of 50 vessels end most routes; the first two by name are taken
     assert got["n000"] == ["n000", "hub", "n049", "hub", "n099"] and len(got) == 301
     assert max(seen) < 300 * 40
+
+
+def brute_outline(x, y, epsilon_m):
+    keep = lanes.rdp_keep(x, y, epsilon_m)
+    kept = {(a, b) for a, b, k in zip(x.tolist(), y.tolist(), keep, strict=True) if k}
+    return {i for i, p in enumerate(zip(x.tolist(), y.tolist(), strict=True)) if p in kept}
+
+
+def test_outline_of_a_very_long_track(spark, monkeypatch):
+    """A track of 200,000 points, a fifth of which lie where it was before, in rounds; short tracks beside it in one task each."""
+    rng = np.random.default_rng(5)
+    steps = rng.normal(0, 3e-4, (200_000, 2)) + 2e-4 * np.sin(np.arange(200_000) / 9_000)[:, None]
+    walk = np.cumsum(steps, axis=0) + [40.0, -60.0]
+    walk[150_000:190_000] = walk[10_000:50_000]
+    local = [(1, i, float(a), float(b)) for i, (a, b) in enumerate(walk)] + [(v, i, 10.0 + v + (i % 7) * 0.01, 5.0 + i * 0.002) for v in (2, 3) for i in range(40)]
+    table = pd.DataFrame(local, columns=["mmsi", "seq", "lat", "lon"])
+    df = spark.createDataFrame(table).withColumn("t", F.timestamp_seconds(F.floor(F.col("seq") / 2) + 1_717_200_000))
+    got = {}
+    for r in lanes.simplify_tracks(df, 3_000.0).select("mmsi", "seq").collect():
+        got.setdefault(r.mmsi, set()).add(r.seq)
+    for v, part in table.groupby("mmsi"):
+        x = np.radians(part.lon - part.lon.mean()) * np.cos(np.radians(part.lat.mean())) * 6_371_000.0
+        y = np.radians(part.lat - part.lat.mean()) * 6_371_000.0
+        assert got[v] == brute_outline(x.to_numpy(), y.to_numpy(), 3_000.0)
+    assert 20 < len(got[1]) < 20_000
