@@ -82,6 +82,28 @@ def pressure_summary(samples: DataFrame, settle: float = 0.1, tail: int = 3) ->
     return ahead.groupBy("vertex").agg(peak("baseline"), peak("burst"), peak("recovery"), F.min(F.when(ok, F.col("t"))).alias("settled_at"))
 
 
+def pressure_conditions(samples: DataFrame, settle: float = 0.1, tail: int = 3) -> DataFrame:
+    """Per vertex, whether it was calm before the burst, pressed in it and calm after it. samples: vertex, t, phase, pressure.
+
+    Calm is a largest pressure of at most `settle` among the last `tail` samples
+    of the phase, of equal times the larger pressures first. error names a
+    phase that has too few samples (one for the burst), and then no condition
+    holds.
+    """
+    last = Window.partitionBy("vertex", "phase").orderBy(F.desc("t"), F.desc("pressure"))
+    tails = samples.withColumn("_i", F.row_number().over(last)).where(F.col("_i") <= tail)
+    of = lambda p, c: F.max(F.when(F.col("phase") == p, F.col(c)))
+    held = tails.groupBy("vertex").agg(of("baseline", "pressure").alias("baseline_tail_max"), of("baseline", "_i").alias("_b"), of("recovery", "pressure").alias("recovery_tail_max"), of("recovery", "_i").alias("_r"))
+    peak = samples.groupBy("vertex").agg(of("burst", "pressure").alias("burst_max"))
+    out = held.join(peak, "vertex")
+    few = lambda c: F.coalesce(F.col(c), F.lit(0)) < tail
+    error = F.when(few("_b"), "too few samples: baseline").when(F.col("burst_max").isNull(), "too few samples: burst").when(few("_r"), "too few samples: recovery")
+    out = out.withColumn("error", error)
+    ok = F.col("error").isNull()
+    out = out.withColumns({"calm_before": ok & (F.col("baseline_tail_max") <= settle), "pressed": ok & (F.col("burst_max") > settle), "calm_after": ok & (F.col("recovery_tail_max") <= settle)})
+    return out.withColumn("all_true", F.col("calm_before") & F.col("pressed") & F.col("calm_after")).drop("_b", "_r")
+
+
 def shard_counts(df: DataFrame, key: str, n_shards: int) -> DataFrame:
     """Records of each shard by the md5 of the key, with zeros. 56 bits of the digest are scaled to the shards."""
     high = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seatrack.operators import cdc, preference
+from seatrack.operators import cdc, monitor, preference
 
 from .adapters import ctes, view
 
@@ -114,7 +114,34 @@ select mmsi, regime, mmsi || ':' || regime as id, coalesce(n.reference, kept.ref
   coalesce(kept.created_at, first_at) as created_at, coalesce(last_at, kept.updated_at) as updated_at
 from kept full join n using (mmsi, regime)"""
 
+
+
+def a17_conditions(s, d):
+    """Vertices are trial and minute; of some, phases are missing or short."""
+    load = view(s, d, "load").withColumn("at", F.col("offset_s") % 60)
+    phase = F.when(F.col("at") < 20, "baseline").when(F.col("at") < 40, "burst").otherwise("recovery")
+    vertex = F.concat(F.col("trial"), F.lit("/"), F.floor(F.col("offset_s") / 60))
+    out = monitor.pressure_conditions(load.select(vertex.alias("vertex"), F.col("offset_s").alias("t"), phase.alias("phase"), F.col("latency_s").alias("pressure")))
+    return out.select("vertex", "error", "calm_before", "pressed", "calm_after", "all_true", F.round("burst_max", 6).alias("burst_max"))
+
+
+A17_SQL = f"""with {ctes("load")},
+s as (
+  select trial || '/' || cast(floor(offset_s / 60) as bigint) as vertex, offset_s as t, latency_s as p,
+    case when offset_s % 60 < 20 then 'baseline' when offset_s % 60 < 40 then 'burst' else 'recovery' end as phase
+  from load),
+k as (select *, row_number() over (partition by vertex, phase order by t desc, p desc) as i from s),
+v as (
+  select vertex, max(p) filter (where phase = 'baseline' and i <= 3) as b, count(*) filter (where phase = 'baseline') as nb, max(p) filter (where phase = 'burst') as x,
+    max(p) filter (where phase = 'recovery' and i <= 3) as r, count(*) filter (where phase = 'recovery') as nr
+  from k group by 1),
+e as (
+  select *, case when nb < 3 then 'too few samples: baseline' when x is null then 'too few samples: burst' when nr < 3 then 'too few samples: recovery' end as error from v),
+c as (select *, error is null and b <= 0.1e0 as calm_before, error is null and x > 0.1e0 as pressed, error is null and r <= 0.1e0 as calm_after from e)
+select vertex, error, calm_before, pressed, calm_after, calm_before and pressed and calm_after as all_true, round(x, 6) as burst_max from c"""
+
 ENTRIES = {
+    "a17_conditions": (a17_conditions, A17_SQL),
     "m1_label_triples": (m1, M1_SQL),
     "m4_promotion": (m4, M4_SQL),
     "c10_registry_upsert": (c10, C10_SQL),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import record_queries, table_queries, track_queries
+from . import box_queries, record_queries, table_queries, track_queries
 
-_ENTRIES = {**track_queries.ENTRIES, **table_queries.ENTRIES, **record_queries.ENTRIES}
+_ENTRIES = {**track_queries.ENTRIES, **table_queries.ENTRIES, **record_queries.ENTRIES, **box_queries.ENTRIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from seatrack.operators import cdc, preference
+from seatrack.operators import cdc, monitor, preference
 
 
 def test_one_case_one_triple(spark):
@@ -56,3 +56,16 @@ def test_sanctions_by_vessel(spark):
     got = {r.id: (r.reference, r.created_at, r.updated_at) for r in cdc.upsert_sanctions(stored, changes).collect()}
     assert got == {"1:ofac": ("r4", 6, 6), "2:eu": ("r5", 1, 6)}
     assert cdc.registry_rejects(changes).select(F.max("reject_reason")).first()[0] == "regime is blank"
+
+
+def test_pressure_conditions(spark):
+    def phases(vertex, before, burst, after):
+        return [(vertex, float(i), p, v) for i, (p, v) in enumerate([("baseline", x) for x in before] + [("burst", x) for x in burst] + [("recovery", x) for x in after])]
+
+    rows = phases("good", [0.9, 0.0, 0.1, 0.0], [0.05, 0.6], [0.7, 0.1, 0.0, 0.05]) + phases("late", [0.0] * 3, [0.5], [0.0, 0.0, 0.2])
+    rows += phases("short", [0.0] * 2, [0.5], [0.0] * 3) + phases("idle", [0.0] * 3, [], [0.0] * 3) + phases("cut", [0.0] * 3, [0.5], [0.0] * 2)
+    got = {r.vertex: (r.error, r.calm_before, r.pressed, r.calm_after, r.all_true) for r in monitor.pressure_conditions(spark.createDataFrame(rows, "vertex string, t double, phase string, pressure double")).collect()}
+    assert got == {
+        "good": (None, True, True, True, True), "late": (None, True, True, False, False), "short": ("too few samples: baseline", False, False, False, False),
+        "idle": ("too few samples: burst", False, False, False, False), "cut": ("too few samples: recovery", False, False, False, False),
+    }
