@@ -135,6 +135,37 @@ def pick(df, *cols):
 LEN = f"lengths as (select e.*, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} as length_m from edges e join nodes a on e.from_node = a.node_id join nodes b on e.to_node = b.node_id)"
 NE = "with " + ctes("nodes", "edges")
 
+
+
+def _plane(name, lat, lon):
+    """x and y of a point about (lat_ref, lon_ref), all in radians, as SQL columns."""
+    half = f"power(sin(({lat} - lat_ref) / 2), 2) + cos(lat_ref) * cos({lat}) * power(sin(({lon} - lon_ref) / 2), 2)"
+    c = f"(2 * asin(sqrt(least(1.0e0, {half}))))"
+    k = f"(6371000.0e0 * case when {c} = 0 then 1.0e0 else {c} / sin({c}) end)"
+    x = f"{k} * cos({lat}) * sin({lon} - lon_ref) as x_{name}"
+    return f"{x}, {k} * (cos(lat_ref) * sin({lat}) - sin(lat_ref) * cos({lat}) * cos({lon} - lon_ref)) as y_{name}"
+
+
+D2_SQL = f"""{POS},
+led as (select *, lead(t_s) over w as e_t, lead(lat) over w as e_lat, lead(lon) over w as e_lon
+        from positions window w as (partition by mmsi order by t_s, seq)),
+q as (select mmsi || '-' || seq as prism_id, {hav('lat', 'lon', 'e_lat', 'e_lon')} as dist, {CAP} * (e_t - t_s) as reach,
+             radians(lat) as la, radians(lon) as oa, radians(e_lat) as lb, radians(e_lon) as ob
+      from led where e_t - t_s > 600),
+mid as (select *, atan2(sin(la) + sin(lb), sqrt(power(cos(la) * cos(oa) + cos(lb) * cos(ob), 2) + power(cos(la) * sin(oa) + cos(lb) * sin(ob), 2))) as lat_ref,
+               atan2(cos(la) * sin(oa) + cos(lb) * sin(ob), cos(la) * cos(oa) + cos(lb) * cos(ob)) as lon_ref from q),
+plane as (select *, {_plane('a', 'la', 'oa')}, {_plane('b', 'lb', 'ob')} from mid),
+shape as (select prism_id, lat_ref, lon_ref, atan2(y_b - y_a, x_b - x_a) as turn,
+                 case when dist - 1e-6 <= reach then reach / 2 else dist / 2 end as major,
+                 case when dist - 1e-6 <= reach then sqrt(greatest(0.0e0, reach * reach - dist * dist)) / 2 else 0.0e0 end as minor from plane),
+edge as (select *, major * cos(2 * pi() * i / 64) as u, minor * sin(2 * pi() * i / 64) as v from shape, range(64) r(i)),
+far as (select *, sqrt(u * u + v * v) / 6371000.0e0 as c, atan2(u * cos(turn) - v * sin(turn), u * sin(turn) + v * cos(turn)) as toward from edge),
+north as (select *, asin(greatest(-1.0e0, least(1.0e0, sin(lat_ref) * cos(c) + cos(lat_ref) * sin(c) * cos(toward)))) as lat from far),
+ring as (select prism_id, degrees(lat) as y, degrees(lon_ref + atan2(sin(toward) * sin(c) * cos(lat_ref), cos(c) - sin(lat_ref) * sin(lat))) as x from north)
+select prism_id, round(min(x), 6) as x0, round(max(x), 6) as x1, round(min(y), 6) as y0, round(max(y), 6) as y1,
+       cast(count(*) as int) as n_points, cast(1 as int) as n_parts
+from ring group by prism_id"""
+
 ENTRIES = {
     "w1_track_features": (lambda s, d: pick(W.track_features(pos(s, d)), "mmsi", "seq", "gap_s", "distance_m", "v_required_mps", "p_physical"),
         f"{POS},{FEAT} select mmsi, seq, round(gap_s, 5) as gap_s, round(distance_m, 5) as distance_m, round(v_required_mps, 5) as v_required_mps, round(p_physical, 5) as p_physical from feat"),
@@ -160,7 +191,7 @@ ENTRIES = {
     "p7_rejected_requests": (p7, f"{POS} select mmsi, seq, case when seq % 19 = 0 then 'lat' when seq % 23 = 0 then 'sog' else 'domain' end as reason from positions where seq % 19 = 0 or seq % 23 = 0 or seq % 29 = 0"),
     "d1_prisms": (lambda s, d: pick(d1(s, d), "mmsi", "seq", "distance_m", "duration_s", "feasible", "semi_major_m", F.round("semi_minor_m", 2).alias("semi_minor_m"), "reject_reason"),
         f"{POS}, led as (select *, lead(t_s) over w as e_t, lead(lat) over w as e_lat, lead(lon) over w as e_lon from positions window w as (partition by mmsi order by t_s, seq)), q as (select mmsi, seq, {hav('lat', 'lon', 'e_lat', 'e_lon')} as dist, (e_t - t_s) * 1.0e0 as dur from led where e_t is not null) select mmsi, seq, round(dist, 5) as distance_m, dur as duration_s, dist - 1e-6 <= {CAP} * dur as feasible, round(case when dist - 1e-6 <= {CAP} * dur then {CAP} * dur / 2 else dist / 2 end, 5) as semi_major_m, round(case when dist - 1e-6 <= {CAP} * dur then sqrt(greatest(0.0e0, power({CAP} * dur, 2) - dist * dist)) / 2 else 0.0e0 end, 2) as semi_minor_m, case when dur <= 0 then 'duration' end as reject_reason from q"),
-    "d2_footprint_boxes": (lambda s, d: rounded(gap_prisms(s, d).select("prism_id", "x0", "x1", "y0", "y1", F.size("ring").alias("n_points")), 6), None),
+    "d2_footprint_boxes": (lambda s, d: rounded(gap_prisms(s, d).select("prism_id", "x0", "x1", "y0", "y1", F.size("ring").alias("n_points"), F.size("parts").alias("n_parts")), 6), D2_SQL),
     "d3_ellipse_at": (lambda s, d: pick(prisms.ellipse_at(d1(s, d).where("duration_s > 0").withColumn("mid", F.timestamp_seconds((F.unix_seconds("a.t") + F.unix_seconds("b.t")) / 2)), "mid"), "mmsi", "seq", F.col("at_semi_major_m").alias("semi_major_m")),
         f"{POS}, led as (select *, lead(t_s) over w as e_t, lead(lat) over w as e_lat, lead(lon) over w as e_lon from positions window w as (partition by mmsi order by t_s, seq)), q as (select mmsi, seq, {hav('lat', 'lon', 'e_lat', 'e_lon')} as dist, (e_t - t_s) * 1.0e0 as dur from led where e_t > t_s) select mmsi, seq, round(case when dist - 1e-6 <= {CAP} * dur then {CAP} * dur / 2 else dist / 2 end, 5) as semi_major_m from q"),
     "d4_gap_candidates": (lambda s, d: pick(detect.gap_candidates(pos(s, d)), "mmsi", "seq", "duration_s", "distance_m"), f"{POS}, {GAPS} select mmsi, seq, duration_s * 1.0e0 as duration_s, round(distance_m, 5) as distance_m from gaps"),
