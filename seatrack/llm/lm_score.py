@@ -40,15 +40,9 @@ def _events(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return doc, one, two, word
 
 
-def _sliced(hashes: np.ndarray, n_parts: int) -> np.ndarray:
-    """Keys part * 2**32 + rest of 64-bit hashes, in their place: an event is named by its part and 32 bits in it, and parts grow in number with the table."""
-    high = hashes >> np.uint64(32)
-    high *= np.uint64(n_parts)
-    high >>= np.uint64(32)
-    high <<= np.uint64(32)
-    hashes &= np.uint64(0xFFFFFFFF)
-    hashes |= high
-    return hashes
+def _part_of(keys: np.ndarray, n_parts: int) -> np.ndarray:
+    """The part of each 64-bit key: n_parts ranges of equal width, in the order of the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32)
 
 
 def _is_target(docs: pd.DataFrame, told: pd.DataFrame) -> np.ndarray:
@@ -71,17 +65,17 @@ def _count(n_parts: int):
         doc, one, two, _ = _events(docs.text)
         target, follows = _is_target(docs, told)[doc], two != _TOTAL
         # unigrams and bigrams have keys of their own
-        singles = _tallied(_sliced(one, n_parts), target)
-        pairs = _tallied(_sliced(two[follows], n_parts), target[follows])
+        singles = _tallied(one, target)
+        pairs = _tallied(two[follows], target[follows])
         all_events = np.array([_TOTAL]), np.array([len(doc)]), np.array([target.sum()])
         del one, two, doc
         keys, own, of_target = (np.concatenate(x) for x in zip(all_events, singles, pairs, strict=True))
         order = np.argsort(keys, kind="stable")
         keys, own, of_target = keys[order], own[order], of_target[order]
-        part = (keys >> np.uint64(32)).astype(np.int32)
+        part = _part_of(keys, n_parts)
         first = np.flatnonzero(np.diff(part, prepend=-1))
-        split = lambda x: np.split(x.astype(np.uint32).view(np.int32), first[1:])
-        return pd.DataFrame({"block": docs.block.iloc[0], "part": part[first], "keys": split(keys), "own": split(own), "of_target": split(of_target)})
+        split = lambda x: np.split(x, first[1:])
+        return pd.DataFrame({"block": docs.block.iloc[0], "part": part[first], "keys": split(keys.view(np.int64)), "own": split(own.astype(np.int32)), "of_target": split(of_target.astype(np.int32))})
 
     return run
 
@@ -89,7 +83,7 @@ def _count(n_parts: int):
 def _totals(rows: pd.DataFrame) -> pd.DataFrame:
     """Of the events of a part that several blocks have: their totals, for each block that has them."""
     n = np.fromiter(map(len, rows["keys"]), dtype=np.int64, count=len(rows))
-    keys, place = np.unique(np.concatenate([np.asarray(k, dtype=np.int32) for k in rows["keys"]]), return_inverse=True)
+    keys, place = np.unique(np.concatenate([np.asarray(k, dtype=np.int64) for k in rows["keys"]]), return_inverse=True)
     several = np.bincount(place, minlength=len(keys)) > 1
     background, target = (np.bincount(place, weights=np.concatenate(list(rows[c])), minlength=len(keys)).astype(np.int64) for c in ("own", "of_target"))
     place = place[told := several[place]]
@@ -109,22 +103,13 @@ def _own_counts(doc: np.ndarray, place: np.ndarray, n_events: np.ndarray, n_keys
     return own
 
 
-def _losses(n_parts: int):
+def _losses(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     """n_tokens and both losses of a block's documents. told: the target documents, and totals of the events that other blocks have too."""
-
-    def run(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        return _block_losses(docs, told, n_parts)
-
-    return run
-
-
-def _block_losses(docs: pd.DataFrame, told: pd.DataFrame, n_parts: int) -> pd.DataFrame:
     if not len(docs):
         return pd.DataFrame({"id": docs.id, "nameless": docs.nameless, "n_tokens": [], "loss_target": [], "loss_background": []})
     is_target = _is_target(docs, told[told["keys"].isna()])
     told = told[told["keys"].notna()]
-    known = [np.asarray(k, dtype=np.int32).view(np.uint32).astype(np.uint64) | (np.uint64(p) << np.uint64(32)) for k, p in zip(told["keys"], told.part, strict=True)]
-    known = np.concatenate([np.zeros(0, dtype=np.uint64), *known])
+    known = np.concatenate([np.zeros(0, dtype=np.int64), *told["keys"]]).astype(np.int64).view(np.uint64)
     totals = [np.concatenate([np.zeros(0, dtype=np.int64), *told[c]]).astype(np.int64) for c in ("background", "target")]
     del told
     doc, one, two, word = _events(docs.text)
@@ -135,7 +120,7 @@ def _block_losses(docs: pd.DataFrame, told: pd.DataFrame, n_parts: int) -> pd.Da
 
     def others(events: np.ndarray) -> list[np.ndarray]:
         """For both models: how often documents other than its own have each event."""
-        keys, place = np.unique(_sliced(events, n_parts), return_inverse=True)
+        keys, place = np.unique(events, return_inverse=True)
         place = place.astype(np.int32)
         own = _own_counts(doc, place, n, len(keys))
         where = np.minimum(np.searchsorted(keys, known), max(len(keys) - 1, 0))
@@ -175,7 +160,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     counts meet by event, and only events that other blocks have too return,
     with their totals, to the blocks that hold them. So neither a model nor a
     task grows with the table, and each text is shuffled once. Events are named
-    by their part and 32 bits; of a hundred thousand, few share a name.
+    by 64-bit hashes.
 
     A low score is closer to the target than to the background. Null texts and
     texts without a word have 0 tokens and null losses and score. Rows that
@@ -194,11 +179,11 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     good = target_ids.select(F.col(id_col).cast(kind).alias("id")).where("id is not null").distinct()
     good = good.select(block, *named)
     n_parts = min(4 * n_blocks + 4, 1 << 20)
-    counted = d.groupBy("block").cogroup(good.groupBy("block")).applyInPandas(_count(n_parts), "block long, part int, keys array<int>, own array<int>, of_target array<int>")
-    told = counted.groupBy("part").applyInPandas(_totals, "block long, part int, keys array<int>, background array<long>, target array<long>")
+    counted = d.groupBy("block").cogroup(good.groupBy("block")).applyInPandas(_count(n_parts), "block long, part int, keys array<long>, own array<int>, of_target array<int>")
+    told = counted.groupBy("part").applyInPandas(_totals, "block long, part int, keys array<long>, background array<long>, target array<long>")
     told = told.select("*", *[F.lit(0).cast("long").alias(h) for h in ("h1", "h2")])
     told = told.unionByName(good.select("*", F.lit(0).alias("part")), allowMissingColumns=True)
-    found = d.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_losses(n_parts), f"id {kind}, nameless boolean, n_tokens long, loss_target double, loss_background double")
+    found = d.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_losses, f"id {kind}, nameless boolean, n_tokens long, loss_target double, loss_background double")
     told = found.select(F.when(~F.col("nameless"), F.col("id")).alias(id_col), "n_tokens", *[F.when(F.col("n_tokens") > 0, F.col(c)).alias(c) for c in ("loss_target", "loss_background")])
     return told.withColumn("score", F.col("loss_target") - F.col("loss_background"))
 
