@@ -137,11 +137,16 @@ def _losses(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     singles, pairs = others(one), others(two)
     del one, two
     out = {"id": docs.id.to_numpy(), "nameless": docs.nameless.to_numpy(), "n_tokens": words}
-    for name, of, uni, bi, told in zip(("background", "target"), members, singles, pairs, totals, strict=True):
-        total = told[known == _TOTAL]
-        total = total[0] if len(total) else n[of].sum()
-        p = (uni + UNSEEN / VOCABULARY) / (total - (n * of)[doc] + UNSEEN)
-        p[follows] = (bi[follows] + PRIOR * p[follows]) / (uni[follows - 1] + PRIOR)
+    sizes = []
+    for of, told in zip(members, totals, strict=True):
+        whole = told[known == _TOTAL]
+        sizes.append((whole[0] if len(whole) else n[of].sum()) - n * of)
+    # the larger model's counts shrink to the size of the smaller one's
+    share = np.divide(sizes[1], sizes[0], out=np.ones(len(docs)), where=sizes[0] > 0)
+    for name, scale, uni, bi, size in zip(("background", "target"), (share, np.ones(len(docs))), singles, pairs, sizes, strict=True):
+        scale, size = scale[doc], (size * scale)[doc]
+        p = (uni * scale + UNSEEN / VOCABULARY) / (size + UNSEEN)
+        p[follows] = (bi[follows] * scale[follows] + PRIOR * p[follows]) / (uni[follows - 1] * scale[follows] + PRIOR)
         loss = np.bincount(doc[word], weights=-np.log2(p[word]), minlength=len(docs))
         out[f"loss_{name}"] = np.divide(loss, words, out=np.full(len(docs), np.nan), where=words > 0)
     return pd.DataFrame(out)
@@ -154,7 +159,10 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     background model all documents. Both are interpolated bigram models over
     one vocabulary, with an event that ends each document, and sum to 1 after
     every word. Every word and bigram is counted, however rare, and a document
-    is scored without its own counts (a copy of it still counts).
+    is scored without its own counts (a copy of it still counts). The models
+    are matched in size: the background's counts are multiplied by target
+    events / background events, so both outweigh the shared prior alike, as
+    with a background sample of the target's size, but without its chance.
 
     Documents are dealt to blocks of bounded size. A block counts its events;
     counts meet by event, and only events that other blocks have too return,
@@ -165,7 +173,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     A low score is closer to the target than to the background. Null texts and
     texts without a word have 0 tokens and null losses and score. Rows that
     repeat get equal results; null ids stay null and are never targets. Without
-    a target its model knows no word. Extra columns are ignored; an empty table
+    a target neither model knows a word, and scores are 0. Extra columns are ignored; an empty table
     gives none.
     """
     kind = docs.schema[id_col].dataType.simpleString()

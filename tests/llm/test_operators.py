@@ -511,9 +511,12 @@ def brute_losses(data, targets):
     out = []
     for k, seq in enumerate(seqs):
         losses = []
-        for keep in (lambda i: data[i][0] in targets, lambda i: True):
-            rest = [s for i, s in enumerate(seqs) if i != k and keep(i)]
+        for background in (False, True):
+            rest = [s for i, s in enumerate(seqs) if i != k and (background or data[i][0] in targets)]
             one, two = Counter(w for s in rest for w in s), Counter(p for s in rest for p in zip(s, s[1:], strict=False))
+            share = min(1.0, sum(len(s) for i, s in enumerate(seqs) if i != k and data[i][0] in targets) / max(sum(one.values()), 1))
+            if background:  # its counts shrink to the target's size
+                one, two = Counter({w: c * share for w, c in one.items()}), Counter({w: c * share for w, c in two.items()})
             total, loss = sum(one.values()), 0.0
             p_one = lambda w: (one[w] + lm_score.UNSEEN / lm_score.VOCABULARY) / (total + lm_score.UNSEEN)  # noqa: B023, E731
             for i, w in enumerate(seq[:-1]):
@@ -546,6 +549,7 @@ def test_lm_score(spark, docs, none):
     assert {r.doc_id: r.score for r in got}[500] is None
     assert lm_score.cross_entropy_difference(none, ids).count() == 0
     odd = lm_score.cross_entropy_difference(docs, ids.limit(0)).collect()
+    assert {r.score for r in odd} == {0.0, None}  # without a target
     assert len(odd) == len(rows()) and {r.n_tokens for r in odd if r.doc_id == 8} == {30000} and len({tuple(r) for r in odd if r.doc_id == 5}) == 1
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r.doc_id for r in lm_score.good_documents(labels).collect()} == {1, None}
