@@ -45,6 +45,20 @@ def _part_of(keys: np.ndarray, n_parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers of at least 0, their lowest bytes first, then the next ones; bytes that are 0 in all are left out."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    used = np.flatnonzero(planes.any(axis=1))
+    return planes[: used[-1] + 1 if len(used) else 1].tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(-1, n)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
 def _is_target(docs: pd.DataFrame, told: pd.DataFrame) -> np.ndarray:
     named = set(zip(told.h1.tolist(), told.h2.tolist(), strict=True))
     return np.fromiter((x in named for x in zip(docs.h1.tolist(), docs.h2.tolist(), strict=True)), dtype=bool, count=len(docs))
@@ -56,15 +70,19 @@ def _tallied(keys: np.ndarray, *groups: np.ndarray) -> list[np.ndarray]:
     return [keys, np.bincount(place, minlength=len(keys)), *[np.bincount(place[g], minlength=len(keys)) for g in groups]]
 
 
+def _all_keys(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Distinct keys of a block in order; unigrams and bigrams have keys of their own, and _TOTAL comes first."""
+    return np.unique(np.concatenate((np.array([_TOTAL]), np.unique(one), np.unique(two))))
+
+
 def _count(n_parts: int):
-    """Counts of a block's events over all its documents and over its target documents, an array for each part of the keys that has any; key 0 has all events."""
+    """Counts of a block's events over all its documents and over its target documents, packed, a row for each part of the keys that has any; key 0 has all events. Keys are told by the steps between them."""
 
     def run(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
-            return pd.DataFrame(columns=["block", "part", "keys", "own", "of_target"], dtype=object)
+            return pd.DataFrame(columns=["block", "part", "n", "steps", "own", "of_target"], dtype=object)
         doc, one, two, _ = _events(docs.text)
         target, follows = _is_target(docs, told)[doc], two != _TOTAL
-        # unigrams and bigrams have keys of their own
         singles = _tallied(one, target)
         pairs = _tallied(two[follows], target[follows])
         all_events = np.array([_TOTAL]), np.array([len(doc)]), np.array([target.sum()])
@@ -75,22 +93,23 @@ def _count(n_parts: int):
         part = _part_of(keys, n_parts)
         first = np.flatnonzero(np.diff(part, prepend=-1))
         split = lambda x: np.split(x, first[1:])
-        return pd.DataFrame({"block": docs.block.iloc[0], "part": part[first], "keys": split(keys.view(np.int64)), "own": split(own.astype(np.int32)), "of_target": split(of_target.astype(np.int32))})
+        steps = [_packed(np.diff(k, prepend=_TOTAL)) for k in split(keys)]
+        return pd.DataFrame({"block": docs.block.iloc[0], "part": part[first], "n": np.diff(first, append=len(keys)), "steps": steps, "own": [_packed(x) for x in split(own)], "of_target": [_packed(x) for x in split(of_target)]})
 
     return run
 
 
 def _totals(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of the events of a part that several blocks have: their totals, for each block that has them."""
-    n = np.fromiter(map(len, rows["keys"]), dtype=np.int64, count=len(rows))
-    keys, place = np.unique(np.concatenate([np.asarray(k, dtype=np.int64) for k in rows["keys"]]), return_inverse=True)
-    several = np.bincount(place, minlength=len(keys)) > 1
-    background, target = (np.bincount(place, weights=np.concatenate(list(rows[c])), minlength=len(keys)).astype(np.int64) for c in ("own", "of_target"))
-    place = place[told := several[place]]
-    cut = np.cumsum(np.add.reduceat(told, np.cumsum(n) - n, dtype=np.int64))[:-1]
-    split = lambda x: np.split(x[place], cut)
-    out = pd.DataFrame({"block": rows.block, "part": rows.part, "keys": split(keys), "background": split(background), "target": split(target)})
-    return out[out["keys"].map(len) > 0]
+    """Totals of the events of a part, for each block in the order of its keys."""
+    keys = [np.cumsum(_unpacked(k, n), dtype=np.uint64) for k, n in zip(rows.steps, rows.n, strict=True)]
+    keys, place = np.unique(np.concatenate(keys), return_inverse=True)
+    cut = np.cumsum(rows.n.to_numpy())[:-1]
+    out = {"block": rows.block, "part": rows.part, "n": rows.n}
+    for name, c in (("background", "own"), ("target", "of_target")):
+        counts = np.concatenate([_unpacked(x, n) for x, n in zip(rows[c], rows.n, strict=True)])
+        total = np.bincount(place, weights=counts, minlength=len(keys)).astype(np.int64)
+        out[name] = [_packed(x) for x in np.split(total[place], cut)]
+    return pd.DataFrame(out)
 
 
 def _own_counts(doc: np.ndarray, place: np.ndarray, n_events: np.ndarray, n_keys: int) -> np.ndarray:
@@ -104,43 +123,35 @@ def _own_counts(doc: np.ndarray, place: np.ndarray, n_events: np.ndarray, n_keys
 
 
 def _losses(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-    """n_tokens and both losses of a block's documents. told: the target documents, and totals of the events that other blocks have too."""
+    """n_tokens and both losses of a block's documents. told: the target documents, and totals of the block's events in the order of its keys."""
     if not len(docs):
         return pd.DataFrame({"id": docs.id, "nameless": docs.nameless, "n_tokens": [], "loss_target": [], "loss_background": []})
-    is_target = _is_target(docs, told[told["keys"].isna()])
-    told = told[told["keys"].notna()]
-    known = np.concatenate([np.zeros(0, dtype=np.int64), *told["keys"]]).astype(np.int64).view(np.uint64)
-    totals = [np.concatenate([np.zeros(0, dtype=np.int64), *told[c]]).astype(np.int64) for c in ("background", "target")]
+    is_target = _is_target(docs, told[told.n.isna()])
+    told = told[told.n.notna()].sort_values("part")
+    totals = [np.concatenate([_unpacked(x, int(n)) for x, n in zip(told[c], told.n, strict=True)]).astype(np.int64) for c in ("background", "target")]
     del told
     doc, one, two, word = _events(docs.text)
     follows = np.flatnonzero(two != _TOTAL)
     n = np.bincount(doc, minlength=len(docs))  # events of each document, its end too
     words = np.maximum(n - 1, 0)
-    members = np.ones(len(docs), dtype=bool), is_target
+    members, known = (np.ones(len(docs), dtype=bool), is_target), _all_keys(one, two)
+    if len(known) != len(totals[0]):
+        raise ValueError("the block's documents differ from those that were counted")
 
     def others(events: np.ndarray) -> list[np.ndarray]:
         """For both models: how often documents other than its own have each event."""
         keys, place = np.unique(events, return_inverse=True)
         place = place.astype(np.int32)
         own = _own_counts(doc, place, n, len(keys))
-        where = np.minimum(np.searchsorted(keys, known), max(len(keys) - 1, 0))
-        there = keys[where] == known if len(keys) else np.zeros(len(known), dtype=bool)
-        left = []
-        for of, total in zip(members, totals, strict=True):
-            held = of[doc]
-            counts = np.bincount(place[held], minlength=len(keys))
-            counts[where[there]] = total[there]
-            left.append(counts[place])
-            left[-1] -= own * held
-        return left
+        where = np.searchsorted(known, keys)
+        return [total[where][place] - own * of[doc] for of, total in zip(members, totals, strict=True)]
 
     singles, pairs = others(one), others(two)
     del one, two
     out = {"id": docs.id.to_numpy(), "nameless": docs.nameless.to_numpy(), "n_tokens": words}
     sizes = []
-    for of, told in zip(members, totals, strict=True):
-        whole = told[known == _TOTAL]
-        sizes.append((whole[0] if len(whole) else n[of].sum()) - n * of)
+    for of, total in zip(members, totals, strict=True):
+        sizes.append(total[0] - n * of)
     # the larger model's counts shrink to the size of the smaller one's
     share = np.divide(sizes[1], sizes[0], out=np.ones(len(docs)), where=sizes[0] > 0)
     for name, scale, uni, bi, size in zip(("background", "target"), (share, np.ones(len(docs))), singles, pairs, sizes, strict=True):
@@ -165,8 +176,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     with a background sample of the target's size, but without its chance.
 
     Documents are dealt to blocks of bounded size. A block counts its events;
-    counts meet by event, and only events that other blocks have too return,
-    with their totals, to the blocks that hold them. So neither a model nor a
+    counts meet by event, and the totals of its events return to each block in
+    the order in which it sent them. So neither a model nor a
     task grows with the table, and each text is shuffled once. Events are named
     by 64-bit hashes.
 
@@ -187,8 +198,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     good = target_ids.select(F.col(id_col).cast(kind).alias("id")).where("id is not null").distinct()
     good = good.select(block, *named)
     n_parts = min(4 * n_blocks + 4, 1 << 20)
-    counted = d.groupBy("block").cogroup(good.groupBy("block")).applyInPandas(_count(n_parts), "block long, part int, keys array<long>, own array<int>, of_target array<int>")
-    told = counted.groupBy("part").applyInPandas(_totals, "block long, part int, keys array<long>, background array<long>, target array<long>")
+    counted = d.groupBy("block").cogroup(good.groupBy("block")).applyInPandas(_count(n_parts), "block long, part int, n int, steps binary, own binary, of_target binary")
+    told = counted.groupBy("part").applyInPandas(_totals, "block long, part int, n int, background binary, target binary")
     told = told.select("*", *[F.lit(0).cast("long").alias(h) for h in ("h1", "h2")])
     told = told.unionByName(good.select("*", F.lit(0).alias("part")), allowMissingColumns=True)
     found = d.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_losses, f"id {kind}, nameless boolean, n_tokens long, loss_target double, loss_background double")
