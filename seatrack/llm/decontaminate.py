@@ -99,5 +99,11 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns, that hold no benchmark window."""
+    """The rows of docs, all columns, that hold no benchmark window.
+
+    Null and empty texts hold none and stay; long texts are read whole. Rows
+    that repeat stay or go together, those without an id by their own text.
+    Columns of any name come back as they were. Without benchmark items all
+    rows stay; an empty table gives none.
+    """
     return contamination(docs, benchmark, window, carry=True).where("n_hit = 0").select("carried.*")

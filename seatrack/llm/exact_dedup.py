@@ -69,5 +69,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those whose text an earlier-ranked row repeats."""
+    """The rows of docs, all columns: of those with equal texts, the one with the largest id.
+
+    Null counts as the empty text, so one of all null and empty texts stays.
+    Of rows that repeat id and text, or that all lack an id, one stays; a null
+    id is below all others. Columns of any name come back as they were. An
+    empty table gives none.
+    """
     return exact_groups(docs, id_col, text_col, carry=True).where("kept").select("carried.*")

@@ -149,6 +149,12 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, id_col: str =
 
 
 def keep_identified(docs: DataFrame, filters: LanguageFilters, min_score: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, whose language was found with at least `min_score`."""
+    """The rows of docs, all columns, whose language was found with at least `min_score`.
+
+    Null and empty texts, and texts without a letter, have no language and go,
+    however long texts are read whole. Rows that repeat stay or go together;
+    a null id changes nothing. Columns of any name come back as they were. An
+    empty table, or filters without a language, give none.
+    """
     found = identify_languages(docs, filters, carry=True)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("carried.*")

@@ -581,6 +581,35 @@ def test_set_hashes_agree_with_sets():
     assert jaccard(shingles(word_hashes(x)), shingles(word_hashes(y))) == pytest.approx(len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
 
 
+def test_stages_on_empty_and_odd_tables(spark, docs, none, bench):
+    filters = language.fit_languages(docs)
+    assert language.keep_identified(none, filters).collect() == [] and language.keep_identified(docs, language.fit_languages(none)).collect() == []
+    assert exact_dedup.drop_exact_copies(none).collect() == [] and decontaminate.drop_contaminated(none, bench).collect() == []
+    assert substring_dedup.remove_passages(none).collect() == []
+    told = lambda frame: Counter(tuple(r) for r in frame.collect())
+    data = Counter(rows())
+    assert told(decontaminate.drop_contaminated(docs, bench.limit(0))) == data
+    clean = told(decontaminate.drop_contaminated(docs, bench))
+    assert clean == Counter({r: n for r, n in data.items() if r[0] not in (8, 12)})  # item 4 is from document 12
+    kept = told(language.keep_identified(docs, filters))
+    assert not {1, 2, 3, 4} & {r[0] for r in kept} and all(data[r] == n for r, n in kept.items()) and any(r[0] is None for r in kept) and 8 in {r[0] for r in kept}
+    best = {}
+    for r in rows():
+        best[az(r[1])] = max(best.get(az(r[1]), (-1,)), (-1 if r[0] is None else r[0],))
+    left = exact_dedup.drop_exact_copies(docs).collect()
+    assert Counter((az(r.text), -1 if r.doc_id is None else r.doc_id) for r in left) == Counter((t, i) for t, (i,) in best.items())
+    assert left[0].asDict().keys() == set(docs.columns) and all(data[tuple(r)] for r in left)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], kind).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
