@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import WORD_BYTES, hashes_of, minhashes_of, portions, saved, shingles_of
-from .near import similar_classes
+from .near import links_within_classes, similar_classes
 
 THRESHOLD = 0.8
 TREES = 12
@@ -34,8 +34,8 @@ def _signatures(trees: int, depth: int):
     return sign
 
 
-def _signed_and_classes(d: DataFrame, threshold: float, trees: int, depth: int, recall: float) -> tuple[DataFrame, DataFrame]:
-    """From d(id, text, ...): its rows with row, key and signature, and for each distinct text its class."""
+def _signed_and_classes(d: DataFrame, threshold: float, trees: int, depth: int, recall: float, counted: bool) -> tuple[DataFrame, DataFrame]:
+    """From d(id, text, ...): its rows with row, key and signature, and for each distinct text its class, and its links if they are `counted`."""
     signed = d.withColumn("row", F.monotonically_increasing_id()).withColumn("s", _signatures(trees, depth)("text"))
     signed = saved(signed.select(*d.columns, "row", "s.key", "s.signature"))
     copies = signed.where("key is not null").groupBy("key").agg(
@@ -46,11 +46,12 @@ def _signed_and_classes(d: DataFrame, threshold: float, trees: int, depth: int,
     def texts_of(named: DataFrame) -> DataFrame:
         return signed.select(F.col("row").alias("node"), "text").join(named, "node")
 
-    roots, n_links = similar_classes(copies, texts_of, trees, depth, recall, threshold)
-    classes = (
-        copies.drop("signature").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        .join(n_links.withColumnRenamed("n", "n_links"), "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
-    )
+    roots, held = similar_classes(copies, texts_of, trees, depth, recall, threshold)
+    classes = copies.drop("signature").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if counted:
+        classes = classes.join(links_within_classes(roots, held, threshold), "node", "left")
+    n_links = F.coalesce("n", F.lit(0).cast("long")) if counted else F.lit(None).cast("long")
+    classes = classes.withColumn("n_links", n_links)
     heads = classes.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.min(F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "node")).alias("best"))
     return signed, classes.join(heads, "root").select("key", "class_id", "copy_id", "n_copies", "n_links", F.col("best.node").alias("kept_row"))
 
@@ -70,12 +71,13 @@ def similar_documents(
     least id, n_copies their number, and they enter the forest once. In every
     tree, rows that share a prefix of their signature meet, the full prefix
     first and then ever shorter ones until the recall told from the links found
-    reaches the target (never deeper than where a pair at the threshold meets
-    with 0.95). Links are verified by exact Jaccard and joined to classes, and
-    all pairs of one run whose classes still differ are compared, block by
-    block. class_id is the least id of its component and `kept` marks one row
-    of each class. n_links counts the links that were verified for a text: at
-    least one for each text of a class of several, not every pair inside one.
+    reaches the target. Links are verified by exact Jaccard and joined to
+    classes, and all pairs whose classes still differ are compared, block by
+    block, in the runs of 24 prefixes and further pieces of four values each:
+    a pair at the threshold shares one of them with 0.99999. class_id is the
+    least id of its component and `kept` marks one row of each class. n_links
+    is the number of other texts that the text is linked to, with all pairs
+    inside a class compared.
 
     Words and shingles follow op9's word rule; a text of fewer than five words
     is one shingle. Texts without a word (null, empty) are like nothing: each
@@ -85,7 +87,7 @@ def similar_documents(
     columns are ignored; an empty table gives none.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed, classes = _signed_and_classes(d, threshold, trees, depth, recall)
+    signed, classes = _signed_and_classes(d, threshold, trees, depth, recall, True)
     told = classes.withColumnRenamed("key", "told")
     return signed.select("row", "id", "key").join(told, F.col("key") == F.col("told"), "left").select(
         F.col("id").alias(id_col),
@@ -104,7 +106,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null ids come last when the least id stays. An empty table gives none.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("carried"))
-    signed, classes = _signed_and_classes(d, THRESHOLD, TREES, DEPTH, TARGET_RECALL)
+    signed, classes = _signed_and_classes(d, THRESHOLD, TREES, DEPTH, TARGET_RECALL, False)
     lost = signed.select("row", "key").join(classes, "key").where("row <> kept_row").select(F.col("row").alias("lost_row"))
     stay = signed.join(lost, F.col("row") == F.col("lost_row"), "left_anti")
     return stay.select(*[F.col("text").alias(c) if c == text_col else F.col(f"carried.`{c}`") for c in docs.columns])

@@ -15,7 +15,7 @@ from .base import jaccard, mixed, saved, shingles, word_hashes
 BLOCK = 512
 #: Runs of at most SMALL rows are not cut into blocks, and many of them share a task.
 SMALL = 16
-#: A pair at the threshold meets with at least this probability, however few such links the data show.
+#: A pair at the threshold meets a pivot's run with at least this probability, however few such links the data show.
 LEAST_RECALL = 0.95
 
 
@@ -31,16 +31,22 @@ def matched_depth(threshold: float, trees: int, depth: int, recall: float) -> in
     return depth
 
 
-def _run(trees: int, depth: int, at: int) -> Column:
-    """Exploded (tree, run): a hash of the first `at` of the `depth` values that the signature has for each tree."""
-    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-        t.alias("tree"), F.xxhash64(t, F.substring(F.col("signature"), t * (depth * 4) + 1, F.lit(at * 4))).alias("run")
+def _runs(depth: int, at: int) -> int:
+    """Pieces of `at` values that each tree's values hold, the first being the prefix."""
+    return depth // at
+
+
+def _run(trees: int, depth: int, at: int, runs: int = 1) -> Column:
+    """Exploded (tree, run): a hash of each of the `runs` first pieces, of `at` values, of the `depth` values that the signature has for each tree."""
+    first = lambda t: F.floor(t / runs).cast("int") * (depth * 4) + F.pmod(t, F.lit(runs)) * (at * 4) + 1
+    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees * runs - 1)), lambda t: F.struct(
+        t.alias("tree"), F.xxhash64(t, F.substring(F.col("signature"), first(t), F.lit(at * 4))).alias("run")
     )))
 
 
 def in_company(nodes: DataFrame, trees: int, depth: int, at: int) -> DataFrame:
-    """Nodes that share a prefix of `at` values with another one in some tree."""
-    legs = nodes.select("node", _run(trees, depth, at).alias("leg")).select("node", "leg.run")
+    """Nodes that share a piece of `at` values with another one in some tree."""
+    legs = nodes.select("node", _run(trees, depth, at, _runs(depth, at)).alias("leg")).select("node", "leg.run")
     several = legs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run")
     return legs.join(several, "run").select("node").distinct()
 
@@ -136,106 +142,145 @@ def _forest(linked: np.ndarray) -> tuple[list[int], list[int]]:
     return tops, ends
 
 
-def _cell_links(trees: int, at: int, threshold: float, kind: str) -> Callable:
-    """Of the cells of a group: edges (a, b) that join the linked rows, and (a, n) the links of a row that no earlier tree shows.
+def _cell_links(cell: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows x and y of a cell, and which of x has an exact Jaccard of `threshold` or more to which other row of y."""
+    side = cell.side.to_numpy()
+    within = cell.kind.iloc[0] != "main" and cell.i.iloc[0] == cell.j.iloc[0]
+    x = np.arange(len(cell)) if within else np.flatnonzero(side == 0)
+    y = x if within else np.flatnonzero(side == 1)
+    if not len(x) or not len(y):
+        return x, y, np.zeros((len(x), len(y)), dtype=bool)
+    sets = [shingles(word_hashes(t)) for t in cell.text]
+    size = np.array([len(s) for s in sets], dtype=np.float64)
+    both = _shared(sets, x, y)
+    return x, y, (both / (size[x][:, None] + size[y][None, :] - both) >= threshold) & (x[:, None] != y[None, :])
 
-    Every pair of rows in different classes is compared, by its exact Jaccard.
-    """
+
+def _edges_of(threshold: float, kind: str) -> Callable:
+    """Edges (a, b) that join the rows of each cell that are linked across classes: a spanning forest of them."""
     dtype = "int64" if kind == "bigint" else object
 
-    def one(cell: pd.DataFrame) -> tuple[list, list, list, list]:
-        group, _ = pd.factorize(cell.cls)
-        nodes, side = cell.node.to_numpy(dtype=object), cell.side.to_numpy()
-        within = cell.kind.iloc[0] != "main" and cell.i.iloc[0] == cell.j.iloc[0]
-        x = np.arange(len(cell)) if within else np.flatnonzero(side == 0)
-        y = x if within else np.flatnonzero(side == 1)
-        if not len(x) or not len(y):
-            return [], [], [], []
-        sets = [shingles(word_hashes(t)) for t in cell.text]
-        size = np.array([len(s) for s in sets], dtype=np.float64)
-        both = _shared(sets, x, y)
-        asked = (both / (size[x][:, None] + size[y][None, :] - both) >= threshold) & (group[x][:, None] != group[y][None, :])
-        i, j = np.nonzero(np.triu(asked) if within else asked)
-        if not len(i):
-            return [], [], [], []
-        i, j = x[i], y[j]
-        linked = np.zeros((len(cell), len(cell)), dtype=bool)
-        linked[i, j] = linked[j, i] = True
-        tops, ends = _forest(linked)
-        signs = np.frombuffer(b"".join(map(bytes, cell.signature)), dtype=">u4").astype(np.uint64).reshape(len(cell), trees, -1)
-        keys = np.zeros((len(cell), trees), dtype=np.uint64)
-        for k in range(at):
-            keys = mixed(keys + signs[:, :, k] + np.uint64(1))
-        first = np.concatenate([(keys[i[p : p + 65536]] == keys[j[p : p + 65536]]).argmax(axis=1) for p in range(0, len(i), 65536)])
-        own = first == cell.tree.iloc[0]
-        count = np.bincount(np.concatenate((i[own], j[own])), minlength=len(cell))
-        some = np.flatnonzero(count)
-        return nodes[tops].tolist(), nodes[ends].tolist(), nodes[some].tolist(), count[some].tolist()
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, cell in group.groupby(["run", "kind", "i", "j"], sort=False):
+            nodes, (classes, _) = cell.node.to_numpy(dtype=object), pd.factorize(cell.cls)
+            x, y, asked = _cell_links(cell, threshold)
+            linked = np.zeros((len(cell), len(cell)), dtype=bool)
+            i, j = np.nonzero(asked & (classes[x][:, None] != classes[y][None, :]))
+            linked[x[i], y[j]] = linked[y[j], x[i]] = True
+            tops, ends = _forest(linked)
+            a += nodes[tops].tolist()
+            b += nodes[ends].tolist()
+        return pd.DataFrame({"a": pd.Series(a, dtype=dtype), "b": pd.Series(b, dtype=dtype)})
+
+    return run
+
+
+def _counts_of(threshold: float, kind: str) -> Callable:
+    """(node, n): the links of each row that its cells show."""
+    dtype = "int64" if kind == "bigint" else object
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = [one(cell) for _, cell in group.groupby(["run", "kind", "i", "j"], sort=False)]
-        a, b, nodes, n = (sum((f[k] for f in found), []) for k in range(4))
-        edges = pd.DataFrame({"a": pd.Series(a, dtype=dtype), "b": pd.Series(b, dtype=object), "n": 0})
-        counts = pd.DataFrame({"a": pd.Series(nodes, dtype=dtype), "b": pd.Series([None] * len(nodes), dtype=object), "n": pd.Series(n, dtype="int64")})
-        return pd.concat((edges, counts))
+        found, n = [], []
+        for _, cell in group.groupby(["run", "kind", "i", "j"], sort=False):
+            x, y, linked = _cell_links(cell, threshold)
+            count = np.bincount(x, weights=linked.sum(axis=1), minlength=len(cell))
+            if cell.i.iloc[0] != cell.j.iloc[0]:
+                count += np.bincount(y, weights=linked.sum(axis=0), minlength=len(cell))
+            found += cell.node.to_numpy(dtype=object).tolist()
+            n += count.astype(np.int64).tolist()
+        return pd.DataFrame({"node": pd.Series(found, dtype=dtype), "n": pd.Series(n, dtype="int64")})
 
     return run
 
 
-def links_across_classes(classes: DataFrame, held: DataFrame, trees: int, depth: int, at: int, threshold: float) -> DataFrame:
-    """(a, b, n): edges a, b that join rows linked across classes, and for a row `a` without b, n of its links across classes.
+def _cell(kind: str, i: Column, j: Column, side: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / BLOCK).cast("int")
 
-    classes: (node, cls, signature); held: (node, text). All pairs of a run of
-    three rows or more, in any tree, whose classes differ are compared, whatever
-    their number (in a run of two the pivot has met the other one). Runs of
-    several trees that hold the same rows are taken once. The rows of a run's
-    largest class never meet each other, so a dense run costs its strays times
-    its rows. Runs of more than SMALL rows meet in cells of two blocks, smaller
-    ones are packed; no task holds more than about two blocks, and no pair is
-    written that is not a link of a cell's spanning forest.
+
+def _met_in_cells(dealt: DataFrame, cells: Column, held: DataFrame) -> DataFrame:
+    """Rows of dealt(node, cls, run, n, ...) in each of their cells, with text and `cell_group`: a cell, or many of runs of at most SMALL rows."""
+    packs = dealt.where(F.col("n") <= SMALL).count() // 256 + 1
+    group = F.when(F.col("n") <= SMALL, F.concat(F.lit("s"), F.pmod(F.xxhash64("run"), F.lit(packs)))).otherwise(F.concat_ws(":", F.hex("run"), "c.kind", "c.i", "c.j"))
+    met = dealt.select("node", "cls", "run", "n", F.explode(cells).alias("c")).select("node", "cls", "run", group.alias("cell_group"), "c.*")
+    return met.join(held.select("node", "text"), "node")
+
+
+def links_across_classes(classes: DataFrame, held: DataFrame, trees: int, depth: int, at: int, threshold: float, met_in_twos: bool) -> DataFrame:
+    """Edges (a, b) that join rows linked across classes.
+
+    classes: (node, cls, signature); held: (node, text). All pairs of a run,
+    of all pieces of any tree, whose classes differ are compared, whatever their
+    number; runs of two are left out if the pivot has met the other one
+    (met_in_twos). Runs of several trees that hold the same rows are taken once.
+    The rows of a run's largest class never meet each other, so a dense run
+    costs its strays times its rows. Runs of more than SMALL rows meet in cells
+    of two blocks, smaller ones are packed; no task holds more than about two
+    blocks, and no pair is written that is not of a cell's spanning forest.
     """
-    legs = classes.select("node", "cls", _run(trees, depth, at).alias("leg")).select("node", "cls", "leg.tree", "leg.run")
+    legs = classes.select("node", "cls", _run(trees, depth, at, _runs(depth, at)).alias("leg")).select("node", "cls", "leg.tree", "leg.run")
     name = F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40)).cast("decimal(38,0)"))
     runs = (
         legs.groupBy("run", "tree", "cls").agg(F.count(F.lit(1)).alias("n"), name.alias("name")).groupBy("run", "tree")
         .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_classes"), F.max(F.struct("n", "cls")).alias("main"), F.sum("name").cast("string").alias("name"), F.sum(F.xxhash64("cls", "n", "name").cast("decimal(38,0)")).cast("string").alias("more"))
-        .where("n_classes > 1 and n > 2")
+        .where(f"n_classes > 1 and n > {2 if met_in_twos else 1}")
     )
-    # equal rows have equal names; the first tree's run counts the links
+    # equal rows have equal names
     runs = runs.groupBy("n", "name", "more").agg(F.min(F.struct("tree", "run", "main")).alias("r")).select("n", "r.*")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     dealt = saved(
         legs.join(runs, ["run", "tree"])
-        .select("node", "cls", "run", "tree", "n", (F.col("cls") == F.col("main.cls")).alias("is_main"), blocks(F.col("main.n")).alias("mains"), blocks(F.col("n") - F.col("main.n")).alias("others"))
+        .select("node", "cls", "run", "n", (F.col("cls") == F.col("main.cls")).alias("is_main"), _blocks(F.col("main.n")).alias("mains"), _blocks(F.col("n") - F.col("main.n")).alias("others"))
         .withColumn("block", mine)
     )
-    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
     steps = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own, nil = F.col("block"), F.lit(0)
-    cells = F.when(F.col("n") <= SMALL, F.array(cell("all", nil, nil, nil))).when(F.col("is_main"), F.transform(steps("others"), lambda k: cell("main", k, own, F.lit(1)))).otherwise(F.concat(
-        F.transform(steps("others"), lambda k: cell("other", F.least(own, k), F.greatest(own, k), own > k)),
-        F.transform(steps("mains"), lambda k: cell("main", own, k, F.lit(0))),
+    cells = F.when(F.col("n") <= SMALL, F.array(_cell("all", nil, nil, nil))).when(F.col("is_main"), F.transform(steps("others"), lambda k: _cell("main", k, own, F.lit(1)))).otherwise(F.concat(
+        F.transform(steps("others"), lambda k: _cell("other", F.least(own, k), F.greatest(own, k), own > k)),
+        F.transform(steps("mains"), lambda k: _cell("main", own, k, F.lit(0))),
     ))
-    packs = dealt.where(F.col("n") <= SMALL).count() // 256 + 1
-    group = F.when(F.col("n") <= SMALL, F.concat(F.lit("s"), F.pmod(F.xxhash64("run"), F.lit(packs)))).otherwise(F.concat_ws(":", F.hex("run"), "c.kind", "c.i", "c.j"))
-    about = held.select("node", "signature", "text")
-    met = dealt.select("node", "cls", "run", "tree", "n", F.explode(cells).alias("c")).select("node", "cls", "run", "tree", group.alias("cell_group"), "c.*").join(about, "node")
     node = held.schema["node"].dataType.simpleString()
-    return met.groupBy("cell_group").applyInPandas(_cell_links(trees, at, threshold, node), f"a {node}, b {node}, n long")
+    return _met_in_cells(dealt, cells, held).groupBy("cell_group").applyInPandas(_edges_of(threshold, node), f"a {node}, b {node}")
+
+
+def links_within_classes(roots: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """(node, n): the number of rows of its class that each row of roots(node, root) is linked to, for classes of several rows.
+
+    held: (node, text). All pairs of a class are compared by their exact
+    Jaccard, so no link inside one is left out, however the class was joined.
+    Classes of more than SMALL rows meet in cells of two blocks, smaller ones
+    are packed; the two rows of a class are linked. No pair is written.
+    """
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = saved(
+        roots.join(sizes, "root").select("node", F.col("root").alias("cls"), F.col("root").alias("run"), "n", _blocks(F.col("n")).alias("blocks"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    )
+    own, nil = F.col("block"), F.lit(0)
+    cells = F.when(F.col("n") <= SMALL, F.array(_cell("all", nil, nil, nil))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: _cell("other", F.least(own, k), F.greatest(own, k), own > k))
+    )
+    node = held.schema["node"].dataType.simpleString()
+    counts = _met_in_cells(dealt.where("n > 2"), cells, held).groupBy("cell_group").applyInPandas(_counts_of(threshold, node), f"node {node}, n long")
+    return counts.groupBy("node").agg(F.sum("n").alias("n")).unionByName(dealt.where("n = 2").select("node", F.lit(1).cast("long").alias("n")))
 
 
 def similar_classes(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], trees: int, depth: int, recall: float, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of the nodes that have a link, and (node, n) the links found of each.
+    """(node, root) of the nodes that meet another one, and (node, text) of them.
 
     nodes: (node, signature) with `depth` values for each of `trees` trees;
     texts_of(named) gives (node, text) of the nodes it names. In each tree rows
     are first met by their full prefix. Each row meets its run's pivot; verified
     links join classes, which later runs know. The prefix is then shortened to
     the longest one whose recall, told from the links found so far, reaches the
-    target, until none is wanted that is shorter. At that depth all pairs of a
-    run whose classes still differ are compared, block by block. Links inside
-    one class are not all counted: a group of n copies costs about n pairs.
+    target, until none is wanted that is shorter. Then all pairs whose classes
+    still differ are compared, block by block, in the runs of the shortest
+    prefix, at which a pair at the threshold meets with the recall, and of as
+    many further pieces of that length as each tree's values hold.
     """
     least, most = matched_depth(threshold, trees, depth, recall), matched_depth(threshold, trees, depth, LEAST_RECALL)
     signed = nodes.select("node", "signature")
@@ -256,13 +301,12 @@ def similar_classes(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]
         if wanted >= at:
             break
         at = wanted
-    across = saved(links_across_classes(held.select("node", "signature").join(labels, "node"), held, trees, depth, at, threshold))
-    bridges = across.where("b is not null").select("a", "b").join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    met_in_twos = at == least and _runs(depth, least) == 1
+    bridges = saved(links_across_classes(held.select("node", "signature").join(labels, "node"), held, trees, depth, least, threshold, met_in_twos))
+    bridges = bridges.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     merged = components(bridges).toDF("old", "new")
     roots = labels.join(merged, F.col("cls") == F.col("old"), "left").select("node", F.coalesce("new", "cls").alias("root"))
-    ends = links.select(F.col("a").alias("node"), F.lit(1).cast("long").alias("n")).unionByName(links.select(F.col("b").alias("node"), F.lit(1).cast("long").alias("n")))
-    n_links = ends.unionByName(across.where("b is null").select(F.col("a").alias("node"), "n")).groupBy("node").agg(F.sum("n").alias("n"))
-    return roots, n_links
+    return saved(roots), held
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

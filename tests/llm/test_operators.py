@@ -337,6 +337,21 @@ def test_no_paragraph_of_a_large_bucket_is_lost(spark, monkeypatch):
     assert all(got[i] == 100 for i in range(150, 180))
 
 
+@pytest.mark.parametrize("block", [64, 512])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    """A class of many links, most of them not with a pivot, and pairs just above the threshold, which few of the links are."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    frame = prose(90, 39)
+    data = [(i, f"{frame} end{i}") for i in range(300)]
+    for i in range(100):
+        both = prose(9000 + i, 179)
+        data += [(1000 + 2 * i + k, f"{both} {' '.join(f'w{i}x{k}x{at}' for at in range(21))}") for k in range(2)]
+    _, links = brute_classes(data[300:])
+    assert len(links) == 100 and jaccard(*(shingles(word_hashes(data[i][1])) for i in (0, 1))) > 0.9
+    got = {r.doc_id: r.n_links for r in jaccard_join.similar_documents(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {i: 299 if i < 300 else 1 for i, _ in data}
+
+
 def test_forest_depth():
     k = near.matched_depth(jaccard_join.THRESHOLD, jaccard_join.TREES, jaccard_join.DEPTH, jaccard_join.TARGET_RECALL)
     assert 1 - (1 - 0.8**k) ** jaccard_join.TREES >= jaccard_join.TARGET_RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard_join.TREES
