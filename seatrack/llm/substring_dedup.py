@@ -193,13 +193,16 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     clusters = lines.select("id", "doc_key", "first", "stop", "key").join(clusters, "key").drop("key")
 
     def lost_of(rows: DataFrame, *key: str) -> DataFrame:
-        shared = rows.groupBy(*key).agg(F.min(place).alias("keep"), F.max("doc_key").alias("high"), F.min("doc_key").alias("low")).where("low <> high").select(*key, F.col("keep.doc_key").alias("keep_key"))
+        # written, so that the grouping's shuffle is gone before the join has its own
+        shared = saved(rows.groupBy(*key).agg(F.min(place).alias("keep"), F.max("doc_key").alias("high"), F.min("doc_key").alias("low")).where("low <> high").select(*key, F.col("keep.doc_key").alias("keep_key")))
+        free_shuffles(shared)
         return rows.join(shared, [*key]).where("doc_key <> keep_key").select("doc_key", "first", "stop")
 
     # runs whose anchor is in several documents; of the stretches of one anchor, each distinct one stays in its least document
     runs = units.where(F.col("kind") >= _RUN)
     span = (F.shiftleft(F.col("first").cast("long"), 32) + F.col("stop")).alias("span")
-    shared = runs.where(F.col("kind") == _RUN).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    shared = saved(runs.where(F.col("kind") == _RUN).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    free_shuffles(shared)
     # the shared anchors are few beside the runs, which need no sorting then
     met = saved(runs.select("id", "doc_key", span, "anchor", "rest").join(shared.hint("shuffle_hash"), "anchor"))
     free_shuffles(met)
