@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORD_BYTES, free_shuffles, grams, hashes_of, minhashes_of, mixed, portions, saved, shingles_of
+from .base import WORD_BYTES, frees_shuffles, grams, hashes_of, minhashes_of, mixed, portions, saved, shingles_of
 from .near import meeting, similar_classes
 
 THRESHOLD = 0.8
@@ -134,6 +134,7 @@ def _merge(found: pd.Series) -> pd.Series:
     return found.map(lambda spans: [{"first": a, "stop": b} for a, b in merged_spans([(s["first"], s["stop"]) for s in spans])])
 
 
+@frees_shuffles
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: `id_col`, n_words, n_paragraphs, n_removed_words, n_spans, spans (word positions first, stop).
 
@@ -187,7 +188,6 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
         return asked_texts(spans).mapInPandas(cut, "node long, text string")
 
     roots, _ = similar_classes(nodes, texts_of, bands, rows, TARGET_RECALL, threshold)
-    free_shuffles(nodes)
     # a paragraph can go if another document has its words, or words like them
     clusters = nodes.select("node", "key", "several").join(roots, "node", "left").where("several or root is not null").select("key", F.coalesce("root", "node").alias("cluster"))
     clusters = lines.select("id", "doc_key", "first", "stop", "key").join(clusters, "key").drop("key")
@@ -195,23 +195,19 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     def lost_of(rows: DataFrame, *key: str) -> DataFrame:
         # written, so that the grouping's shuffle is gone before the join has its own
         shared = saved(rows.groupBy(*key).agg(F.min(place).alias("keep"), F.max("doc_key").alias("high"), F.min("doc_key").alias("low")).where("low <> high").select(*key, F.col("keep.doc_key").alias("keep_key")))
-        free_shuffles(shared)
         return rows.join(shared, [*key]).where("doc_key <> keep_key").select("doc_key", "first", "stop")
 
     # runs whose anchor is in several documents; of the stretches of one anchor, each distinct one stays in its least document
     runs = units.where(F.col("kind") >= _RUN)
     span = (F.shiftleft(F.col("first").cast("long"), 32) + F.col("stop")).alias("span")
     shared = saved(runs.where(F.col("kind") == _RUN).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    free_shuffles(shared)
     # the shared anchors are few beside the runs, which need no sorting then
     met = saved(runs.select("id", "doc_key", span, "anchor", "rest").join(shared.hint("shuffle_hash"), "anchor"))
-    free_shuffles(met)
     heads = met.groupBy("anchor", "rest").agg(F.min(place).alias("keep")).select("anchor", "rest", F.col("keep.doc_key").alias("keep_key"))
     # what a first stretch shares with a different one of its anchor is asked below
     differ = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("differing"))
     heads = heads.join(differ, F.col("anchor") == F.col("differing"), "left").select("anchor", "rest", "keep_key", F.col("differing").isNotNull().alias("differ"))
     told = saved(met.join(heads, ["anchor", "rest"]).where("doc_key <> keep_key or differ").select("doc_key", "span", (F.col("doc_key") != F.col("keep_key")).alias("lost")))
-    free_shuffles(told)
     lost_runs = told.where("lost").select("doc_key", F.shiftright("span", 32).cast("int").alias("first"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("stop"))
     left = told.where("not lost").select("doc_key", "span")
 
@@ -230,7 +226,6 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
                 yield pd.DataFrame({"id": batch.id.to_numpy()[a:b][doc], "doc_key": batch.doc_key.to_numpy()[a:b][doc], "first": first, "stop": first + MIN_PASSAGE, "one": one, "two": two})
 
     opened = saved(asked_texts(left).mapInPandas(windows, f"id {kind}, doc_key long, first int, stop int, one long, two long"))
-    free_shuffles(opened)
     lost = lost_of(clusters, "cluster").unionByName(lost_runs).unionByName(lost_of(opened, "one", "two"))
     lost = lost.groupBy(F.col("doc_key").alias("lost_key")).agg(F.collect_set(F.struct("first", "stop")).alias("lost"))
     lost = lost.select("lost_key", F.pandas_udf(_merge, "array<struct<first:int,stop:int>>")("lost").alias("spans"))

@@ -1,8 +1,10 @@
 """The numbered operators against brute force on small fixtures, with the cases that tables of a real corpus hold."""
 
 import hashlib
+import pathlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -638,3 +640,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert 8 not in ids and not {1, 2, 3, 4} & set(ids) and len(ids) == len(set(ids))
     assert all(r.mix_taken > 0 for r in out)
     assert 2 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_substring_dedup_leaves_no_shuffle_files(spark):
+    def files():
+        return set(pathlib.Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    made = spark.createDataFrame([(i, f"{prose(6000 + i, 30)} {prose(6999, 40)}") for i in range(8)], "doc_id long, text string")
+    there, own = files(), spark.conf.get(setting, None)
+    found = substring_dedup.repeated_passages(made)
+    late = time.time() + 10
+    while (left := files() - there) and time.time() < late:  # executors delete them a moment after a query has ended
+        time.sleep(0.1)
+    assert not left and spark.conf.get(setting, None) == own
+    assert [r.n_removed_words >= 40 for r in sorted(found.collect())] == [False] + [True] * 7
+    assert files() - there  # those of the caller's query, outside the operator
+    with pytest.raises(ZeroDivisionError):
+        base.frees_shuffles(lambda docs: 1 // 0)(made)
+    assert spark.conf.get(setting, None) == own
