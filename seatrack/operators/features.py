@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seatrack.functions.geo import CAPS_MPS, EPS, VESSEL_CAP_MPS, angle_between_deg, bearing_deg, haversine_m, seconds_between
+from seatrack.functions.geo import CAPS_MPS, EPS, VESSEL_CAP_MPS, bound, haversine_m, seconds_between
 
 GATE = 0.3
 HISTORY = 5
@@ -45,8 +49,7 @@ def assemble_track(df: DataFrame) -> DataFrame:
     """History and current report by time; of equal times the first one, in history order, stays."""
     points = F.concat("history", F.array(F.struct("t", "lat", "lon")))
     tagged = F.transform(points, lambda p, i: F.struct(p["t"].alias("t"), i.alias("i"), p["lat"].alias("lat"), p["lon"].alias("lon")))
-    ordered = F.array_sort(tagged)
-    first = F.filter(ordered, lambda p, i: (i == 0) | (p["t"] != F.element_at(ordered, F.greatest(i, F.lit(1)))["t"]))
+    first = bound(F.array_sort(tagged), lambda ordered: F.filter(ordered, lambda p, i: (i == 0) | (p["t"] != F.element_at(ordered, F.greatest(i, F.lit(1)))["t"])))
     return df.withColumn("track", F.transform(first, lambda p: F.struct(p["t"].alias("t"), p["lat"].alias("lat"), p["lon"].alias("lon"))))
 
 
@@ -64,7 +67,7 @@ def speed_signal(df: DataFrame, cap_mps: float = VESSEL_CAP_MPS, saturation: flo
         seconds_between(s["a"]["t"], s["b"]["t"]) > 0,
         haversine_m(s["a"]["lat"], s["a"]["lon"], s["b"]["lat"], s["b"]["lon"]) / seconds_between(s["a"]["t"], s["b"]["t"]),
     ).otherwise(0.0)
-    out = df.withColumn("v_max_mps", F.coalesce(F.array_max(F.transform(_steps(F.col("track")), step)), F.lit(0.0)))
+    out = df.withColumn("v_max_mps", F.coalesce(bound(F.col("track"), lambda track: F.array_max(F.transform(_steps(track), step))), F.lit(0.0)))
     return out.withColumn("speed_severity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("v_max_mps") / cap_mps - 1.0) / saturation)))
 
 
@@ -74,11 +77,31 @@ def reject_corrupt(df: DataFrame, cap_mps: float = VESSEL_CAP_MPS, factor: float
     return df.where(~bad), df.where(bad)
 
 
+def _turn_deg(ends: pa.Array) -> pa.Array:
+    """Angle between the courses of two steps, 0 to 180, for [lat, lon, lat, lon, lat, lon]."""
+    lat, lon = ([pc.list_element(ends, 2 * i + k) for i in range(3)] for k in (0, 1))
+
+    def course(m, n):
+        a, b, across = pc.multiply(lat[m], math.pi / 180), pc.multiply(lat[n], math.pi / 180), pc.multiply(pc.subtract(lon[n], lon[m]), math.pi / 180)
+        north = pc.subtract(pc.multiply(pc.cos(a), pc.sin(b)), pc.multiply(pc.multiply(pc.sin(a), pc.cos(b)), pc.cos(across)))
+        return pc.multiply(pc.atan2(pc.multiply(pc.sin(across), pc.cos(b)), north), 180 / math.pi)
+
+    raw = pc.abs(pc.subtract(course(0, 1), course(1, 2)))
+    turn = pc.subtract(raw, pc.multiply(pc.floor(pc.divide(raw, 360.0)), 360.0))
+    return pc.min_element_wise(turn, pc.subtract(360.0, turn), skip_nulls=False)
+
+
 def course_change(df: DataFrame) -> DataFrame:
-    """Angle between the last two steps of the track, 0 to 180; 0 with fewer than three points."""
-    p = lambda k: F.element_at("track", -k)
-    b = lambda m, n: bearing_deg(p(m)["lat"], p(m)["lon"], p(n)["lat"], p(n)["lon"])
-    return df.withColumn("heading_change_deg", F.when(F.size("track") >= 3, angle_between_deg(b(3, 2), b(2, 1))).otherwise(0.0))
+    """Angle between the last two steps of the track, 0 to 180; 0 with fewer than three points.
+
+    Two reports of one place may differ by their last bit, and the course of
+    such a step is the rounding of sines. Arrow takes them from the C library,
+    as DuckDB does; the JVM's own differ in the last bit now and then, and
+    there by any angle.
+    """
+    turn = F.arrow_udf(_turn_deg, "double").asNondeterministic()  # else a filter on it computes it again
+    last = lambda track: F.when(F.size(track) >= 3, F.array(*[F.element_at(track, -k)[c] for k in (3, 2, 1) for c in ("lat", "lon")]))
+    return df.withColumn("heading_change_deg", turn(bound(F.col("track"), last))).withColumn("heading_change_deg", F.when(F.size("track") >= 3, F.col("heading_change_deg")).otherwise(0.0))
 
 
 def detector_flags(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -193,6 +194,31 @@ def test_meetings_use_every_silence_over_600_s(spark, monkeypatch):
         assert [tuple(r) for r in met] == [("200000000-77", "200000004-70")], name
 
 
+def test_courses_of_rounding_noise_are_duckdbs(spark):
+    """Steps between reports whose places differ by a last bit: 1,200 turns, as DuckDB's sines give them."""
+    rng = random.Random(8)
+    rows = []
+    for v in range(1200):
+        lat, lon = rng.uniform(-60, 60), rng.uniform(-170, 170)
+        rows += [(v, 3 * v, 0, lat, lon), (v, 3 * v + 1, 60, math.nextafter(lat, 90) if v % 2 else lat, math.nextafter(lon, 180)), (v, 3 * v + 2, 120, lat + rng.uniform(-0.1, 0.1), lon + rng.uniform(-0.1, 0.1))]
+    df = spark.createDataFrame(rows, "mmsi long, seq long, t_s long, lat double, lon double").withColumn("t", F.timestamp_seconds("t_s"))
+    got = {r.seq: r.heading_change_deg for r in features.course_change(features.assemble_track(features.with_history(df))).collect()}
+    local = df.drop("t").toPandas()
+    con = duckdb.connect()
+    con.register("positions", local)
+    want = dict(con.sql(f"with {track_queries.TRACK},{track_queries.TURN} select seq, heading_change_deg from turn").fetchall())
+    assert got == want and sum(x > 0 for x in got.values()) > 1100
+
+
+def test_turns_far_from_waypoints_make_each_track_once(spark):
+    """The track's sort stands in the plan at most twice (itself and the turn of it), however often its points are named."""
+    df = spark.createDataFrame([(1, i, 40.0 + i * i * 0.01, -74.0 + i * 0.1) for i in range(8)], "mmsi long, seq long, lat double, lon double").withColumn("t", F.timestamp_seconds(F.col("seq") * 600))
+    marks = spark.createDataFrame([(0.0, 0.0, 0.0, 0.0)], "lat double, lon double, lat0 double, lon0 double")
+    turns = detect.unexpected_turns(detect.nearest_waypoint(features.course_change(features.assemble_track(features.with_history(df))), marks)).where("unexpected_turn")
+    plan = turns.select("mmsi", "seq", "waypoint_m", "turn_severity")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort(") <= 2
+
+
 def test_short_history_scores_no_gap(spark):
     rows = [(1, i, 1717200000 + i * 5000, 40.4, -74.1) for i in range(3)]
     df = spark.createDataFrame(rows, "mmsi long, seq long, s long, lat double, lon double").select("mmsi", "seq", F.timestamp_seconds("s").alias("t"), "lat", "lon")
