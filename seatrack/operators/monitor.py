@@ -73,13 +73,23 @@ def pressure_summary(samples: DataFrame, settle: float = 0.1, tail: int = 3) ->
     """Per vertex, largest pressure of each phase and since when it stays settled. samples: vertex, t, phase, pressure.
 
     settled_at is the first recovery time from which the pressure never again
-    exceeds `settle`, given `tail` samples or more from there.
+    exceeds `settle`, given `tail` samples or more from there, one with a
+    pressure among them; samples of one time count together. It follows from
+    the vertex's last excess, last pressure and `tail` last times, so no task
+    holds or orders all of a vertex's samples.
     """
-    w = Window.partitionBy("vertex").orderBy("t").rowsBetween(0, Window.unboundedFollowing)
-    ahead = samples.withColumn("later_max", F.max("pressure").over(w)).withColumn("later_n", F.count(F.lit(1)).over(w))
-    ok = (F.col("phase") == "recovery") & (F.col("later_max") <= settle) & (F.col("later_n") >= tail)
-    peak = lambda p: F.max(F.when(F.col("phase") == p, F.col("pressure"))).alias(f"{p}_max")
-    return ahead.groupBy("vertex").agg(peak("baseline"), peak("burst"), peak("recovery"), F.min(F.when(ok, F.col("t"))).alias("settled_at"))
+    t, phase, pressure = F.col("t"), F.col("phase"), F.col("pressure")
+    peak = lambda p: F.max(F.when(phase == p, pressure)).alias(f"{p}_max")
+    told = samples.groupBy("vertex").agg(
+        peak("baseline"), peak("burst"), peak("recovery"), F.max(F.when(pressure > settle, t)).alias("_loud"), F.max(F.when(pressure.isNotNull(), t)).alias("_heard")
+    )
+    last = samples.where(t.isNotNull()).select("vertex", "t").withColumn("_i", F.row_number().over(Window.partitionBy("vertex").orderBy(F.desc("t")))).where(F.col("_i") <= tail)
+    bound = last.groupBy("vertex").agg(F.when(F.count(F.lit(1)) >= tail, F.min("t")).alias("_from")).withColumnRenamed("vertex", "_v")
+    told = told.join(bound, F.col("vertex").eqNullSafe(F.col("_v")), "left").drop("_v")
+    limits = told.where("_from is not null and _heard is not null").select(F.col("vertex").alias("_v"), "_loud", F.least("_from", "_heard").alias("_until"))
+    calm = samples.where(phase == "recovery").join(limits, F.col("vertex").eqNullSafe(F.col("_v"))).where(((t > F.col("_loud")) | F.col("_loud").isNull()) & (t <= F.col("_until")))
+    settled = calm.groupBy("_v").agg(F.min("t").alias("settled_at"))
+    return told.join(settled, F.col("vertex").eqNullSafe(F.col("_v")), "left").drop("_v", "_loud", "_heard", "_from")
 
 
 def pressure_conditions(samples: DataFrame, settle: float = 0.1, tail: int = 3) -> DataFrame:

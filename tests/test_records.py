@@ -1,5 +1,7 @@
 """Preference records, promotions and registries whose keys repeat."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from seatrack.operators import cdc, monitor, preference
@@ -58,6 +60,31 @@ def test_sanctions_by_vessel(spark):
     assert cdc.registry_rejects(changes).select(F.max("reject_reason")).first()[0] == "regime is blank"
 
 
+def test_settled_times_by_every_later_sample(spark):
+    """Random samples of 60 vertices, with repeated times, missing pressures and a vertex without a name, against all later samples of each time; no window over all that follow."""
+    rng = random.Random(4)
+    rows = []
+    for v in range(60):
+        quiet, n = rng.randrange(30), rng.randrange(1, 30)
+        for i in range(n):
+            t = float(i if v % 4 else i // 3)
+            rows.append((f"v{v}" if v else None, None if rng.random() < 0.02 else t, "baseline" if i < 3 else "burst" if i < 8 else "recovery", None if rng.random() < 0.1 else rng.uniform(0, 0.09 if i >= quiet else 0.2)))
+    out = monitor.pressure_summary(spark.createDataFrame(rows, "vertex string, t double, phase string, pressure double").repartition(3))
+    got = {r.vertex: (r.burst_max, r.settled_at) for r in out.collect()}
+    want = {}
+    for v in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == v]
+        times = []
+        for at in {r[1] for r in own if r[1] is not None and r[2] == "recovery"}:
+            later = [r[3] for r in own if r[1] is not None and r[1] >= at]
+            some = [p for p in later if p is not None]
+            if len(later) >= 3 and some and max(some) <= 0.1:
+                times.append(at)
+        want[v] = (max((r[3] for r in own if r[2] == "burst" and r[3] is not None), default=None), min(times, default=None))
+    assert got == want and 10 < sum(s is not None for _, s in want.values()) < 50
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_pressure_conditions(spark):
     def phases(vertex, before, burst, after):
         return [(vertex, float(i), p, v) for i, (p, v) in enumerate([("baseline", x) for x in before] + [("burst", x) for x in burst] + [("recovery", x) for x in after])]
